@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,3 +70,16 @@ def shards(plan: DataFrame, batch: str, world: int) -> DataFrame:
 def seeded_subset(items: DataFrame, item: str, count: int, seed: int) -> DataFrame:
     """``count`` items with the smallest hash fractions: the sampling operator, which a larger count only extends."""
     return items.orderBy(X.hash_fraction(F.col(item).cast("string"), seed), item).limit(count)
+
+
+def published_partition(sizes: dict[str, int], seed: int) -> dict[int, str]:
+    """The split of each record number of a closed corpus that was published with a seeded shuffle of Python's own
+    generator: numbers 0 to n - 1 are shuffled and cut into ``sizes`` in order. Only such corpora, of a size given by
+    the caller, go through the driver."""
+    order = list(range(sum(sizes.values())))
+    random.Random(seed).shuffle(order)
+    out, at = {}, 0
+    for split, size in sizes.items():
+        out |= dict.fromkeys(order[at : at + size], split)
+        at += size
+    return out

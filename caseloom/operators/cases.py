@@ -101,3 +101,16 @@ def compiled_targets(rows: DataFrame) -> DataFrame:
     """Number of the kind, normalized target in option order and label (first of the largest) of each decision."""
     target = D.normalized(F.col("gold_probs"))
     return rows.withColumns({"kind_no": D.kind_number(F.col("qtype")), "target": target}).withColumn("label", D.first_largest(F.col("target")))
+
+
+def normalized_criteria(kind: Column, criteria: Column) -> Column:
+    """Criteria in one form: a list of choices becomes an object without descriptions, keys of a binary decision are in
+    lower case; others stay as they are."""
+    words, sides = F.from_json(criteria, _ARRAY), F.from_json(criteria, _OBJECT)
+    listed = F.concat(F.lit("{"), F.array_join(F.transform(words, lambda w: F.concat(X.json_quote(w), F.lit(":null"))), ","), F.lit("}"))
+    lowered = F.transform(F.map_entries(sides), lambda e: F.concat(X.json_quote(F.lower(e["key"])), F.lit(":"), F.coalesce(X.json_quote(e["value"]), F.lit("null"))))
+    return (
+        F.when((kind == "choice") & F.ltrim(criteria).startswith("["), listed)
+        .when((kind == "noul") & F.ltrim(criteria).startswith("{"), F.concat(F.lit("{"), F.array_join(lowered, ","), F.lit("}")))
+        .otherwise(criteria)
+    )

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.shared import Scratch, hot_keys, salted_lookup
+from ..plans.shared import Scratch, heaviest, hot_keys, salted_lookup
 
-SALTS = 64
+#: Edges that one task takes, of two short texts each.
+FEW_EDGES = 200_000
 #: Steps over which a node looks for the lowest number before a level is contracted.
 STEPS = 3
 #: A component of at most this many groups is named by the digest of all of them, a larger one by its least and count.
@@ -25,50 +27,54 @@ def connected_groups(members: DataFrame, scratch: Scratch, label: str = "groups"
 
     Every anchor ties its groups to its least one. At each level every node takes the lowest of freshly drawn numbers
     within STEPS steps, nodes with one number contract, and the edges between them go on. Numbers are random, so a
-    level leaves a fraction of the nodes whatever the shape, a chain in sorted order included. Levels are written to
-    the shared folder; only numbers of edges come to the driver. Nodes and anchors with very many rows are spread. A
-    null anchor connects nothing."""
+    level leaves a fraction of the nodes whatever the shape, a chain in sorted order included. Once at most FEW_EDGES
+    edges are left, one task joins the rest. Levels are written to the shared folder; only numbers of edges and hot
+    nodes come to the driver. Nodes and anchors with very many rows are spread. A null anchor connects nothing."""
     pairs = scratch.keep(members.where("grp is not null").select("grp", "anchor").distinct(), f"{label}-pairs")
     links = pairs.where("anchor is not null")
-    hubs = links.groupBy("anchor").agg(F.min("grp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    total = pairs.count()
-    hot = hubs.where(F.col("n") > max(1000.0, total / 512)).select("anchor")  # at most 512
-    tied = salted_lookup(links, hubs.select("anchor", "hub"), "anchor", hot, SALTS, F.xxhash64("grp")).where("grp <> hub")
+    hubs = scratch.keep(links.groupBy("anchor").agg(F.min("grp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), f"{label}-hubs")
+    tied = salted_lookup(links, hubs.select("anchor", "hub"), "anchor", heaviest(hubs, "anchor"), F.xxhash64("grp")).where("grp <> hub")
     left = scratch.keep(tied.select(F.col("grp").alias("u"), F.col("hub").alias("v")).distinct(), f"{label}-edges0")
     count, level, found = left.count(), 0, []
-    while count:
+    while count > FEW_EDGES:
         both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hot = scratch.keep(hot_keys(both, "u", max(1000, 2 * count)), f"{label}-hot{level}")
+        hot = hot_keys(both, "u", 2 * count)
         state = both.select("u").distinct().withColumn("best", _draw(F.col("u"), level))
         for _ in range(STEPS):
-            seen = salted_lookup(both, state, "u", hot, SALTS, F.xxhash64("v")).select(F.col("v").alias("u"), "best")
+            seen = salted_lookup(both, state, "u", hot, F.xxhash64("v")).select(F.col("v").alias("u"), "best")
             state = state.unionByName(seen).groupBy("u").agg(F.min("best").alias("best"))
         nodes = scratch.keep(state.select("u", F.col("best.c").alias("c")), f"{label}-level{level}")
         found.append(nodes)
-        one = salted_lookup(left, nodes, "u", hot, SALTS, F.xxhash64("v")).select(F.col("v").alias("u"), F.col("c").alias("v"))
-        other = salted_lookup(one, nodes, "u", hot, SALTS, F.xxhash64("v")).select(F.col("v").alias("u"), F.col("c").alias("v"))
-        left = scratch.keep(other.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{label}-edges{level + 1}")
+        for _ in range(2):
+            left = salted_lookup(left, nodes, "u", hot, F.xxhash64("v")).select(F.col("v").alias("u"), F.col("c").alias("v"))
+        left = scratch.keep(left.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{label}-edges{level + 1}")
         count, level = left.count(), level + 1
-    groups = pairs.select("grp").distinct()
-    if not found:
-        return groups.withColumn("root", F.col("grp"))
-    final = found[-1].select("u", F.col("c").alias("end"))
-    for nodes in reversed(found[:-1]):
-        final = scratch.keep(_followed(nodes, final), f"{label}-final{len(found)}-{id(nodes)}")
-    least = final.groupBy("end").agg(F.min("u").alias("root"))
-    hot = hot_keys(final, "end", max(1000, final.count()))
-    roots = salted_lookup(final, least, "end", hot, SALTS, F.xxhash64("u")).select(F.col("u").alias("grp"), "root")
-    return groups.join(roots, "grp", "left").select("grp", F.coalesce("root", "grp").alias("root"))
-
-
-def _followed(nodes: DataFrame, final: DataFrame) -> DataFrame:
-    """``nodes(u, c)`` with the end of ``c``; a ``c`` without one is its own."""
-    hot = F.broadcast(hot_keys(nodes, "c", max(1000, nodes.count())).withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("u"), F.lit(SALTS))).otherwise(0).cast("int")
-    wide = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    left = nodes.join(hot, "c", "left").withColumn("s", salt).drop("_hot")
-    right = final.withColumnRenamed("u", "c").join(hot, "c", "left").withColumn("s", wide).drop("_hot")
-    return left.join(right, ["c", "s"], "left").select("u", F.coalesce("end", "c").alias("end"))
+    final = scratch.keep(left.coalesce(1).mapInPandas(_join_rest, "u string, end string"), f"{label}-rest")
+    for at, nodes in enumerate(reversed(found)):
+        ends = salted_lookup(nodes, final.withColumnRenamed("u", "c"), "c", hot_keys(nodes, "c"), F.xxhash64("u"), "left")
+        final = scratch.keep(ends.select("u", F.coalesce("end", "c").alias("end")), f"{label}-final{at}")
+    least = final.groupBy("end").agg(F.min("u").alias("root"), F.count(F.lit(1)).alias("n"))
+    roots = salted_lookup(final, least.select("end", "root"), "end", heaviest(least, "end"), F.xxhash64("u")).select(F.col("u").alias("grp"), "root")
+    return pairs.select("grp").distinct().join(roots, "grp", "left").select("grp", F.coalesce("root", "grp").alias("root"))
+
+
+def _join_rest(batches):
+    """Union-find over at most FEW_EDGES edges: ``(u, end)`` of every node."""
+    parent: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for pdf in batches:
+        for u, v in zip(pdf["u"], pdf["v"]):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pd.DataFrame({"u": nodes, "end": [root(x) for x in nodes]}, dtype=object)
 
 
 def component_names(roots: DataFrame) -> DataFrame:

@@ -57,3 +57,19 @@ def overlapping_texts(rows: DataFrame, text: str, held_out: DataFrame, held_text
     """Rows whose text, spaces collapsed and in lower case, also stands in a held-out table; compared by digest."""
     key = lambda c: X.digest(F.lower(X.collapse_space(F.col(c))))
     return rows.withColumn("_k", key(text)).join(held_out.select(key(held_text).alias("_k")).distinct(), "_k", "left_semi").drop("_k")
+
+
+def matched_answers(questions: DataFrame, answers: DataFrame, key: str, answer: str, agree: list[str]) -> DataFrame:
+    """Questions with the answer of an answer file, or a reason.
+
+    An id may have several answer rows if all give one answer; fields named in ``agree`` must be equal on both sides,
+    null only to null. The answer side is combined to a row an id before the join."""
+    one = answers.groupBy(key).agg(
+        F.min(answer).alias(answer), (F.min(answer) != F.max(answer)).alias("_torn"), *[F.min(c).alias(f"_{c}") for c in agree], *[(~F.min(c).eqNullSafe(F.max(c))).alias(f"_{c}_torn") for c in agree]
+    )
+    joined = questions.join(one, key, "left")
+    differs = F.lit(False)
+    for c in agree:
+        differs = differs | F.col(f"_{c}_torn") | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    reason = F.when(F.col(answer).isNull(), "no answer").when(F.col("_torn"), "answers contradict").when(differs, "fields differ")
+    return joined.withColumn("reason", reason).drop("_torn", *[f"_{c}" for c in agree], *[f"_{c}_torn" for c in agree])

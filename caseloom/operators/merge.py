@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import decisions as D
 from ..functions import text as X
-from ..plans.shared import Scratch, hot_keys, salted_lookup
-from .components import SALTS, component_names, connected_groups
+from ..plans.shared import Scratch, heaviest, hot_keys, salted_lookup
+from .components import component_names, connected_groups
 
 # Splits from the lowest priority to the highest.
 SPLITS = ("train", "calibration", "validation", "test")
@@ -42,8 +42,7 @@ def survivors(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def contradicting_rows(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """All rows of inputs with more than one gold, with whether they differ from the first."""
     torn = groups.where("conflict").select("input_key", "first_gold")
-    hot = hot_keys(rows, "input_key", max(1, rows.count()))
-    return salted_lookup(rows, torn, "input_key", hot, SALTS, F.xxhash64("arrival")).withColumn("differs", F.col("gold_key") != F.col("first_gold"))
+    return salted_lookup(rows, torn, "input_key", heaviest(groups.withColumnRenamed("copies", "n"), "input_key"), F.xxhash64("arrival")).withColumn("differs", F.col("gold_key") != F.col("first_gold"))
 
 
 def group_anchors(rows: DataFrame) -> DataFrame:
@@ -60,8 +59,7 @@ def group_table(rows: DataFrame, scratch: Scratch) -> DataFrame:
     highest = rows.groupBy("grp").agg(F.max("priority").alias("priority"))
     placed = scratch.keep(roots.join(highest, "grp", "left"), "placed")
     names = component_names(placed.select("grp", "root")).join(placed.groupBy("root").agg(F.max("priority").alias("priority")), "root")
-    hot = hot_keys(placed, "root", max(1, placed.count()))
-    return scratch.keep(salted_lookup(placed.select("grp", "root"), names, "root", hot, SALTS, F.xxhash64("grp")).select("grp", "component", "priority"), "group_table")
+    return scratch.keep(salted_lookup(placed.select("grp", "root"), names, "root", hot_keys(placed, "root"), F.xxhash64("grp")).select("grp", "component", "priority"), "group_table")
 
 
 def component_split(priority: Column, component: Column, seed: int, calibration: float, validation: float, test: float) -> Column:
@@ -83,8 +81,7 @@ def merge_cases(rows: DataFrame, scratch: Scratch, seed: int = 0, calibration: f
     groups = scratch.keep(input_groups(ranked), "inputs")
     table = group_table(ranked, scratch)
     alive = survivors(ranked, groups)
-    hot = hot_keys(ranked, "grp", max(1, ranked.count()))
-    joined = salted_lookup(alive, table.withColumnRenamed("priority", "highest"), "grp", hot, SALTS, F.xxhash64("arrival"))
+    joined = salted_lookup(alive, table.withColumnRenamed("priority", "highest"), "grp", hot_keys(ranked, "grp"), F.xxhash64("arrival"))
     fate = F.when(F.col("conflict"), "conflict").when(F.col("priority") < F.col("highest"), "cross_split").otherwise("kept")
     split = F.when(fate == "kept", component_split(F.col("priority"), F.col("component"), seed, calibration, validation, test))
     return joined.withColumns({"fate": fate, "split": split}).drop("highest", "conflict")

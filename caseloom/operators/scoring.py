@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,3 +71,22 @@ def fit_temperatures(predictions: DataFrame, least_rows: int = 10, low: float =
             step = (b - a) / (points - 1)
             ranges[kind] = (max(a, a + step * (best - 1)), min(b, a + step * (best + 1)))
     return {k: math.exp(sum(ranges[k]) / 2) if k in ranges else 1.0 for k in counts}
+
+
+def collected_logits(items: DataFrame, load: Callable[[], Callable[[list[list[int]], list[list[int]]], list[list[float]]]], size: int = 16) -> DataFrame:
+    """``(id, question_id, logits)`` of items with ``ids`` and ``markers`` from any model.
+
+    ``load`` makes the model once in each Python worker; the model takes ids and markers of up to ``size`` items, in
+    order of length so that little is padded, and gives a list of logits for each."""
+
+    def run(batches):
+        model = load()
+        for pdf in batches:
+            order = pdf["ids"].map(len).sort_values(kind="stable").index
+            found: dict[int, list[float]] = {}
+            for start in range(0, len(order), size):
+                chosen = order[start : start + size]
+                found |= dict(zip(chosen, model([list(x) for x in pdf["ids"][chosen]], [list(x) for x in pdf["markers"][chosen]])))
+            yield pdf[["id", "question_id"]].assign(logits=[found[i] for i in pdf.index])
+
+    return items.select("id", "question_id", "ids", "markers").mapInPandas(run, "id string, question_id string, logits array<double>")

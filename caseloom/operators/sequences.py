@@ -15,9 +15,10 @@ def dialogue_prefixes(turns: DataFrame, dialogue: str, turn: str, text: str) ->
     return turns.withColumn("prefix", F.array_join(F.collect_list(text).over(upto), "\n"))
 
 
-def session_starts(rows: DataFrame, key: str, time: str, gap_seconds: float) -> DataFrame:
-    """Each row with ``session``: the number from 1 of its run of rows less than a gap apart."""
-    by = Window.partitionBy(key).orderBy(time, "event_id")
+def session_starts(rows: DataFrame, key: str, time: str, gap_seconds: float, tie: str = "event_id") -> DataFrame:
+    """Each row with ``session``: the number from 1 of its run of rows at most a gap apart; ``tie`` orders rows of one
+    time."""
+    by = Window.partitionBy(key).orderBy(time, tie)
     far = F.coalesce((F.timestamp_diff("MICROSECOND", F.lag(time).over(by), F.col(time)) > int(gap_seconds * 1e6)).cast("int"), F.lit(1))
     return rows.withColumn("_far", far).withColumn("session", F.sum("_far").over(by).cast("long")).drop("_far")
 

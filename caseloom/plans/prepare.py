@@ -50,6 +50,19 @@ def length_report(spark: SparkSession, folder: str, head_cap: int, tok: T.Tokens
     }
 
 
+def dataset_descriptor(spark: SparkSession, items: str, config: dict, fingerprint: str) -> dict:
+    """What a training run needs to know of an item table: rows by split, kind and number of options, longest parts,
+    the tokenizer. Settings that the configuration leaves null are filled with measured values."""
+    table = spark.read.parquet(f"{items}/items")
+    one = F.count(F.lit(1)).alias("n")
+    kinds = {f"{r.file_split}:{r.kind_no}:{r.n_options}": r.n for r in table.groupBy("file_split", "kind_no", "n_options").agg(one).collect()}  # splits x kinds x options
+    longest = table.agg(F.max("prompt_len").alias("prompt"), F.max("state_len").alias("state")).first()
+    length = F.col("prompt_len") + F.col("state_len") + 1
+    measured = {"head_max_len": longest.prompt, "max_len": L.recommended_cap(table, length).first().cap}
+    filled = {k: measured.get(k) if v is None else v for k, v in config.items()}
+    return {"items": kinds, "longest_prompt": longest.prompt, "longest_state": longest.state, "tokenizer": fingerprint, "config": filled}
+
+
 def tokenizer_fingerprint(vocabulary: dict[str, int], special: dict[str, int]) -> str:
     """SHA-256 over the sorted vocabulary and the special ids: equal tokenizers, equal fingerprints."""
     return hashlib.sha256(json.dumps([sorted(vocabulary.items()), sorted(special.items())], ensure_ascii=False).encode()).hexdigest()

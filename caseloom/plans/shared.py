@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-#: A key that holds more than this share of the rows is hot. At most 1 / HOT_SHARE keys can be.
-HOT_SHARE = 1 / 512
+#: Keys with more rows than HOT_ROWS are spread, the HOT_KEYS heaviest of them, each over SALTS partitions.
+HOT_ROWS, HOT_KEYS, SALTS = 10_000, 512, 64
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,15 +34,20 @@ class Scratch:
     Result frames are lazy, so the tables under a result stay until the session's owner calls ``close`` or clears the
     shared folder."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, root: str | None = None):
+        """``root`` names a lasting folder of the caller's; otherwise a new one is made in the shared folder."""
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = root.rstrip("/") if root else f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, table: str) -> DataFrame:
         path = f"{self.root}/{table}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def has(self, path: str) -> bool:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
     def drop(self, *tables: str) -> None:
         for table in tables:
             self._delete(f"{self.root}/{table}")
@@ -55,20 +61,34 @@ class Scratch:
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def hot_keys(df: DataFrame, key: str, rows: int, share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than ``share`` of ``rows``: at most ``1 / share`` of them, so the result may be broadcast."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1.0, rows * share)).select(key)
+def hot_keys(df: DataFrame, key: str, rows: int | None = None, least: int = HOT_ROWS, most: int = HOT_KEYS) -> list[Row]:
+    """The heaviest keys with more than ``least`` rows, at most ``most`` of them; null is no key.
+
+    A key that isn't among them holds at most 1 / most of all rows, so every skew worth spreading is in the list, and
+    the list is bounded whatever the table is. Counts are combined before the shuffle; where the number of ``rows`` is
+    known and too small for any hot key, nothing is counted."""
+    if rows is not None and rows <= least:
+        return []
+    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(key)).agg(F.count(F.lit(1)).alias("n"))
+    return heaviest(counts, key, least, most)
+
+
+def heaviest(counts: DataFrame, key: str, least: int = HOT_ROWS, most: int = HOT_KEYS) -> list[Row]:
+    """:func:`hot_keys` of a table that has each key once with its number of rows ``n``."""
+    return counts.where(F.col("n") > least).orderBy(F.desc("n")).limit(most).select(key).collect()
 
 
-def salted_lookup(facts: DataFrame, table: DataFrame, key: str, hot: DataFrame, salts: int, spread: Column) -> DataFrame:
-    """``facts`` joined with ``table`` (one row per key) where rows of hot keys are spread over ``salts`` partitions.
+def salted_lookup(facts: DataFrame, table: DataFrame, key: str, hot: list[Row], spread: Column, how: str = "inner") -> DataFrame:
+    """``facts`` joined with ``table`` on ``key``, rows of hot keys spread over SALTS partitions by ``spread``.
 
-    ``hot`` comes from :func:`hot_keys` and is broadcast within its bound; only the table's hot rows are repeated."""
-    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    left = facts.join(marked, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(salts))).otherwise(0)).drop("_hot")
-    right = (
-        table.join(marked, key, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
-    )
-    return left.withColumn("_salt", F.col("_salt").cast("int")).join(right, [key, "_salt"]).drop("_salt")
+    Only the table's rows of hot keys are repeated. Without hot keys this is a plain join. ``how`` is inner or left."""
+    if not hot:
+        return facts.join(table, key, how)
+    kind = table.schema[key]
+    marks = facts.sparkSession.createDataFrame([(r[0], True) for r in hot], StructType([StructField(key, kind.dataType), StructField("_hot", BooleanType())]))
+    marks = F.broadcast(marks)  # at most HOT_KEYS rows
+    salt = F.when(F.col("_hot"), F.pmod(spread, F.lit(SALTS))).otherwise(0).cast("int")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = facts.join(marks, key, "left").withColumn("_salt", salt).drop("_hot")
+    right = table.join(marks, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
