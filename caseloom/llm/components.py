@@ -5,14 +5,13 @@ smallest node. Self loops and repeated edges do no harm; null ends are left out;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..plans.shared import Scratch, hot_keys, salted_lookup
-from .grouping import SALTS
+from ..plans.shared import Scratch, heaviest, hot_keys, salted_lookup
 
 #: Rate of the exponential shifts: a cluster reaches about ln(nodes) / RATE steps from its centre at most.
-RATE = 0.25
+RATE = 0.2
 #: Steps a cluster grows before its level is contracted. What it hasn't reached by then joins at a later level.
 STEPS = 3
 
@@ -27,9 +26,9 @@ def _shift(node: Column, seed: int) -> Column:
     return -F.log(uniform) / RATE
 
 
-def _at_ends(edges: DataFrame, table: DataFrame, hot: DataFrame) -> DataFrame:
+def _at_ends(edges: DataFrame, table: DataFrame, hot: list[Row]) -> DataFrame:
     """Edges joined on ``u`` with a table of one row per node ``u``; hot nodes are spread."""
-    return salted_lookup(edges, table, "u", hot, SALTS, F.xxhash64("v"))
+    return salted_lookup(edges, table, "u", hot, F.xxhash64("v"))
 
 
 def components_by_decomposition(edges: DataFrame, scratch: Scratch, label: str = "ldd", seed: int = 77) -> DataFrame:
@@ -45,7 +44,7 @@ def components_by_decomposition(edges: DataFrame, scratch: Scratch, label: str =
     count, level, assigned = left.count(), 0, []
     while count:
         both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hot = scratch.keep(hot_keys(both, "u", 2 * count), f"{label}-hot{level}")
+        hot = hot_keys(both, "u", 2 * count)
         state = both.select("u").distinct().select("u", F.struct((-_shift(F.col("u"), seed + level)).alias("t"), F.col("u").alias("c")).alias("best"))
         for _ in range(STEPS):
             reached = _at_ends(both, state, hot).select(F.col("v").alias("u"), F.struct((F.col("best.t") + 1).alias("t"), F.col("best.c").alias("c")).alias("best"))
@@ -63,15 +62,11 @@ def components_by_decomposition(edges: DataFrame, scratch: Scratch, label: str =
     final = assigned[-1].select("u", F.col("c").alias("end"))
     for k in range(level - 2, -1, -1):
         step = assigned[k]
-        rows = hot_keys(step, "c", step.count())
-        table = final.withColumnRenamed("u", "c")
-        marked = F.broadcast(rows.withColumn("_hot", F.lit(True)))
-        spread = step.join(marked, "c", "left").withColumn("s", F.when(F.col("_hot"), F.pmod(F.xxhash64("u"), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
-        wide = table.join(marked, "c", "left").withColumn("s", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-        final = scratch.keep(spread.join(wide, ["c", "s"], "left").select("u", F.coalesce("end", "c").alias("end")), f"{label}-final{k}")
-    smallest = final.groupBy("end").agg(F.min("u").alias("component"))
-    hot = hot_keys(final, "end", max(1, final.count()))
-    return scratch.keep(salted_lookup(final, smallest, "end", hot, SALTS, F.xxhash64("u")).select(F.col("u").alias("node"), "component"), f"{label}-components")
+        ends = salted_lookup(step, final.withColumnRenamed("u", "c"), "c", hot_keys(step, "c"), F.xxhash64("u"), "left")
+        final = scratch.keep(ends.select("u", F.coalesce("end", "c").alias("end")), f"{label}-final{k}")
+    smallest = final.groupBy("end").agg(F.min("u").alias("component"), F.count(F.lit(1)).alias("n"))
+    found = salted_lookup(final, smallest.select("end", "component"), "end", heaviest(smallest, "end"), F.xxhash64("u"))
+    return scratch.keep(found.select(F.col("u").alias("node"), "component"), f"{label}-components")
 
 
 def components_by_stars(edges: DataFrame, scratch: Scratch, label: str = "stars") -> DataFrame:
@@ -82,16 +77,16 @@ def components_by_stars(edges: DataFrame, scratch: Scratch, label: str = "stars"
     while True:
         # Large-star: every neighbour larger than u is tied to the smallest of u and its neighbours.
         both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hot = scratch.keep(hot_keys(both, "u", max(1, 2 * state[0])), f"{label}-hot{at}")
+        hot = hot_keys(both, "u", 2 * state[0])
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = _at_ends(both.where("v > u"), least, hot).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.keep(large, f"{label}-large{at}")
         # Small-star: u and its smaller neighbours are tied to the smallest of them.
-        hot_small = hot_keys(large, "u", max(1, large.count()))
+        hot_small = hot_keys(large, "u", 2 * state[0])  # a large-star has no more edges than it was given
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = _at_ends(large, least, hot_small).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = scratch.keep(tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{label}{at + 1}")
-        scratch.drop(f"{label}{at}", f"{label}-large{at}", f"{label}-hot{at}")
+        scratch.drop(f"{label}{at}", f"{label}-large{at}")
         left, at, before, state = small, at + 1, state, _state(small)
         if state == before:
             break

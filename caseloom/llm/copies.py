@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.shared import Scratch, salted_lookup
-from .grouping import BLOCK, SALTS, pairs_within
+from ..plans.shared import Scratch, heaviest, salted_lookup
+from .grouping import pairs_within
 from .lookforms import LookForm, content
 from .textforms import raw_bigrams
 
@@ -84,12 +84,10 @@ def copy_groups(raw: DataFrame, scratch: Scratch, bigrams: dict[str, int] | None
     left, found, at = rows.where("not empty"), [], 0
     while True:
         keys = scratch.keep(left.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("raw_no").alias("first_no")).where("n > 1"), f"keys{at}")
-        total = keys.agg(F.sum("n")).first()[0] or 0
-        hot = keys.where(F.col("n") > max(BLOCK, total / 512))
-        members = salted_lookup(left, keys, "fp", hot.select("fp"), SALTS, F.xxhash64("raw_no"))
+        members = salted_lookup(left, keys, "fp", heaviest(keys, "fp"), F.xxhash64("raw_no"))
         firsts = members.where("raw_no = first_no").dropDuplicates(["first_no"]).select("first_no", F.struct(*_FIELDS, "slots").alias("b"))
         own = members.select("raw_no", "fp", "first_no", F.struct(*_FIELDS, "slots").alias("a"))
-        checked = scratch.keep(salted_lookup(own, firsts, "first_no", hot.select("first_no"), SALTS, F.xxhash64("raw_no")).select("raw_no", "first_no", _same("a", "b").alias("same")), f"checked{at}")
+        checked = scratch.keep(salted_lookup(own, firsts, "first_no", heaviest(keys, "first_no"), F.xxhash64("raw_no")).select("raw_no", "first_no", _same("a", "b").alias("same")), f"checked{at}")
         found.append(checked.where("same").select("raw_no", "first_no"))
         if not checked.where("not same").limit(1).count():
             break

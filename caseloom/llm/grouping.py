@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import Scratch, hot_keys, salted_lookup
+from ..plans.shared import Scratch, heaviest, salted_lookup
 
 #: Rows of one block. A group of n rows becomes ceil(n / BLOCK) blocks, each pair of which is a join key of its own.
 BLOCK = 2000
-#: Partitions over which the rows of a hot key are spread.
-SALTS = 64
 
 
 def sized_members(rows: DataFrame, wanted: DataFrame | None, key: str, row_id: str, scratch: Scratch, label: str = "sizes") -> DataFrame:
@@ -19,9 +17,7 @@ def sized_members(rows: DataFrame, wanted: DataFrame | None, key: str, row_id: s
     if wanted is not None:
         sizes = sizes.join(wanted, key, "left_semi")
     sizes = scratch.keep(sizes, label)
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    hot = sizes.where(F.col("n") > max(BLOCK, total / 512)).select(key)  # at most 512 keys
-    return salted_lookup(rows, sizes, key, hot, SALTS, F.xxhash64(row_id))
+    return salted_lookup(rows, sizes, key, heaviest(sizes, key), F.xxhash64(row_id))
 
 
 def pairs_within(rows: DataFrame, wanted: DataFrame | None, key: str, row_id: str, scratch: Scratch, carry: str | None = None, label: str = "sizes", repeated: bool = True) -> DataFrame:
@@ -45,6 +41,3 @@ def pairs_within(rows: DataFrame, wanted: DataFrame | None, key: str, row_id: st
     if carry:
         ends += [F.when(swap, F.col("l.carry")).otherwise(F.col("r.carry")).alias("carry_a"), F.when(swap, F.col("r.carry")).otherwise(F.col("l.carry")).alias("carry_b")]
     return met.select(*ends)
-
-
-__all__ = ["BLOCK", "SALTS", "hot_keys", "pairs_within", "sized_members"]

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import Scratch, hot_keys, salted_lookup
+from ..plans.shared import Scratch, heaviest, hot_keys, salted_lookup
 from .components import components_by_decomposition, components_by_stars
-from .grouping import SALTS
 
 #: White space of any kind, at the ends of a split's name or making up a blank link key.
 _SPACE = r"[\s\x{85}\x{1c}-\x{1f}\p{Z}]"
@@ -32,9 +31,7 @@ def keyed_cases(cases: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     linked = base.select("case_no", F.lit("l").alias("space"), F.explode(entries).alias("key")).where(F.col("key").isNotNull() & ~_blank("key"))
     uses = scratch.keep(own.unionByName(linked).withColumn("at", F.struct("space", "key")), "uses")
     keys = scratch.keep(uses.groupBy("at").agg(F.min("case_no").alias("node"), F.count(F.lit(1)).alias("n")), "keys")
-    total = keys.agg(F.sum("n")).first()[0] or 0
-    hot = keys.where(F.col("n") > max(1.0, total / 512)).select("at")  # at most 512 keys
-    tied = scratch.keep(salted_lookup(uses, keys.select("at", "node"), "at", hot, SALTS, F.xxhash64("case_no")).select("case_no", "node"), "tied")
+    tied = salted_lookup(uses, keys.select("at", "node"), "at", heaviest(keys, "at"), F.xxhash64("case_no")).select("case_no", "node")
     anchor = tied.groupBy("case_no").agg(F.min("node").alias("anchor"), F.collect_set("node").alias("nodes"))  # a case's own few keys
     anchor = scratch.keep(anchor, "anchor")
     edges = anchor.select(F.col("anchor").alias("u"), F.explode("nodes").alias("v")).where("u <> v").distinct()
@@ -44,12 +41,8 @@ def keyed_cases(cases: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
 
 def _named(rows: DataFrame, components: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """``rows`` with the component of their ``node``; a node without edges is its own component."""
-    hot = hot_keys(rows, "node", max(1, rows.count())).withColumn("_hot", F.lit(True))
-    hot = F.broadcast(hot)
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int")
-    wide = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    left, right = rows.join(hot, "node", "left").withColumn("s", salt).drop("_hot"), components.join(hot, "node", "left").withColumn("s", wide).drop("_hot")
-    return scratch.keep(left.join(right, ["node", "s"], "left").withColumn("component", F.coalesce("component", "node")).drop("s"), label)
+    found = salted_lookup(rows, components, "node", hot_keys(rows, "node"), F.xxhash64(*rows.columns), "left")
+    return scratch.keep(found.withColumn("component", F.coalesce("component", "node")), label)
 
 
 def case_components(cases: DataFrame, scratch: Scratch, find=components_by_decomposition) -> DataFrame:
@@ -67,8 +60,7 @@ def spanning_components(cases: DataFrame, scratch: Scratch) -> DataFrame:
         F.min("group_key").alias("low"), F.max("group_key").alias("high"), F.count_if(F.col("group_key").isNull()).alias("alone"), F.count("group_key").alias("keyed")
     )
     wide = spans.where(F.col("low") < F.col("high")).select("component_no").unionByName(spans.where("coalesce(low = high, true) and alone + least(keyed, 1) > 1").select("component_no"))
-    hot = hot_keys(found, "component_no", max(1, found.count()))
-    return salted_lookup(found.select("case_no", "component_no"), wide, "component_no", hot, SALTS, F.xxhash64("case_no")).select("case_no", "component_no")
+    return salted_lookup(found.select("case_no", "component_no"), wide, "component_no", hot_keys(found, "component_no"), F.xxhash64("case_no")).select("case_no", "component_no")
 
 
 def clean_split(c: str) -> Column:
@@ -125,5 +117,4 @@ def split_conflicts(cases: DataFrame, groups: DataFrame, scratch: Scratch) -> Da
     alone = placed.where("component_no is null and low < high").select("grp")
     joined = placed.where("component_no is not null")
     torn = joined.groupBy("component_no").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("component_no")
-    hot = hot_keys(joined, "component_no", max(1, joined.count()))
-    return alone.unionByName(salted_lookup(joined, torn, "component_no", hot, SALTS, F.xxhash64("grp")).select("grp"))
+    return alone.unionByName(salted_lookup(joined, torn, "component_no", hot_keys(joined, "component_no"), F.xxhash64("grp")).select("grp"))

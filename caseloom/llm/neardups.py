@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import Scratch, salted_lookup
+from ..plans.shared import Scratch, heaviest, hot_keys, salted_lookup
 from .components import components_by_decomposition
-from .grouping import BLOCK, SALTS, pairs_within
+from .grouping import pairs_within
 from .textforms import look_and_content, raw_bigrams
 
 
@@ -177,8 +177,7 @@ def similar_classes(raw: DataFrame, scratch: Scratch, p: NearDuplicates = NearDu
     than a piece have no links. Null texts count as nothing; a repeated row counts once; extra columns don't matter."""
     rows = scratch.keep(record_contents(raw, bigrams), "contents")
     firsts = scratch.keep(rows.groupBy("digest").agg(F.min("raw_no").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
-    hot = firsts.where(F.col("n") > max(BLOCK, rows.count() / 512)).select("digest")
-    members = scratch.keep(salted_lookup(rows.select("raw_no", "digest"), firsts.select("digest", "id"), "digest", hot, SALTS, F.xxhash64("raw_no")).select("raw_no", "id").distinct(), "members")
+    members = scratch.keep(salted_lookup(rows.select("raw_no", "digest"), firsts.select("digest", "id"), "digest", heaviest(firsts, "digest"), F.xxhash64("raw_no")).select("raw_no", "id").distinct(), "members")
     texts = rows.select(F.col("raw_no").alias("id"), "content").join(firsts.select("id"), "id").dropDuplicates(["id"])
     signed = scratch.keep(sign_texts(texts, p), "signed")
     bands = signed.select("id", F.explode("keys").alias("key"))
@@ -194,12 +193,10 @@ def similar_classes(raw: DataFrame, scratch: Scratch, p: NearDuplicates = NearDu
 def similar_pairs(raw: DataFrame, scratch: Scratch, p: NearDuplicates = NearDuplicates(), bigrams: dict[str, int] | None = None) -> DataFrame:
     """All pairs ``(raw_a, raw_b)`` of rows with different contents and at least the threshold's similarity."""
     members, links = similar_classes(raw, scratch, p, bigrams)
-    sizes = scratch.keep(members.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK), "large")
-    hot = sizes.where(F.col("n") > members.count() / 512).select("id")  # at most 512 classes
-    met = links.select("id_a", "id_b")
+    hot, met = hot_keys(members, "id"), links.select("id_a", "id_b")
     for end in "ab":  # a class of copies with many rows is spread; what meets it is repeated, far less than comes out
         rows = members.select(F.col("id").alias(f"id_{end}"), F.col("raw_no").alias(end))
-        met = salted_lookup(rows, met, f"id_{end}", hot.withColumnRenamed("id", f"id_{end}"), SALTS, F.xxhash64(end))
+        met = salted_lookup(rows, met, f"id_{end}", hot, F.xxhash64(end))
     return met.select(F.least("a", "b").alias("raw_a"), F.greatest("a", "b").alias("raw_b"))
 
 

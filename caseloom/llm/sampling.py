@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import Scratch, hot_keys, salted_lookup
-from .grouping import SALTS
 
 _BITS = 52
 
@@ -53,8 +52,7 @@ class PermanentSample:
         """The rows of chosen identifiers with ``identity`` and ``u``, which replace columns of these names; rows of a
         hot identifier are spread."""
         marked = rows.drop("identity", "u").withColumn("identity", self.identity(identifier, fallback))
-        hot = hot_keys(marked, "identity", max(1, rows.count()))
-        return salted_lookup(marked, self.select(share), "identity", hot, SALTS, F.xxhash64(fallback))
+        return salted_lookup(marked, self.select(share), "identity", hot_keys(marked, "identity"), F.xxhash64(fallback))
 
 
 def grown_sample(rows: DataFrame, arrivals: list[Column], identifier: Column, fallback: Column, share: float, scratch: Scratch, seed: int = 0) -> DataFrame:
