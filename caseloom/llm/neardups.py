@@ -20,14 +20,16 @@ from .textforms import look_and_content, raw_bigrams
 class NearDuplicates:
     """``threshold``: least similarity (shared over all distinct pieces of ``piece`` characters). ``margin``: true
     pairs lie at ``threshold + margin`` or above for the stated recall; pairs between are found less surely.
-    ``rows`` x ``bands`` minimum hashes: a pair of similarity s becomes a candidate with 1 - (1 - s^rows)^bands.
-    ``miss``: a candidate is dropped only if, after a batch of ``batch`` hashes, its posterior probability of reaching
-    the threshold is below this."""
+    ``rows`` x ``bands`` minimum hashes: a pair of similarity s becomes a candidate with 1 - (1 - s^rows)^bands. More
+    rows leave far fewer chance candidates, whose number grows with the square of the corpus; more bands make up for
+    the recall. ``kept`` hashes serve the comparison of candidates. ``miss``: a candidate is dropped only if, after a
+    batch of ``batch`` hashes, its posterior probability of reaching the threshold is below this."""
 
     threshold: float = 0.6
     piece: int = 4
-    rows: int = 4
-    bands: int = 40
+    rows: int = 5
+    bands: int = 64
+    kept: int = 160
     batch: int = 32
     miss: float = 1e-4
     seed: int = 20_04
@@ -43,7 +45,7 @@ class NearDuplicates:
         grid = (np.arange(4000) + 0.5) / 4000
         agree = grid + (1 - grid) / 256
         out = []
-        for n in range(self.batch, self.rows * self.bands + 1, self.batch):
+        for n in range(self.batch, self.kept + 1, self.batch):
             m = np.arange(n + 1)[:, None]
             weight = m * np.log(agree) + (n - m) * np.log1p(-agree)
             weight = np.exp(weight - weight.max(axis=1, keepdims=True))
@@ -54,6 +56,7 @@ class NearDuplicates:
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(0xBF58476D1CE4E5B9)
+_MIX32 = np.uint32(0x2C1B3C6D)
 
 
 def piece_hashes(text: str, piece: int) -> np.ndarray:
@@ -75,8 +78,8 @@ def signatures(texts: list[str], p: NearDuplicates) -> np.ndarray:
     Texts are taken in chunks of about half a million pieces, so that memory doesn't follow the length of a batch."""
     count = p.rows * p.bands
     rng = np.random.default_rng(p.seed)
-    factors = rng.integers(0, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shifts = rng.integers(0, 2**63, count, dtype=np.uint64)
+    factors = rng.integers(0, 2**31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    shifts = rng.integers(0, 2**32, count, dtype=np.uint32)
     out = np.empty((len(texts), count), dtype=np.uint32)
     at = 0
     while at < len(texts):
@@ -86,12 +89,13 @@ def signatures(texts: list[str], p: NearDuplicates) -> np.ndarray:
             total += len(sets[-1])
             end += 1
         starts = np.cumsum([0] + [len(s) for s in sets])[:-1]
-        flat = np.concatenate(sets)
+        flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
         for k in range(count):
             h = flat * factors[k] + shifts[k]
-            h ^= h >> np.uint64(32)
-            h *= _END
-            out[at:end, k] = np.minimum.reduceat((h >> np.uint64(32)).astype(np.uint32), starts)
+            h ^= h >> np.uint32(15)
+            h *= _MIX32
+            h ^= h >> np.uint32(13)
+            out[at:end, k] = np.minimum.reduceat(h, starts)
         at = end
     return out
 
@@ -108,7 +112,7 @@ def band_keys(sig: np.ndarray, p: NearDuplicates) -> np.ndarray:
 
 def sign_texts(classes: DataFrame, p: NearDuplicates) -> DataFrame:
     """``(id, keys, signature)`` of each text with a piece: band keys, and one byte of each minimum hash."""
-    width = p.rows * p.bands
+    width = p.kept
 
     def run(batches):
         for batch in batches:
@@ -116,7 +120,7 @@ def sign_texts(classes: DataFrame, p: NearDuplicates) -> DataFrame:
             sig = signatures(texts, p)
             keys = band_keys(sig, p)
             offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * p.bands)
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(texts), [None, pa.py_buffer((sig & 0xFF).astype(np.uint8).tobytes())])
+            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(texts), [None, pa.py_buffer((sig[:, :width] & 0xFF).astype(np.uint8).tobytes())])
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), raw.cast(pa.binary())], ["id", "keys", "signature"])
 
     return classes.where(F.length("content") >= p.piece).select("id", "content").mapInArrow(run, "id long, keys array<long>, signature binary")
@@ -124,7 +128,7 @@ def sign_texts(classes: DataFrame, p: NearDuplicates) -> DataFrame:
 
 def prune(pairs: DataFrame, p: NearDuplicates) -> DataFrame:
     """Candidates left after the sequential comparison; input ``(id_a, id_b, sig_a, sig_b)``."""
-    bounds, width = p.bounds(), p.rows * p.bands
+    bounds, width = p.bounds(), p.kept
 
     def bytes_of(column: pa.Array) -> np.ndarray:
         column = column.cast(pa.binary())
