@@ -16,18 +16,25 @@ def permanent_number(identity: Column, seed: int) -> Column:
 
 
 class PermanentSample:
-    """Permanent random numbers kept in a table of the shared folder.
+    """Permanent random numbers kept in a folder; a sample opened there again goes on where it was.
 
     ``insert`` gives a value to each identifier that has none yet (anti-join) and never touches another; ``select``
-    takes the identifiers under a threshold. The threshold never falls: asking for a smaller share than before gives
-    the earlier, larger one, so what was chosen once stays chosen. Each insert is a batch with a number of its own and
-    written whole, so a repeated batch replaces itself.
+    takes the identifiers under a threshold. The threshold is kept too and never falls: asking for a smaller share than
+    before gives the earlier, larger one, so what was chosen once stays chosen. Each insert is a batch with a number of
+    its own and written whole, so a batch that broke off is replaced by its repetition.
 
     Identifiers are compared as written. A null identifier is none, so its row gets one of its own from ``fallback``."""
 
-    def __init__(self, scratch: Scratch, seed: int = 0):
-        self.scratch, self.seed, self.batches, self.threshold = scratch, seed, 0, 0.0
+    def __init__(self, folder: Scratch, seed: int = 0):
+        self.folder, self.seed, self.batches = folder, seed, 0
         self.known: DataFrame | None = None
+        while folder.has(f"numbers/batch={self.batches}/_SUCCESS"):
+            self._add(folder.spark.read.parquet(f"{folder.root}/numbers/batch={self.batches}"))
+        self.threshold = folder.spark.read.parquet(f"{folder.root}/thresholds").agg(F.max("share")).first()[0] if folder.has("thresholds/_SUCCESS") else 0.0
+
+    def _add(self, batch: DataFrame) -> None:
+        self.batches += 1
+        self.known = batch if self.known is None else self.known.unionByName(batch)
 
     @staticmethod
     def identity(identifier: Column, fallback: Column) -> Column:
@@ -37,15 +44,15 @@ class PermanentSample:
         fresh = rows.select(self.identity(identifier, fallback).alias("identity")).distinct()
         if self.known is not None:
             fresh = fresh.join(self.known, "identity", "left_anti")
-        batch = self.scratch.keep(fresh.withColumn("u", permanent_number(F.col("identity"), self.seed)), f"numbers/batch={self.batches}")
-        self.batches += 1
-        self.known = batch if self.known is None else self.known.unionByName(batch)
+        self._add(self.folder.keep(fresh.withColumn("u", permanent_number(F.col("identity"), self.seed)), f"numbers/batch={self.batches}"))
 
     def select(self, share: float) -> DataFrame:
         """The chosen ``identity`` and its value ``u``."""
-        self.threshold = max(self.threshold, share)
         if self.known is None:
             raise ValueError("nothing has been inserted")
+        if share > self.threshold:
+            self.threshold = share
+            self.folder.spark.createDataFrame([(share,)], "share double").coalesce(1).write.mode("append").parquet(f"{self.folder.root}/thresholds")
         return self.known.where(F.col("u") < self.threshold)
 
     def rows(self, rows: DataFrame, identifier: Column, fallback: Column, share: float) -> DataFrame:
@@ -55,9 +62,9 @@ class PermanentSample:
         return salted_lookup(marked, self.select(share), "identity", hot_keys(marked, "identity"), F.xxhash64(fallback))
 
 
-def grown_sample(rows: DataFrame, arrivals: list[Column], identifier: Column, fallback: Column, share: float, scratch: Scratch, seed: int = 0) -> DataFrame:
+def grown_sample(rows: DataFrame, arrivals: list[Column], identifier: Column, fallback: Column, share: float, folder: Scratch, seed: int = 0) -> DataFrame:
     """Rows of a sample built up delivery by delivery: ``arrivals`` are conditions, inserted in turn."""
-    sample = PermanentSample(scratch, seed)
+    sample = PermanentSample(folder, seed)
     for arrived in arrivals:
         sample.insert(rows.where(arrived), identifier, fallback)
     return sample.rows(rows, identifier, fallback, share)

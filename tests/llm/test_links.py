@@ -153,3 +153,21 @@ def test_threshold_never_falls(spark):
     sample.insert(df, F.col("id"), F.col("raw_no"))
     assert first < {r.identity for r in sample.select(0.2).collect()}
     assert sample.known.count() == sample.known.select("identity").distinct().count() == 500
+
+
+def test_sample_goes_on_where_it_was(spark, tmp_path):
+    """Another session opens the folder: values and threshold are there, a broken batch is repeated."""
+    df = spark.createDataFrame([(f"i{k}", k) for k in range(300)], "id string, raw_no long")
+    folder = Scratch(spark, "t", str(tmp_path / "sample"))
+    first = PermanentSample(folder, 1)
+    first.insert(df.where("raw_no < 100"), F.col("id"), F.col("raw_no"))
+    chosen = {r.identity for r in first.select(0.6).collect()}
+    (tmp_path / "sample/numbers/batch=1").mkdir()  # an insert that broke off
+    again = PermanentSample(Scratch(spark, "t", str(tmp_path / "sample")), 1)
+    assert again.threshold == 0.6 and again.batches == 1
+    again.insert(df, F.col("id"), F.col("raw_no"))
+    assert chosen < {r.identity for r in again.select(0.1).collect()}
+    assert again.known.count() == 300
+    # The value of first sight stays, whatever the seed is later.
+    other = PermanentSample(Scratch(spark, "t", str(tmp_path / "sample")), 99)
+    assert {r.identity: r.u for r in other.known.collect()} == {r.identity: r.u for r in again.known.collect()}
