@@ -1,4 +1,4 @@
-"""Command line: list-adapters, init, build, verify, stats."""
+"""Command line: list-adapters, init, build, verify, stats, tokenize, evaluate."""
 
 from __future__ import annotations
 
@@ -28,6 +28,15 @@ def main(args: list[str] | None = None) -> int:
     stats = verbs.add_parser("stats")
     stats.add_argument("folder")
     stats.add_argument("--head", type=int, default=192)
+    tokenize = verbs.add_parser("tokenize")
+    tokenize.add_argument("folder")
+    tokenize.add_argument("output")
+    tokenize.add_argument("--head", type=int, default=192)
+    tokenize.add_argument("--tokenizer", help="vocabulary file of a public library; one token a character without it")
+    tokenize.add_argument("--special", nargs=4, metavar=("CLS", "SEP", "MASK", "PAD"), default=["[CLS]", "[SEP]", "[MASK]", "[PAD]"])
+    evaluate = verbs.add_parser("evaluate")
+    evaluate.add_argument("predictions", help="Parquet table with split, qtype, logits and target")
+    evaluate.add_argument("--calibrate-on", default="calibration", help="split that the temperatures are fitted on")
     chosen = parser.parse_args(args)
     if chosen.verb == "list-adapters":
         from .sources.adapters import Registry
@@ -55,6 +64,18 @@ def main(args: list[str] | None = None) -> int:
         from .plans.build import verify_release
 
         print(json.dumps(verify_release(_session("caseloom verify"), chosen.folder), ensure_ascii=False, indent=2))
+    elif chosen.verb == "tokenize":
+        from .operators.compiling import character_tokens, library_tokens
+        from .plans.build import read_cases
+        from .plans.prepare import write_items
+
+        spark = _session("caseloom tokenize")
+        tok = library_tokens(chosen.tokenizer, *chosen.special) if chosen.tokenizer else character_tokens()
+        write_items(read_cases(spark, chosen.folder), tok, chosen.head, chosen.output)
+    elif chosen.verb == "evaluate":
+        from .plans.prepare import evaluation_report
+
+        print(json.dumps(evaluation_report(_session("caseloom evaluate").read.parquet(chosen.predictions), chosen.calibrate_on), ensure_ascii=False, indent=2))
     else:
         from .plans.prepare import length_report
 

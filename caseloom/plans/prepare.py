@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import cases as C
 from ..operators import compiling as T
 from ..operators import lengths as L
+from ..operators import scoring as S
 from .build import read_cases
 
 
@@ -63,6 +64,27 @@ def dataset_descriptor(spark: SparkSession, items: str, config: dict, fingerprin
     return {"items": kinds, "longest_prompt": longest.prompt, "longest_state": longest.state, "tokenizer": fingerprint, "config": filled}
 
 
+def evaluation_report(predictions: DataFrame, calibrate_on: str = "calibration") -> dict:
+    """Temperatures fitted on one split's predictions ``(split, qtype, logits, target)``, and what they give on the
+    others: items, accuracy, mean log score and confidence, calibration error, by split and kind."""
+    temperatures = S.fit_temperatures(predictions.where(F.col("split") == calibrate_on))
+    scored = S.with_temperatures(predictions.where(F.col("split") != calibrate_on), temperatures)
+    errors = {(r.split, r.qtype): r.ece for by in ((), ("qtype",)) for r in _with_kind(S.calibration_error(scored, "split", *by)).collect()}
+    out: dict = {"temperatures": temperatures, "splits": {}}
+    for r in S.evaluation(scored, "split").orderBy("split", "qtype").collect():  # splits x kinds
+        entry = {k: r[k] for k in ("items", "accuracy", "mean_log_score", "mean_confidence")} | {"ece": errors[r.split, r.qtype]}
+        own = out["splits"].setdefault(r.split, {"by_type": {}})
+        if r.qtype is None:
+            own |= entry
+        else:
+            own["by_type"][r.qtype] = entry
+    return out
+
+
+def _with_kind(errors: DataFrame) -> DataFrame:
+    return errors if "qtype" in errors.columns else errors.withColumn("qtype", F.lit(None).cast("string"))
+
+
 def tokenizer_fingerprint(vocabulary: dict[str, int], special: dict[str, int]) -> str:
     """SHA-256 over the sorted vocabulary and the special ids: equal tokenizers, equal fingerprints."""
     return hashlib.sha256(json.dumps([sorted(vocabulary.items()), sorted(special.items())], ensure_ascii=False).encode()).hexdigest()

@@ -11,7 +11,7 @@ from caseloom.operators import components as G
 from caseloom.operators import joins as J
 from caseloom.operators import scoring as S
 from caseloom.plans import shared
-from caseloom.plans.prepare import dataset_descriptor, read_items, tokenizer_fingerprint, write_items
+from caseloom.plans.prepare import dataset_descriptor, evaluation_report, read_items, tokenizer_fingerprint, write_items
 
 
 @pytest.fixture
@@ -133,3 +133,18 @@ def test_item_tables(spark, tmp_path):
     assert read_items(spark, str(tmp_path / "t"), 100, whole_state=False).count() == 199
     told = dataset_descriptor(spark, str(tmp_path / "t"), {"max_len": None, "seed": 4}, tokenizer_fingerprint({"a": 1}, {"pad": 0}))
     assert told["items"] == {"train:2:2": 199} and told["config"] == {"max_len": 1024, "seed": 4} and told["longest_state"] == 199
+
+
+def test_evaluation_report(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        k = rng.randrange(3)
+        gold = k if rng.random() < 0.8 else rng.randrange(3)
+        rows.append((rng.choice(["calibration", "test"]), rng.choice(["choice", "score"]), [5.0 * (j == k) for j in range(3)], [float(j == gold) for j in range(3)]))
+    df = spark.createDataFrame(rows, "split string, qtype string, logits array<double>, target array<double>")
+    report = evaluation_report(df)
+    assert set(report["temperatures"]) == {"choice", "score"} and set(report["splits"]) == {"test"}
+    test = report["splits"]["test"]
+    assert test["items"] == sum(r[0] == "test" for r in rows) == sum(x["items"] for x in test["by_type"].values())
+    assert abs(test["accuracy"] - 0.87) < 0.1 and test["ece"] < 0.12
