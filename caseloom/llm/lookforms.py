@@ -124,11 +124,12 @@ def _content_char(ch: str) -> str:
 _SKELETONS = _Lazy(_skeleton)
 _CONTENTS = _Lazy(_content_char)
 _OPEN = {ch for group in set(CLASS_OF.values()) for ch in group}
-#: A Latin letter outside every class leaves a purely ASCII token no other script.
+#: A Latin letter outside every class leaves a token of ASCII letters, with or without accents, no other script.
 _LATIN_ONLY = {ch for ch in map(chr, [*range(65, 91), *range(97, 123)]) if ch not in CLASS_OF}
 _DOUBLE = re.compile("[" + "".join(ch for group in sorted(set(CLASS_OF.values())) for ch in group[1:]) + "]")
 _TOKEN = re.compile("[A-Za-zÀ-ɏɐ-ʯǀ∣̀-ͯͰ-֏Ꭰ-᏿Ḁ-῿]+")
 _KANA = re.compile("[ぁ-ゖァ-ヺ]")
+_OPEN_HAN = re.compile("[" + "".join(sorted(ch for ch in CLASS_OF if ch > "\u2fff")) + "]+")
 _KANA_TOKEN = re.compile("[぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]+")
 _POINT = re.compile(r"(?<!\d)\.|\.(?!\d)")
 
@@ -163,7 +164,8 @@ class LookForm:
         token = match[0]
         found = self.cache.get(token)
         if found is None:
-            if token.isascii() and not _LATIN_ONLY.isdisjoint(token):
+            plain = token if token.isascii() else "".join(ch for ch in unicodedata.normalize("NFD", token) if not unicodedata.combining(ch))
+            if plain.isascii() and not _LATIN_ONLY.isdisjoint(plain):
                 found = token
             else:
                 found = self.decode(token)
@@ -222,23 +224,23 @@ def _without_strays(text: str) -> str:
 
 
 def bigram_counts(texts: Iterable[str | None]) -> Counter:
-    """Counts of neighbouring letters, stray doubles put right, of which at least one is a member of a look-alike class; a member after anything
-    but a letter counts as the start of a token.
+    """Counts of neighbouring letters of a token, stray doubles put right, of which at least one is a member of a
+    look-alike class; a member at the head of a token, or after a mark, counts as its start.
 
     Letters beside members count below U+2000 only, so the table has at most 2 x members x 8192 entries, a bound that
     does not depend on the corpus."""
-    pairs: Counter = Counter()
+    tokens: Counter = Counter()
     for text in texts:
         if text:
             if not text.isascii() and _DOUBLE.search(text):
                 text = _without_strays(text)
-            pairs.update(zip(" " + text, text))
+            tokens.update(_TOKEN.findall(text))
+            tokens.update(_OPEN_HAN.findall(text))
     kept: Counter = Counter()
-    for (a, b), n in pairs.items():
-        if a in _OPEN and (b in _OPEN or b.isalpha() and b < "\u2000") or b in _OPEN and a.isalpha() and a < "\u2000":
-            kept[a + b] += n
-        elif b in _OPEN:
-            kept[" " + b] += n
+    for token, n in tokens.items():
+        for a, b in zip(" " + token, token):
+            if b in _OPEN or a in _OPEN and b.isalpha():
+                kept[(a if a.isalpha() else " ") + b] += n
     return kept
 
 
