@@ -30,7 +30,7 @@ aаɑ cсϲ dԁ eе gɡ hһ iіᎥ jјϳ lӏ oоοօ pр qԛ sѕ uս vѵν wԝ x
 # Han characters and the kana drawn like them; hiragana and the katakana drawn like them.
 KANA_DOUBLES = "一ー 二ニ 八ハ 力カ 千チ 卜ト 口ロ 夕タ 工エ 才オ へヘ べベ ぺペ"
 # Characters drawn like several Latin letters at once.
-DOUBTFUL = {"Ӏ": "Il", "ǀ": "Il", "∣": "Il"}
+DOUBTFUL = {"Ӏ": "Il", "ǀ": "Il"}
 # CJK radicals (U+2E81 to U+2EF3) and the unified ideographs they are drawn like.
 RADICALS = """
 ⺁厂 ⺂乛 ⺃乚 ⺄乙 ⺅亻 ⺆冂 ⺉刂 ⺊卜 ⺋㔾 ⺌小 ⺍小 ⺎兀 ⺏尣 ⺐尢 ⺒巳 ⺓幺 ⺔彑 ⺕彐 ⺖忄 ⺗㣺 ⺘扌 ⺙攵 ⺛旡 ⺜日 ⺝月 ⺞歺 ⺠民 ⺡氵 ⺢氺 ⺣灬 ⺤爫 ⺥爫
@@ -66,6 +66,8 @@ def script(ch: str) -> str:
 
 def _plain(ch: str) -> str:
     """What one character is drawn like, before look-alike classes; '' for a character without a mark."""
+    if ch in CLASS_OF:
+        return ch  # some members have a compatibility mapping of another look
     if ch in OTHER_BLANKS:
         return " "
     category = unicodedata.category(ch)
@@ -127,7 +129,7 @@ _OPEN = {ch for group in set(CLASS_OF.values()) for ch in group}
 #: A Latin letter outside every class leaves a token of ASCII letters, with or without accents, no other script.
 _LATIN_ONLY = {ch for ch in map(chr, [*range(65, 91), *range(97, 123)]) if ch not in CLASS_OF}
 _DOUBLE = re.compile("[" + "".join(ch for group in sorted(set(CLASS_OF.values())) for ch in group[1:]) + "]")
-_TOKEN = re.compile("[A-Za-zÀ-ɏɐ-ʯǀ∣̀-ͯͰ-֏Ꭰ-᏿Ḁ-῿]+")
+_TOKEN = re.compile("[A-Za-zÀ-ɏɐ-ʯǀ̀-ͯͰ-֏Ꭰ-᏿Ḁ-῿]+")
 _KANA = re.compile("[ぁ-ゖァ-ヺ]")
 _OPEN_HAN = re.compile("[" + "".join(sorted(ch for ch in CLASS_OF if ch > "\u2fff")) + "]+")
 _KANA_TOKEN = re.compile("[぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]+")
@@ -181,34 +183,31 @@ class LookForm:
     def decode(self, token: str) -> str:
         """Viterbi over the token's lattice: fewest changes of script, then the best sum of bigram scores, then the
         earliest members of the classes."""
-        states: dict[str, tuple] = {}
-        back: list[dict[str, str | None]] = []
-        previous: dict[str, tuple] = {}
-        for at, ch in enumerate(token):
+        # A state is what is shown at a place and the script so far; marks have the script of what they stand on.
+        previous: dict[tuple[str, str], tuple] = {("", ""): (0, 0.0, 0)}
+        back: list[dict] = []
+        for ch in token:
             base, marks = ch, ""
             if ch not in CLASS_OF and ch not in DOUBTFUL and len(parts := unicodedata.normalize("NFD", ch)) > 1 and parts[0] in CLASS_OF:
                 base, marks = parts[0], parts[1:]
-            options = DOUBTFUL.get(base) or CLASS_OF.get(base, base)
-            states, links = {}, {}
+            options = "".join(CLASS_OF[x] for x in DOUBTFUL.get(base, "")) or CLASS_OF.get(base, base)
+            states: dict[tuple[str, str], tuple] = {}
+            links: dict = {}
             for rank, option in enumerate(options):
                 shown = unicodedata.normalize("NFC", option + marks)
                 own = "" if unicodedata.combining(shown[0]) else script(option)
-                if not at:
-                    states[shown], links[shown] = (0, -self._score(" ", shown), rank, own), None
-                    continue
-                best = None
-                for p, (changes, cost, ranks, before) in previous.items():
-                    now = own or before
-                    entry = (changes + (bool(before) and now != before), cost - self._score(p[-1], shown[0]), ranks + rank, p, now)
-                    if best is None or entry[:4] < best[:4]:
-                        best = entry
-                states[shown], links[shown] = (best[0], best[1], best[2], best[4]), best[3]
+                for key, (changes, cost, ranks) in previous.items():
+                    now = own or key[1]
+                    entry = (changes + (key[1] not in ("", now)), cost - self._score(key[0][-1:] or " ", shown[0]), ranks + rank)
+                    to = (shown, now)
+                    if to not in states or (entry, key) < (states[to], links[to]):
+                        states[to], links[to] = entry, key
             back.append(links)
             previous = states
-        last = min(previous, key=lambda s: (*previous[s][:3], s))
+        last = min(previous, key=lambda s: (previous[s], s))
         path = []
         for links in reversed(back):
-            path.append(last)
+            path.append(last[0])
             last = links[last]
         return unicodedata.normalize("NFC", "".join(reversed(path)))
 

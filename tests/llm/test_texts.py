@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from caseloom.llm.copies import collapsed, copy_groups, copy_pairs
-from caseloom.llm.lookforms import LookForm, content
+from caseloom.llm.lookforms import CLASS_OF, DOUBTFUL, LookForm, content
 from caseloom.llm.neardups import NearDuplicates, exact_similarity, similar_groups, similar_pairs
 from caseloom.llm.textforms import canonical_texts, raw_bigrams, same_look_pairs
 from caseloom.plans.shared import Scratch
@@ -53,8 +53,16 @@ def test_lattice_keeps_real_scripts():
     assert greek("TO") == greek("ΤΟ") == "ΤΟ"
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(max_size=40))
+MEMBERS = "".join(CLASS_OF) + "".join(DOUBTFUL) + "μµΣλкшдMmÑñüé́̃ ."
+
+
+def test_members_of_a_class_look_the_same():
+    for group in set(CLASS_OF.values()):
+        assert len({form(ch) for ch in group}) == 1, group
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.one_of(st.text(max_size=40), st.text(alphabet=st.sampled_from(MEMBERS), max_size=8)))
 def test_form_is_stable_and_composed(text):
     once = form(text)
     assert form(once) == once
