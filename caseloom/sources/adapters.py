@@ -149,6 +149,9 @@ _UNLETTER = "transform({0}, x -> regexp_replace(x, '^\\\\s*[A-Z][\\\\s.．、:
 _TURNS = (("turns", "array_join(transform(slice(dialogue, 1, turn_no + 1), t -> concat(t.speaker, '：', t.sentence)), '\\n')"),)
 _PAIR = dict(read="array", group=("question", "left"), links="array(left, right)")
 _SPAN = dict(read="records", kind="choice", group=_EXAM_GROUP)
+_CAUSAL = "array('因果关系','上下位关系')"
+#: Lines like ``A，B：因果关系`` of a target, each once; a line otherwise keeps its text as subject, and a blank target is one entry without a label.
+_PAIR_LINES = "array_distinct(transform(if(trim(coalesce(target, '')) = '', array(''), filter(split(target, '\\r?\\n'), x -> trim(x) <> '')), x -> named_struct('subject', if(x rlike '^[^，]*，[^，]*：[^：]*$', trim(split(regexp_extract(x, '^(.*)：[^：]*$', 1), '，')[0]), x), 'object', if(x rlike '^[^，]*，[^，]*：[^：]*$', trim(split(regexp_extract(x, '^(.*)：[^：]*$', 1), '，')[1]), null), 'label', if(x rlike '：', regexp_extract(x, '：([^：]*)$', 1), null))))"
 
 #: Shapes of known sources by the adapter's name.
 SHAPES: dict[str, Shape] = {
@@ -177,7 +180,7 @@ SHAPES: dict[str, Shape] = {
     "cmb_exam_full": Shape("records", "id string, question string, option map<string,string>, answer string", "choice", "'{prompt}'", "question", "array_position(map_keys(given), answer) - 1", "map_values(given)", keys="map_keys(given)", group=_EXAM_GROUP, derive=(("given", "map_filter(option, (k, v) -> trim(v) <> '')"),), rules=(("not answer rlike '^[A-Z]$'", "no single answer"),), defaults={"prompt": "请回答下面的题目。"}),
     "medqa_full": Shape("records", "question string, options map<string,string>, answer_idx string, answer string", "choice", "'{prompt}'", "question", "array_position(map_keys(options), answer_idx) - 1", "map_values(options)", keys="map_keys(options)", group=_EXAM_GROUP, rules=(("options[answer_idx] <> answer", "answer and its letter differ"),), defaults={"prompt": "请回答下面的题目。"}),
     "mlec_qa": Shape("records", "qid string, qtype string, qtext string, options map<string,string>, answer string", "choice", "'{prompt}'", "qtext", "array_position(map_keys(options), answer) - 1", "map_values(options)", keys="map_keys(options)", group=("medical_text", "qtext"), rules=(("not answer rlike '^[A-Z]$'", "no single answer"),), defaults={"prompt": "请回答下面的题目。"}),
-    "cnmleqa": Shape("records", "id string, question string, opa string, opb string, opc string, opd string, ope string, answer string", "choice", "'{prompt}'", "question", _LETTER.format("answer"), "array(opa, opb, opc, opd, ope)", group=_EXAM_GROUP, defaults={"prompt": "请回答下面的题目。"}),
+    "cnmleqa": Shape("records", "id string, question string, opa string, opb string, opc string, opd string, ope string, answer string", "choice", "'{prompt}'", "question", "array_position(array('opa','opb','opc','opd','ope'), answer) - 1", "array(opa, opb, opc, opd, ope)", group=_EXAM_GROUP, defaults={"prompt": "请回答下面的题目。"}),
     "empec": Shape("records", "year string, subject string, profession string, question string, answer string", "choice", "'{prompt}'", "stem", _LETTER.format("answer"), "slice(parts, 2, 4)", group=("medical_text", "stem"), derive=(("parts", "transform(split(question, '\\\\s*[A-D][.．]\\\\s*'), x -> trim(x))"), ("stem", "parts[0]")), rules=(("size(parts) <> 5", "not four options"), ("not answer rlike '^[A-D]$'", "no single answer")), defaults={"prompt": "请回答下面的题目。"}),
     # Dialogues and records.
     "imcs21_clinical": Shape("dictionary", "dialogue array<struct<speaker string, sentence string, dialogue_act string>>", "choice", "turns", "'{prompt}'", "array_position({labels}, turn.dialogue_act) - 1", "{labels}", group=("dialogue", "key"), links="array(array_join(transform(dialogue, t -> t.sentence), '\\n'))", unfold=(("dialogue", "turn_no", "turn"),), derive=_TURNS, defaults={"prompt": "最后一句的对话行为是？"}),
@@ -193,7 +196,7 @@ SHAPES: dict[str, Shape] = {
     "text2dt_typing": Shape(schema="text string, tree array<struct<triples array<array<string>>>>", state="text", ask="concat('{prompt}', r[0], '、', r[2])", answer="array_position({labels}, r[1]) - 1", options="{labels}", unfold=(("array_sort(array_distinct(flatten(transform(tree, t -> t.triples))))", "pair_no", "r"),), derive=(("question", "text"),), defaults={"prompt": "两个词是什么关系："}, **_SPAN),
     "cdn_retrieved_pairs": Shape("tsv", "text_a string, text_b string, label string", "noul", "concat(text_a, '\\n', text_b)", "'{prompt}'", "case label when '1' then true when '0' then false end", group=("medical_text", "text_a"), defaults={"prompt": "后者是前者的标准说法之一吗？"}),
     "alternatecd_mdcf": Shape("records", "task_dataset string, answer_choices array<string>, input string, target string, sample_id string", "choice", "input", "concat('{prompt}', parts[1])", "array_position(answer_choices, parts[2]) - 1", "answer_choices", group=("medical_text", "input"), unfold=(("filter(split(target, '\\\\n'), x -> trim(x) <> '')", "finding_no", "entry"),), derive=(("parts", "array('', regexp_extract(entry, '^(.*)：([^：]*)$', 1), regexp_extract(entry, '^(.*)：([^：]*)$', 2))"),), defaults={"prompt": "这个发现的性质是："}),
-    "alternatecd_causal_pair": Shape("records", "task_dataset string, answer_choices array<string>, input string, target string, sample_id string", "choice", "input", "'{prompt}'", "array_position(answer_choices, trim(target)) - 1", "answer_choices", group=("medical_text", "input"), defaults={"prompt": "两件事是什么关系？"}),
+    "alternatecd_causal_pair": Shape("records", "task_dataset string, answer_choices array<string>, input string, target string, sample_id string", "choice", "input", "concat('{prompt}', r.subject, '、', r.object)", "array_position(" + _CAUSAL + ", r.label) - 1", _CAUSAL, group=("medical_text", "input"), unfold=((_PAIR_LINES, "pair_no", "r"),), rules=(("task_dataset <> 'CMedCausal' or array_sort(array_distinct(answer_choices)) <> array_sort(array_append(" + _CAUSAL + ", '条件关系'))", "another task or vocabulary"), ("r.label is null", "no labelled pair"), ("r.label = '条件关系'", "conditional triple"), ("r.object is null or not array_contains(" + _CAUSAL + ", r.label)", "ambiguous pair"), ("r.subject = '' or r.object = '' or not (contains(input, r.subject) and contains(input, r.object))", "mention isn't in the document"), ("size(array_distinct(transform(filter(" + _PAIR_LINES + ", x -> x.subject = r.subject and x.object = r.object and array_contains(" + _CAUSAL + ", x.label)), x -> x.label))) > 1", "pair of several relations")), defaults={"prompt": "两件事是什么关系："}),
     "psyqa_strategy": Shape("records", "question string, description string, questionID string, answers array<struct<has_label boolean, answer_text string, labels_sequence array<struct<start int, end int, type string>>>>", "choice", "concat_ws('\\n', question, description, substring(a.answer_text, 1, s.start), substring(a.answer_text, s.start + 1, s.end - s.start))", "'{prompt}'", "array_position({labels}, s.type) - 1", "{labels}", group=("medical_text", "question"), unfold=(("filter(answers, x -> x.has_label)", "answer_no", "a"), ("a.labels_sequence", "span_no", "s")), defaults={"prompt": "最后一段用了什么策略？"}),
     # Law.
     "cail2019_elements": Shape("lists", "sentence string, labels array<string>", "noul", "e.sentence", "concat('{prompt}', word)", "array_contains(e.labels, word)", group=("law_document", "to_json(entries)"), unfold=(("entries", "sentence_no", "e"), ("{labels}", "label_no", "word")), rules=(("exists(entries, x -> size(array_except(x.labels, {labels})) > 0)", "label outside the vocabulary"),), defaults={"prompt": "这句话含有这个要素吗："}),

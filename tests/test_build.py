@@ -112,6 +112,28 @@ def test_unfolded_shapes(spark):
     assert [json.loads(r.state).split("\n")[2:] for r in rows] == [["", "ab"], ["ab", "cd"]]
 
 
+EXAM = {"id": "7", "question": "首选药物是？", "opa": "甲", "opb": "乙", "opc": "丙", "opd": "丁", "ope": "戊"}
+
+
+def test_exam_answers_named_by_their_field(spark):
+    rows = [_rows(spark, "cnmleqa", EXAM | {"answer": a})[0] for a in ("opa", "ope", "B")]
+    assert [r.reason for r in rows] == [None, None, "answer out of range"]
+    assert [_label(r) for r in rows[:2]] == ["A", "E"]
+
+
+CAUSAL = {"task_dataset": "CMedCausal", "answer_choices": ["因果关系", "条件关系", "上下位关系"], "input": "着凉引起咳嗽，咳嗽是症状，多喝水。", "sample_id": "9"}
+
+
+def test_causal_pairs_of_one_target(spark):
+    target = "着凉，咳嗽：因果关系\n咳嗽，症状：上下位关系\n着凉，咳嗽：因果关系\n着凉，[喝水，咳嗽]：条件关系\n着凉，喝水，咳嗽：因果关系\n着凉，发热：因果关系\n无\n水，症状：因果关系\n水，症状：上下位关系"
+    rows = _rows(spark, "alternatecd_causal_pair", CAUSAL | {"target": target})
+    none, several = [None] * 2, ["pair of several relations"] * 2
+    assert [r.reason for r in rows] == [*none, "conditional triple", "ambiguous pair", "mention isn't in the document", "no labelled pair", *several]
+    assert [_label(r) for r in rows[:2]] == ["A", "B"] and "着凉、咳嗽" in rows[0].questions and len({r.source_id for r in rows}) == 8
+    assert [r.reason for r in _rows(spark, "alternatecd_causal_pair", CAUSAL | {"target": " "})] == ["no labelled pair"]
+    assert [r.reason for r in _rows(spark, "alternatecd_causal_pair", CAUSAL | {"task_dataset": "x", "target": "着凉，咳嗽：因果关系"})] == ["another task or vocabulary"]
+
+
 def test_every_shape_parses(spark):
     """Each shape's expressions resolve over its schema; an empty input gives no rows."""
     extra = {
