@@ -54,9 +54,10 @@ def _words(vocabulary: list[str]) -> str:
 def _read(spark: SparkSession, shape: Shape, paths, charset: str) -> DataFrame:
     at = lambda df: df.select(F.lit("table").alias("file"), F.monotonically_increasing_id().alias("line"), F.struct(*df.columns).alias("row"))
     if shape.read == "jsonl":
-        return readers.read_jsonl(spark, paths, shape.schema).where("not broken").select("file", "line", "row")
+        return readers.sound_jsonl(spark, paths, shape.schema).select("file", "line", "row")
     if shape.read == "lists":
         lines = readers.read_lines(spark, paths)
+        lines = lines.where(readers.sound(F.json_array_length("value").isNotNull(), F.col("file"), F.lit("line"), F.col("line")))
         return lines.select("file", "line", F.from_json("value", f"array<struct<{_fields(shape.schema)}>>").alias("entries")).select("file", "line", F.struct("entries").alias("row"))
     if shape.read == "array":
         return readers.read_json_array(spark, paths, shape.schema).select("file", "line", "row")
@@ -64,7 +65,8 @@ def _read(spark: SparkSession, shape: Shape, paths, charset: str) -> DataFrame:
         rows = readers.read_json_array(spark, paths)
         return rows.select("file", "line", F.struct(F.from_json("value", "array<string>").alias("parts")).alias("row"))
     if shape.read == "records":
-        return readers.read_json_records(spark, paths, shape.schema).where("reason is null").select("file", "line", "row")
+        rows = readers.read_json_records(spark, paths, shape.schema).where(readers.sound(readers.known_json(), F.col("file"), F.lit("line"), F.col("line")))
+        return rows.select("file", "line", "row", F.col("reason").alias("spoilt"))
     if shape.read == "dictionary":
         return readers.read_json_dictionary(spark, paths, shape.schema).select("file", "line", F.struct("key", "row.*").alias("row"))
     if shape.read == "nested":
@@ -95,8 +97,12 @@ def _top_level(schema: str) -> list[str]:
 
 
 def decision_rows(rows: DataFrame, shape: Shape, params: Mapping[str, object] | None = None) -> DataFrame:
-    """Decision rows of records ``(file, line, row)``: ``source_id``, ``original_id``, ``qtype``, ``state``,
-    ``questions``, ``gold`` (JSON), ``group_key``, ``link_keys``, ``supervision`` and ``reason``."""
+    """Decision rows of records ``(file, line, row[, spoilt])``: ``source_id``, ``original_id``, ``qtype``, ``state``,
+    ``questions``, ``gold`` (JSON), ``group_key``, ``link_keys``, ``supervision`` and ``reason``. A record
+    with what ``spoilt`` it is one row without content."""
+    if "spoilt" in rows.columns:
+        good = decision_rows(rows.where("spoilt is null").drop("spoilt"), shape, params)
+        return good.unionByName(_spoilt_rows(rows.where("spoilt is not null"), shape.kind, good))
     filled = {k: _words(v) if isinstance(v, (list, tuple)) else str(v) for k, v in (dict(shape.defaults) | dict(params or {})).items()}
 
     def sql(expression: str) -> str:
@@ -109,7 +115,7 @@ def decision_rows(rows: DataFrame, shape: Shape, params: Mapping[str, object] |
         flat = flat.select("*", F.posexplode(F.expr(sql(expression))).alias(place, entry))
     for name, expression in shape.derive:
         flat = flat.withColumn(name, F.expr(sql(expression)))
-    base = F.concat_ws(":", F.element_at(F.split("file", "/"), -1), F.col("line").cast("string"))
+    base = _base()
     parts = [F.col(p).cast("string") for _, p, _ in shape.unfold] + ([F.expr(sql(shape.part)).cast("string")] if shape.part else [])
     out = flat.withColumns({"original_id": base, "source_id": F.concat_ws(":", base, *parts), "state": F.expr(sql(shape.state)), "_ask": F.expr(sql(shape.ask)), "_answer": F.expr(sql(shape.answer))})
     reason = F.coalesce(*[F.when(F.coalesce(F.expr(sql(c)), F.lit(True)), r) for c, r in shape.rules], F.when(~X.non_blank(F.col("state")), "blank state"), F.when(~X.non_blank(F.col("_ask")), "blank question"))
@@ -142,6 +148,16 @@ def decision_rows(rows: DataFrame, shape: Shape, params: Mapping[str, object] |
     )
 
 
+def _base() -> Column:
+    return F.concat_ws(":", F.element_at(F.split("file", "/"), -1), F.col("line").cast("string"))
+
+
+def _spoilt_rows(rows: DataFrame, kind: str, like: DataFrame) -> DataFrame:
+    """Rows for the audit in the columns of ``like``, of records ``(file, line, spoilt)`` that can't be converted."""
+    told = {"source_id": _base(), "original_id": _base(), "qtype": F.lit(kind), "reason": F.col("spoilt")}
+    return rows.select(*[told.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields])
+
+
 _LETTER = "array_position(array('A','B','C','D','E'), upper(trim({0}))) - 1"
 _EXAM_GROUP = ("medical_text", "question")
 _LINES = "filter(split(coalesce(options, ''), '\\\\r?\\\\n'), x -> trim(x) <> '')"
@@ -250,7 +266,7 @@ class Registry:
 def convert_native(spark: SparkSession, paths, params) -> DataFrame:
     """Cases of the engine's own form, one row for each question; fields written as JSON texts are read as JSON."""
     schema = "id string, state string, questions string, gold string, _meta struct<group_key string, link_keys array<string>, supervision string>"
-    rows = readers.read_jsonl(spark, paths, schema).where("not broken").select("file", "line", "row.*")
+    rows = readers.sound_jsonl(spark, paths, schema).select("file", "line", "row.*")
     asked = F.from_json("questions", "map<string,string>")
     each = rows.select("*", F.explode(F.map_entries(asked)).alias("q"), F.size(asked).alias("n"))
     told = F.element_at(F.from_json("gold", "map<string,string>"), F.col("q.key"))
@@ -298,7 +314,7 @@ def raw_record_rows(raw: DataFrame, link_keys: Column | None = None) -> DataFram
 def convert_raw_jsonl(spark: SparkSession, paths, params) -> DataFrame:
     """Plug-in records in JSON lines."""
     schema = "id string, group string, type string, state struct<text string, question string, slots array<struct<name string, value string>>>, instruction string, criteria string, label string"
-    rows = readers.read_jsonl(spark, paths, schema).where("not broken").select("row.*").withColumnRenamed("group", "grp")
+    rows = readers.sound_jsonl(spark, paths, schema).select("row.*").withColumnRenamed("group", "grp")
     return raw_record_rows(rows)
 
 

@@ -26,18 +26,39 @@ def read_lines(spark: SparkSession, paths: Paths) -> DataFrame:
     return physical_lines(spark.read.text(_list(paths))).where(X.non_blank(F.col("value")))
 
 
+def known_json() -> Column:
+    """Whether ``value`` is JSON. Repeated keys aren't broken in a lenient reader: only VARIANT refuses them."""
+    return F.try_parse_json(F.col("value")).isNotNull() | F.json_object_keys("value").isNotNull()
+
+
 def read_jsonl(spark: SparkSession, paths: Paths, schema: str) -> DataFrame:
     """Lines parsed as ``row`` of a schema. ``broken`` marks a line that is no JSON, which stops a build."""
     lines = read_lines(spark, paths)
-    known = F.try_parse_json(F.col("value")).isNotNull()
-    # Repeated keys aren't broken in a lenient reader: only VARIANT refuses them.
-    broken = ~known & F.json_object_keys("value").isNull()
-    return lines.select("file", "line", "value", F.from_json("value", schema).alias("row"), broken.alias("broken"))
+    return lines.select("file", "line", "value", F.from_json("value", schema).alias("row"), (~known_json()).alias("broken"))
+
+
+def sound(fine: Column, *place: Column) -> Column:
+    """A condition for ``where`` that holds for every row or stops the build, naming the place.
+
+    The number, never below 0, makes it nondeterministic: else the optimizer drops broken rows by later conditions, such
+    as those of an explode, before they are seen here."""
+    return F.when(fine | (F.monotonically_increasing_id() < 0), True).otherwise(F.raise_error(F.concat_ws(" ", *place, F.lit("can't be parsed"))).cast("boolean"))
+
+
+def sound_jsonl(spark: SparkSession, paths: Paths, schema: str) -> DataFrame:
+    """:func:`read_jsonl` where a broken line stops the build."""
+    return read_jsonl(spark, paths, schema).where(sound(~F.col("broken"), F.col("file"), F.lit("line"), F.col("line"))).drop("broken")
+
+
+def _whole(spark: SparkSession, paths: Paths) -> DataFrame:
+    """``(file, value)`` of whole files, without a BOM."""
+    return spark.read.text(_list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
 
 
 def read_json_array(spark: SparkSession, paths: Paths, schema: str | None = None) -> DataFrame:
-    """``(file, line, value[, row])`` of the entries of whole-file arrays, numbered from 1; ``value`` is raw JSON."""
-    whole = spark.read.text(_list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    """``(file, line, value[, row])`` of the entries of whole-file arrays, numbered from 1; ``value`` is raw JSON. A
+    file that is no array stops the build."""
+    whole = _whole(spark, paths).where(sound(F.json_array_length("value").isNotNull(), F.col("file")))
     entries = whole.select("file", F.posexplode(F.from_json("value", "array<string>")).alias("at", "value"))
     rows = entries.select("file", (F.col("at") + 1).cast("long").alias("line"), "value")
     return rows if schema is None else rows.withColumn("row", F.from_json("value", schema))
@@ -62,8 +83,9 @@ def read_json_records(spark: SparkSession, paths: Paths, schema: str) -> DataFra
 
 
 def read_json_dictionary(spark: SparkSession, paths: Paths, schema: str) -> DataFrame:
-    """``(file, line, key, value, row)`` of the entries of whole-file objects, in their order."""
-    whole = spark.read.text(_list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    """``(file, line, key, value, row)`` of the entries of whole-file objects, in their order. A file that is no object stops
+    the build."""
+    whole = _whole(spark, paths).where(sound(F.json_object_keys("value").isNotNull(), F.col("file")))
     entries = whole.select("file", F.posexplode(F.from_json("value", "map<string,string>")).alias("at", "key", "value"))
     return entries.select("file", (F.col("at") + 1).cast("long").alias("line"), "key", "value", F.from_json("value", schema).alias("row"))
 
@@ -71,7 +93,7 @@ def read_json_dictionary(spark: SparkSession, paths: Paths, schema: str) -> Data
 def read_nested_questions(spark: SparkSession, paths: Paths) -> DataFrame:
     """Questions of ``data[].paragraphs[].qas[]`` documents: ``(file, title, context, id, question, answers, impossible)``."""
     schema = "data array<struct<title string, paragraphs array<struct<context string, qas array<struct<id string, question string, answers array<struct<text string, answer_start int>>, is_impossible boolean>>>>>>"
-    whole = spark.read.text(_list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", schema).alias("d"))
+    whole = _whole(spark, paths).where(sound(F.json_object_keys("value").isNotNull(), F.col("file"))).select("file", F.from_json("value", schema).alias("d"))
     articles = whole.select("file", F.explode("d.data").alias("a")).select("file", "a.title", F.explode("a.paragraphs").alias("p"))
     return articles.select("file", "title", "p.context", F.explode("p.qas").alias("q")).select("file", "title", "context", "q.id", "q.question", "q.answers", F.col("q.is_impossible").alias("impossible"))
 

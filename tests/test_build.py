@@ -240,6 +240,33 @@ def test_build_and_verify(spark, tmp_path):
     assert length_report(spark, out, 192)["summary"]["n"] == 21
 
 
+@pytest.mark.parametrize(
+    "adapter, text, place",
+    [
+        ("project_jsonl", json.dumps(RECORD) + "\n" + json.dumps(RECORD)[:40] + "\n", "raw.jsonl line 2"), ("native", "{}\nnot json\n", "raw.jsonl line 2"), ("tnews", '{"id":"1"}\n{"id":\n', "raw.jsonl line 2"),
+        ("tcm_sd", '{"user_id":"1"}\n{"user_id":\n', "raw.jsonl line 2"), ("cail2019_elements", '[]\n[{"sentence":\n', "raw.jsonl line 2"), ("tcm_sd", '[{"user_id":"1"}, {"user_id":', "raw.jsonl"),
+        ("cblue_qic", '[{"id":"1","query":"q","label":"x"}, {"id"', "raw.jsonl"), ("imcs21_clinical", '{"d1":{"dialogue":[]},"d2"', "raw.jsonl"), ("finfe", '[["a", "1"], ["b"', "raw.jsonl"), ("jec_qa_each", '{"statement":"s"}\n{"statement":\n', "raw.jsonl line 2"),
+    ],
+)
+def test_broken_files_stop_a_build(spark, tmp_path, adapter, text, place):
+    write(tmp_path / "raw.jsonl", text)
+    source = {"adapter": adapter, "params": {"labels": ["x", "y"], "ids": ["1", "2"]}}
+    with pytest.raises(Exception, match=place + " can't be parsed"):
+        P.build_release(spark, config(source=source), str(tmp_path), str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+
+
+def test_broken_nested_questions_stop(spark, tmp_path):
+    with pytest.raises(Exception, match="n.json can't be parsed"):
+        R.read_nested_questions(spark, write(tmp_path / "n.json", '{"data":[{"title":"t"')).collect()
+
+
+def test_repeated_fields_are_audited(spark, tmp_path):
+    path = write(tmp_path / "a.json", '\ufeff[{"user_id":"1","chief_complaint":"咳","norm_syndrome":"x"},{"user_id":"2","user_id":"3","chief_complaint":"热","norm_syndrome":"y"}]')
+    rows = P.validated(Registry().convert(spark, "tcm_sd", [path], {"labels": ["x", "y"]})).collect()
+    assert sorted((r.source_id, r.reason) for r in rows) == [("a.json:1", None), ("a.json:2", "repeated field")]
+
+
 def test_leaks_are_found(spark, tmp_path):
     meta = {"source": "s", "source_id": "1", "original_id": "1", "original_split": "train", "source_split": "train", "group_key": "g", "source_family": "f", "task_family": "t", "domain": "d"}
     question = {"decision": {"type": "noul", "instructions": "q", "criteria": {"false": "n", "true": "y"}}}
