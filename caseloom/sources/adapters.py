@@ -318,17 +318,45 @@ def convert_raw_jsonl(spark: SparkSession, paths, params) -> DataFrame:
     return raw_record_rows(rows)
 
 
+def _none(found: DataFrame, what: str) -> None:
+    """Stops the build where there is a row, naming the first few."""
+    rows = found.limit(3).collect()
+    if rows:
+        raise ValueError(f"{what}: " + "; ".join(str(r.asDict()) for r in rows))
+
+
 def convert_judged_pairs(spark: SparkSession, paths: Mapping[str, object], params) -> DataFrame:
     """Graded relevance of passages to queries from three files: ``queries``, ``judgements``, ``passages``. Unjudged
-    pairs are no cases. ``keep`` takes a share of the queries by the hash of their group."""
-    from ..operators.joins import judged_pairs
-
-    queries = readers.read_two_columns(spark, paths["queries"], "qid", "query")
-    passages = readers.read_two_columns(spark, paths["passages"], "pid", "passage").select("pid", "passage")
+    pairs are no cases. ``keep`` takes a share of the queries by the hash of their group.
+
+    Each file may begin with its known header. The build stops at any other line that can't be read, at a query or a
+    wanted passage without text or with two lines, at a judged query or passage that is missing, and at two grades of
+    one pair; a judgement given twice is one."""
+    from ..operators.joins import judged_pairs, missing_references, repeated_keys
+
+    def texts(name, key, value):
+        rows = readers.read_two_columns(spark, paths[name], key, value)
+        return rows.where(~((F.col("line") == 1) & F.col(key).eqNullSafe(F.lit(key)) & F.col(value).eqNullSafe(F.lit("text"))))
+
+    queries, passages = texts("queries", "qid", "query"), texts("passages", "pid", "passage")
+    judgements = readers.read_judgements(spark, paths["judgements"])
+    judgements = judgements.where(~((F.col("line") == 1) & (F.col("qid") == "qid") & (F.col("pid") == "pid") & F.col("reason").eqNullSafe(F.lit("grade out of range")) & F.col("grade").isNull()))
+    _none(judgements.where("reason is not null").select("file", "line", "reason"), "bad judgements")
+    _none(queries.where(~X.non_blank(F.col("qid")) | ~X.non_blank(F.col("query"))).select("file", "line"), "queries without id or text")
+    _none(passages.where("passage is null").select("file", "line"), "passages without a tab")
+    _none(repeated_keys(queries, "qid"), "repeated queries")
+    pairs = judgements.select("qid", "pid", "grade")
+    _none(missing_references(pairs, queries, "qid"), "judged queries are missing")
     queries = queries.select("qid", "query", X.group_key("question", F.col("query")).alias("group_key"))
     if "keep" in params:
         queries = queries.where(X.hash_fraction(F.col("group_key"), params.get("seed", 0)) < float(params["keep"]))
-    judged = judged_pairs(readers.read_judgements(spark, paths["judgements"]).where("reason is null").select("qid", "pid", "grade"), queries, passages)
+        pairs = pairs.join(queries.select("qid"), "qid", "left_semi")
+    _none(pairs.groupBy("qid", "pid").agg(F.min("grade").alias("low"), F.max("grade").alias("high")).where("low <> high"), "two grades for one pair")
+    wanted = passages.join(pairs.select("pid").distinct(), "pid", "left_semi")
+    _none(repeated_keys(wanted, "pid"), "repeated passages")
+    _none(wanted.where(~X.non_blank(F.col("passage"))).select("file", "line", "pid"), "passages without text")
+    _none(missing_references(pairs, passages, "pid"), "judged passages are missing")
+    judged = judged_pairs(pairs.distinct(), queries, passages.select("pid", "passage"))
     levels = F.array(*[F.lit(x) for x in ("无关", "略相关", "相关", "完全相关")])
     keys = F.transform(levels, lambda t, i: i.cast("string"))
     gold = D.one_hot(keys, F.col("grade").cast("string"))
