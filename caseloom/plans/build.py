@@ -47,9 +47,10 @@ def convert_sources(spark: SparkSession, config: Mapping, base: str, registry: R
 
 
 def validated(rows: DataFrame) -> DataFrame:
-    """Decision rows with the first reason that the adapter, the case, the question or the gold gives."""
+    """Decision rows with the first reason that the adapter, the case, the question or the gold gives, or that there is
+    no group: the merge would lose such a row and its copies."""
     exploded = C.explode_decisions(rows.withColumnRenamed("qtype", "_declared").where("reason is null"))
-    seen = exploded.withColumn("reason", F.coalesce(case_reason(), question_reason(), gold_reason())).withColumn("label_key", M.label_key(F.col("option_keys"), F.col("gold_probs")))
+    seen = exploded.withColumn("reason", F.coalesce(case_reason(), question_reason(), gold_reason(), F.when(~X.non_blank(F.col("group_key")), "no group"))).withColumn("label_key", M.label_key(F.col("option_keys"), F.col("gold_probs")))
     keep = [*rows.columns, "label_key"]
     lost = rows.where("reason is not null").withColumn("label_key", F.lit(None).cast("string"))
     # A row whose questions can't be read unfolds to nothing; it comes back with its case's reason.

@@ -118,7 +118,7 @@ def decision_rows(rows: DataFrame, shape: Shape, params: Mapping[str, object] |
     base = _base()
     parts = [F.col(p).cast("string") for _, p, _ in shape.unfold] + ([F.expr(sql(shape.part)).cast("string")] if shape.part else [])
     out = flat.withColumns({"original_id": base, "source_id": F.concat_ws(":", base, *parts), "state": F.expr(sql(shape.state)), "_ask": F.expr(sql(shape.ask)), "_answer": F.expr(sql(shape.answer))})
-    reason = F.coalesce(*[F.when(F.coalesce(F.expr(sql(c)), F.lit(True)), r) for c, r in shape.rules], F.when(~X.non_blank(F.col("state")), "blank state"), F.when(~X.non_blank(F.col("_ask")), "blank question"))
+    reason = F.coalesce(*[F.when(F.coalesce(F.expr(sql(c)), F.lit(True)), r) for c, r in shape.rules], F.when(~X.non_blank(F.col("state")), "blank state"), F.when(~X.non_blank(F.col("_ask")), "blank question"), F.when(~X.non_blank(F.expr(sql(shape.group[1]))), "no group"))
     if shape.kind == "noul":
         keys, texts = F.array(F.lit("false"), F.lit("true")), F.expr(sql(shape.options or "array('不成立', '成立')"))
         place, reason = F.col("_answer").cast("int"), F.coalesce(reason, F.when(F.col("_answer").isNull(), "no label"))
@@ -287,9 +287,10 @@ def convert_native(spark: SparkSession, paths, params) -> DataFrame:
     )
 
 
-def raw_record_rows(raw: DataFrame, link_keys: Column | None = None) -> DataFrame:
+def raw_record_rows(raw: DataFrame, link_keys: Column | None = None, need_group: bool = False) -> DataFrame:
     """Decision rows of plug-in records ``(id, grp, type, state, instruction, criteria, label)``: a choice by key, a
-    binary decision by true or false, a score by level. A label that isn't among the criteria gets a reason."""
+    binary decision by true or false, a score by level. A label that isn't among the criteria gets a reason, and so does
+    a null or blank group where builds ``need_group``; the SQL of the queries over raw has no such reason."""
     crit, levels = F.from_json("criteria", "map<string,string>"), F.from_json("criteria", "array<string>")
     keys = F.when(F.col("type") == "score", F.transform(levels, lambda x, i: i.cast("string"))).when(F.col("type") == "noul", F.array(F.lit("false"), F.lit("true"))).otherwise(F.map_keys(crit))
     rows = raw.withColumn("_keys", keys)
@@ -303,6 +304,7 @@ def raw_record_rows(raw: DataFrame, link_keys: Column | None = None) -> DataFram
         .when(F.col("_keys").isNull() | (F.size("_keys") < 2), "no criteria")
         .when(~F.coalesce(F.array_contains("_keys", F.col("label")), F.lit(False)), "label isn't among the criteria")
         .when(~(X.non_blank(F.col("state.text")) | X.non_blank(F.col("state.question"))), "blank state")
+        .when(F.lit(need_group) & ~X.non_blank(F.col("grp")), "no group")
     )
     return rows.select(
         F.col("id").alias("source_id"), F.col("id").alias("original_id"), F.col("type").alias("qtype"), F.to_json("state").alias("state"), asked.alias("questions"), told.alias("gold"),
@@ -315,7 +317,7 @@ def convert_raw_jsonl(spark: SparkSession, paths, params) -> DataFrame:
     """Plug-in records in JSON lines."""
     schema = "id string, group string, type string, state struct<text string, question string, slots array<struct<name string, value string>>>, instruction string, criteria string, label string"
     rows = readers.sound_jsonl(spark, paths, schema).select("row.*").withColumnRenamed("group", "grp")
-    return raw_record_rows(rows)
+    return raw_record_rows(rows, need_group=True)
 
 
 def _none(found: DataFrame, what: str) -> None:

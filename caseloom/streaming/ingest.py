@@ -14,7 +14,7 @@ def stream_conversion(spark: SparkSession, folder: str, schema, output: str, che
     """Converts Parquet deliveries that arrive in a folder, each exactly once, into a table of decision rows with their
     reasons. Runs until all files there are converted."""
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    writer = raw_record_rows(raw).writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint)
+    writer = raw_record_rows(raw, need_group=True).writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint)
     return writer.outputMode("append").trigger(availableNow=True).start()
 
 

@@ -291,6 +291,18 @@ def test_repeated_fields_are_audited(spark, tmp_path):
     assert sorted((r.source_id, r.reason) for r in rows) == [("a.json:1", None), ("a.json:2", "repeated field")]
 
 
+def test_rows_without_a_group_are_counted(spark, tmp_path):
+    """The first copy of an input has no group: its other copy stays."""
+    records = [RECORD | {"group": g, "id": f"n{i}", "state": {"text": f"患者 {t}"}} for i, (g, t) in enumerate([(None, 0), ("g1", 0), (" ", 1), ("g2", 2)])]
+    write(tmp_path / "raw.jsonl", "\n".join(json.dumps(r, ensure_ascii=False) for r in records))
+    counts = P.build_release(spark, config(), str(tmp_path), str(tmp_path / "out"))["counts"]
+    assert counts["rejected:s1:no group"] == 2 and counts["converted"] == 2 and counts["duplicate_inputs"] == 0
+    assert sorted(r.id for r in P.read_cases(spark, str(tmp_path / "out")).select(F.element_at("_meta", F.lit("source_id")).alias("id")).collect()) == ["n1", "n3"]
+    row = ("x", '"s"', json.dumps({"decision": {"type": "noul", "instructions": "i", "criteria": {"false": "n", "true": "y"}}}), json.dumps({"decision": {"type": "noul", "probabilities": {"false": 0, "true": 1}}}), "noul", None, None)
+    own = spark.createDataFrame([row], "source_id string, state string, questions string, gold string, qtype string, group_key string, reason string")
+    assert [r.reason for r in P.validated(own).collect()] == ["no group"]
+
+
 def test_leaks_are_found(spark, tmp_path):
     meta = {"source": "s", "source_id": "1", "original_id": "1", "original_split": "train", "source_split": "train", "group_key": "g", "source_family": "f", "task_family": "t", "domain": "d"}
     question = {"decision": {"type": "noul", "instructions": "q", "criteria": {"false": "n", "true": "y"}}}
