@@ -10,7 +10,7 @@ and wording are parameters of the source's configuration (``{name}`` in an expre
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +26,11 @@ class Shape:
     """``read``: reader's name. ``schema``: fields of a record. ``unfold``: array expressions exploded in turn, each as
     (expression, name of the place, name of the entry). ``derive``: columns computed in turn. ``kind``: choice, noul
     or score. ``answer``: place of the right option, a boolean, or the level. ``group``: kind and text of the group;
-    ``links``: array of link keys. ``rules``: (condition that spoils a row, reason)."""
+    ``links``: array of link keys. ``rules``: (condition that spoils a row, reason).
+
+    The kind ``exam`` is a choice where one answer is right and a binary decision for each option where several are:
+    ``ask`` is the question, ``options`` entries of letter and text, ``answer`` the letters. ``prefix``: text of an exam
+    question, linked by itself and by its first 80 signs that are no white space where it has 100 or more."""
 
     read: str
     schema: str
@@ -42,6 +46,7 @@ class Shape:
     derive: tuple[tuple[str, str], ...] = ()
     rules: tuple[tuple[str, str], ...] = ()
     part: str = ""
+    prefix: str = ""
     supervision: str = "source_hard_label"
     defaults: Mapping[str, str] = field(default_factory=dict)
 
@@ -102,7 +107,9 @@ def decision_rows(rows: DataFrame, shape: Shape, params: Mapping[str, object] |
     with what ``spoilt`` it is one row without content."""
     if "spoilt" in rows.columns:
         good = decision_rows(rows.where("spoilt is null").drop("spoilt"), shape, params)
-        return good.unionByName(_spoilt_rows(rows.where("spoilt is not null"), shape.kind, good))
+        return good.unionByName(_spoilt_rows(rows.where("spoilt is not null"), "choice" if shape.kind == "exam" else shape.kind, good))
+    if shape.kind == "exam":
+        return _exam_rows(rows, shape, params)
     filled = {k: _words(v) if isinstance(v, (list, tuple)) else str(v) for k, v in (dict(shape.defaults) | dict(params or {})).items()}
 
     def sql(expression: str) -> str:
@@ -134,6 +141,12 @@ def decision_rows(rows: DataFrame, shape: Shape, params: Mapping[str, object] |
     gold = D.one_hot(F.col("_keys"), F.get(F.col("_keys"), F.col("_place")))
     decision = lambda j: F.concat(F.lit('{"decision":'), j, F.lit("}"))
     kind, text = shape.group
+    key = X.group_key(kind, F.expr(sql(text)))
+    links = F.transform(F.array_compact(F.expr(sql(shape.links)).cast("array<string>")), lambda x: F.concat(F.lit(f"{kind}:"), X.digest(X.json_quote(X.collapse_space(x)))))
+    if shape.prefix:
+        compact = F.regexp_replace(F.expr(sql(shape.prefix)), f"{X.SPACE}+", "")
+        start = F.when(F.length(compact) >= 100, X.group_key("medical_exam_prefix80", F.substring(compact, 1, 80)))
+        links = F.array_compact(F.array(key, start))
     return out.select(
         "source_id",
         "original_id",
@@ -141,13 +154,41 @@ def decision_rows(rows: DataFrame, shape: Shape, params: Mapping[str, object] |
         X.json_quote(F.col("state")).alias("state"),
         decision(C.question_json(shape.kind, F.col("_ask"), F.col("_keys"), F.col("_texts"))).alias("questions"),
         decision(C.gold_json(shape.kind, F.col("_keys"), gold)).alias("gold"),
-        X.group_key(kind, F.expr(sql(text))).alias("group_key"),
-        F.transform(F.array_compact(F.expr(sql(shape.links)).cast("array<string>")), lambda x: F.concat(F.lit(f"{kind}:"), X.digest(X.json_quote(X.collapse_space(x))))).alias("link_keys"),
+        key.alias("group_key"),
+        links.alias("link_keys"),
         F.lit(shape.supervision).alias("supervision"),
         "reason",
     )
 
 
+#: What spoils an exam question with ``query``, ``entries`` (letter and text, in order) and ``picked`` letters.
+_EXAM_RULES = (
+    ("size(entries) not between 2 and 26", "not 2 to 26 options"), ("transform(entries, e -> e.key) <> transform(entries, (e, i) -> char(65 + i))", "options aren't lettered in order"), ("exists(entries, e -> trim(coalesce(e.value, '')) = '')", "blank option"),
+    ("size(array_distinct(transform(entries, e -> trim(e.value)))) < size(entries)", "repeated options"), ("picked is null", "no answer letters"), ("size(array_except(picked, transform(entries, e -> e.key))) > 0", "answer out of range"),
+)
+
+
+def _exam_rows(rows: DataFrame, shape: Shape, params) -> DataFrame:
+    """Rows of exam questions: one choice, or a binary decision for each option of a question with several answers."""
+    flat = rows.select("file", "line", "row.*")
+    for name, expression in shape.derive:
+        flat = flat.withColumn(name, F.expr(expression))
+    flat = flat.withColumns({"query": F.expr(shape.ask), "entries": F.array_sort(F.expr(shape.options)), "picked": X.answer_letters(X.strip_space(F.expr(shape.answer)))})
+    rules = (*shape.rules, *_EXAM_RULES)
+    fine = F.coalesce(*[F.when(F.coalesce(F.expr(c), F.lit(True)), r) for c, r in rules]).isNull()
+    several = F.coalesce(fine & (F.size("picked") > 1), F.lit(False))
+    ready = flat.select("file", "line", several.alias("several"), F.struct(*[c for c in flat.columns if c not in ("file", "line")]).alias("row"))
+    one = replace(
+        shape, kind="choice", ask="query", derive=(), rules=rules, group=("medical_text", "query"), prefix="query",
+        answer="array_position(transform(entries, e -> e.key), picked[0]) - 1", options="transform(entries, e -> e.value)", keys="transform(entries, e -> e.key)",
+    )
+    each = replace(
+        one, kind="noul", state="concat(query, '\\n\\n原题全部选项：\\n', array_join(transform(entries, e -> concat(e.key, '：', e.value)), '\\n'))", ask="replace('{each}', '%', o.key)",
+        unfold=(("entries", "option_no", "o"),), answer="array_contains(picked, o.key)", options="array('原答案未选择此选项', '原答案选择此选项')", defaults=dict(shape.defaults) | {"each": "这是多项选择题。依据原题完整选项，选项 % 是否应被选中？"},
+    )
+    return decision_rows(ready.where("not several").drop("several"), one, params).unionByName(decision_rows(ready.where("several").drop("several"), each, params))
+
+
 def _base() -> Column:
     return F.concat_ws(":", F.element_at(F.split("file", "/"), -1), F.col("line").cast("string"))
 
@@ -184,7 +225,7 @@ SHAPES: dict[str, Shape] = {
     "cblue_qqr": Shape(schema="id string, query1 string, query2 string, label string", kind="choice", state="concat(left, '\\n', right)", ask="'{prompt}'", answer="try_cast(label as int)", options="array('无关','前者包含后者','语义相同')", derive=(("left", "query1"), ("right", "query2")), defaults={"prompt": "两个问题是什么关系？"}, **_PAIR),
     "cblue_ctc": Shape("array", "id string, text string, label string", "choice", "text", "'{prompt}'", "array_position({labels}, label) - 1", "{labels}", group=("context", "text"), defaults={"prompt": "这条标准属于哪一类？"}),
     "cmexam": Shape("csv", "", "choice", "'{prompt}'", "question", _LETTER.format("answer"), _UNLETTER.format(_LINES), group=("question", "question"), rules=(("not trim(answer) rlike '^[A-E]$'", "no single answer"),), defaults={"prompt": "请回答下面的题目。"}),
-    "cmexam_full": Shape("csv", "", "choice", "'{prompt}'", "question", _LETTER.format("answer"), _UNLETTER.format(_LINES), group=_EXAM_GROUP, links="array(question, if(length(question) >= 100, substring(question, 1, 80), null))", rules=(("not trim(answer) rlike '^[A-E]$'", "no single answer"), ("question rlike '如图|下图|見圖|如圖'", "needs a picture")), defaults={"prompt": "请回答下面的题目。"}),
+    "cmexam_full": Shape("csv", "", "exam", "'{prompt}'", "question", "answer", "transform(" + _LINES + ", x -> named_struct('key', regexp_extract(x, '^\\\\s*([A-Z])[\\\\s.．、:：]+(.*)$', 1), 'value', trim(regexp_extract(x, '^\\\\s*([A-Z])[\\\\s.．、:：]+(.*)$', 2))))", rules=(("question rlike '如图|下图|見圖|如圖'", "needs a picture"),), defaults={"prompt": "请回答下面的题目。"}),
     "medqa_cn": Shape("jsonl", "question string, options map<string,string>, answer_idx string, answer string", "choice", "'{prompt}'", "question", "array_position(map_keys(options), answer_idx) - 1", "map_values(options)", keys="map_keys(options)", group=("question", "question"), rules=(("options[answer_idx] <> answer", "answer and its letter differ"),), defaults={"prompt": "请回答下面的题目。"}),
     "cmid_coarse": Shape("records", "originalText string, label_4class array<string>", "choice", "text", "'{prompt}'", "array_position({labels}, trim(both '\\'' from label_4class[0])) - 1", "{labels}", group=("medical_text", "text"), derive=(("text", "originalText"),), rules=(("size(label_4class) <> 1", "not one label"),), defaults={"prompt": "这句话的意图是？"}),
     "explain_cpe": Shape("records", "question string, options map<string,string>, answer string", "choice", "'{prompt}'", "question", "array_position(map_keys(options), answer) - 1", "map_values(options)", keys="map_keys(options)", group=_EXAM_GROUP, rules=(("question rlike '如图|下图|見圖|如圖'", "needs a picture"), ("not answer rlike '^[A-Z]$'", "no single answer")), defaults={"prompt": "请回答下面的题目。"}),
@@ -193,11 +234,11 @@ SHAPES: dict[str, Shape] = {
     "webmedqa_each": Shape("tsv", "department string, label string, question_id string, query string, answer string", "noul", "concat(query, '\\n', answer)", "'{prompt}'", "case label when '1' then true when '0' then false end", group=("medical_text", "query"), links="array(query, answer)", part="question_id", defaults={"prompt": "这个回答适合问题吗？"}),
     "tcm_sd": Shape("records", "user_id string, chief_complaint string, description string, detection string, norm_syndrome string", "choice", "record", "'{prompt}'", "array_position({labels}, norm_syndrome) - 1", "{labels}", group=("case", "user_id"), links="array(record)", derive=(("record", "array_join(filter(array(chief_complaint, description, detection), x -> trim(x) <> ''), '\\n')"),), defaults={"prompt": "病历的证型是？"}),
     "cmedqa2_matching": Shape("csv", "", "noul", "concat(question, '\\n', answer)", "'{prompt}'", "case label when '1' then true when '0' then false end", group=("medical_text", "question"), links="array(answer)", defaults={"prompt": "这个回答适合问题吗？"}),
-    "cmb_exam_full": Shape("records", "id string, question string, option map<string,string>, answer string", "choice", "'{prompt}'", "question", "array_position(map_keys(given), answer) - 1", "map_values(given)", keys="map_keys(given)", group=_EXAM_GROUP, derive=(("given", "map_filter(option, (k, v) -> trim(v) <> '')"),), rules=(("not answer rlike '^[A-Z]$'", "no single answer"),), defaults={"prompt": "请回答下面的题目。"}),
-    "medqa_full": Shape("records", "question string, options map<string,string>, answer_idx string, answer string", "choice", "'{prompt}'", "question", "array_position(map_keys(options), answer_idx) - 1", "map_values(options)", keys="map_keys(options)", group=_EXAM_GROUP, rules=(("options[answer_idx] <> answer", "answer and its letter differ"),), defaults={"prompt": "请回答下面的题目。"}),
-    "mlec_qa": Shape("records", "qid string, qtype string, qtext string, options map<string,string>, answer string", "choice", "'{prompt}'", "qtext", "array_position(map_keys(options), answer) - 1", "map_values(options)", keys="map_keys(options)", group=("medical_text", "qtext"), rules=(("not answer rlike '^[A-Z]$'", "no single answer"),), defaults={"prompt": "请回答下面的题目。"}),
-    "cnmleqa": Shape("records", "id string, question string, opa string, opb string, opc string, opd string, ope string, answer string", "choice", "'{prompt}'", "question", "array_position(array('opa','opb','opc','opd','ope'), answer) - 1", "array(opa, opb, opc, opd, ope)", group=_EXAM_GROUP, defaults={"prompt": "请回答下面的题目。"}),
-    "empec": Shape("records", "year string, subject string, profession string, question string, answer string", "choice", "'{prompt}'", "stem", _LETTER.format("answer"), "slice(parts, 2, 4)", group=("medical_text", "stem"), derive=(("parts", "transform(split(question, '\\\\s*[A-D][.．]\\\\s*'), x -> trim(x))"), ("stem", "parts[0]")), rules=(("size(parts) <> 5", "not four options"), ("not answer rlike '^[A-D]$'", "no single answer")), defaults={"prompt": "请回答下面的题目。"}),
+    "cmb_exam_full": Shape("records", "id string, question string, option map<string,string>, answer string, exam_type string, exam_class string, exam_subject string, question_type string", "exam", "'{prompt}'", "question", "answer", "filter(given, (x, i) -> exists(slice(given, i + 1, size(given)), y -> y.value is null or trim(y.value) <> ''))", derive=(("given", "array_sort(map_entries(option))"),), rules=(("question_type not in ('单项选择题', '多项选择题', 'C型选择题')", "unknown kind of question"), ("exists(array(exam_type, exam_class, exam_subject), x -> trim(coalesce(x, '')) = '')", "no exam or subject"), ("(question_type = '多项选择题') <> (size(picked) > 1)", "kind of question and number of answers differ")), defaults={"prompt": "请回答下面的题目。"}),
+    "medqa_full": Shape("records", "question string, options map<string,string>, answer_idx string, answer string", "exam", "'{prompt}'", "question", "answer_idx", "map_entries(options)", rules=(("options[answer_idx] <> answer", "answer and its letter differ"), ("size(picked) <> 1", "no single answer")), defaults={"prompt": "请回答下面的题目。"}),
+    "mlec_qa": Shape("records", "qid string, qtype string, qtext string, options map<string,string>, answer string", "exam", "'{prompt}'", "qtext", "if(answer like '[%', if(forall(from_json(answer, 'array<string>'), x -> length(x) = 1), array_join(from_json(answer, 'array<string>'), ''), null), answer)", "map_entries(options)", defaults={"prompt": "请回答下面的题目。"}),
+    "cnmleqa": Shape("records", "id string, question string, opa string, opb string, opc string, opd string, ope string, answer string", "exam", "'{prompt}'", "question", "get(array('A','B','C','D','E'), cast(array_position(array('opa','opb','opc','opd','ope'), answer) - 1 as int))", "transform(array(opa, opb, opc, opd, ope), (x, i) -> named_struct('key', char(65 + i), 'value', x))", rules=(("answer not in ('opa','opb','opc','opd','ope')", "answer out of range"),), defaults={"prompt": "请回答下面的题目。"}),
+    "empec": Shape("records", "year string, subject string, profession string, question string, answer string", "exam", "'{prompt}'", "stem", "answer", "transform(slice(parts, 2, 4), (x, i) -> named_struct('key', char(65 + i), 'value', x))", derive=(("parts", "transform(split(question, '\\\\s*[A-D][.．]\\\\s*'), x -> trim(x))"), ("stem", "parts[0]")), rules=(("size(parts) <> 5", "not four options"), ("size(picked) <> 1", "no single answer")), defaults={"prompt": "请回答下面的题目。"}),
     # Dialogues and records.
     "imcs21_clinical": Shape("dictionary", "dialogue array<struct<speaker string, sentence string, dialogue_act string>>", "choice", "turns", "'{prompt}'", "array_position({labels}, turn.dialogue_act) - 1", "{labels}", group=("dialogue", "key"), links="array(array_join(transform(dialogue, t -> t.sentence), '\\n'))", unfold=(("dialogue", "turn_no", "turn"),), derive=_TURNS, defaults={"prompt": "最后一句的对话行为是？"}),
     "dialmed_recorded": Shape("records", "dialog array<string>, label array<string>", "noul", "whole", "concat('{prompt}', word)", "array_contains(label, word)", group=("dialogue", "whole"), unfold=(("{labels}", "label_no", "word"),), derive=(("whole", "array_join(dialog, '\\n')"),), rules=(("size(array_except(label, {labels})) > 0", "label outside the vocabulary"),), defaults={"prompt": "对话推荐了这种药吗："}),
@@ -371,4 +412,20 @@ def convert_judged_pairs(spark: SparkSession, paths: Mapping[str, object], param
     )
 
 
-BUILT_IN: dict[str, Converter] = {"native": convert_native, "project_jsonl": convert_raw_jsonl, "t2ranking": convert_judged_pairs}
+def convert_cmb_exam_full(spark: SparkSession, paths, params) -> DataFrame:
+    """Exam questions with their answers in their own records, or in a file of their own: ``questions``, ``answers``."""
+    from ..operators.joins import matched_answers
+
+    shape = SHAPES["cmb_exam_full"]
+    if not isinstance(paths, Mapping):
+        return decision_rows(_read(spark, shape, paths, "utf-8"), shape, params)
+    read = _read(spark, shape, paths["questions"], "utf-8").select("file", "line", "spoilt", "row.*")
+    answers = _read(spark, shape, paths["answers"], "utf-8").select("row.id", "row.answer", *[f"row.{c}" for c in _CMB_AGREE])
+    joined = matched_answers(read.withColumnRenamed("answer", "own"), answers, "id", "answer", _CMB_AGREE)
+    spoilt = F.coalesce("spoilt", "reason", F.when(F.col("own") != F.col("answer"), "answers differ"))
+    fields = [c for c in read.columns if c not in ("file", "line", "spoilt")]
+    return decision_rows(joined.select("file", "line", F.struct(*fields).alias("row"), spoilt.alias("spoilt")), shape, params)
+
+
+_CMB_AGREE = ["exam_type", "exam_class", "exam_subject", "question_type"]
+BUILT_IN: dict[str, Converter] = {"cmb_exam_full": convert_cmb_exam_full, "native": convert_native, "project_jsonl": convert_raw_jsonl, "t2ranking": convert_judged_pairs}

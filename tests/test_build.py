@@ -121,6 +121,43 @@ def test_exam_answers_named_by_their_field(spark):
     assert [_label(r) for r in rows[:2]] == ["A", "E"]
 
 
+OPTIONS = {"A": "甲", "B": "乙", "C": "丙"}
+CMB = {"question": "问", "option": OPTIONS | {"D": "丁", "E": " "}, "exam_type": "t", "exam_class": "c", "exam_subject": "s", "question_type": "多项选择题"}
+
+
+def test_exams_with_several_answers(spark):
+    rows = _rows(spark, "mlec_qa", {"qid": "1", "qtype": "A1型题", "qtext": "问", "options": OPTIONS, "answer": ["A", "C"]})
+    assert [(r.qtype, r.reason, _label(r)) for r in rows] == [("noul", None, x) for x in ("true", "false", "true")]
+    assert json.loads(rows[1].state) == "问\n\n原题全部选项：\nA：甲\nB：乙\nC：丙" and "选项 B 是否" in rows[1].questions and len({r.source_id for r in rows}) == 3
+    one = _rows(spark, "mlec_qa", {"qid": "1", "qtext": "问", "options": OPTIONS, "answer": ["B"]})
+    assert [(r.qtype, r.reason, _label(r)) for r in one] == [("choice", None, "B")]
+    assert [r.reason for r in _rows(spark, "mlec_qa", {"qtext": "问", "options": OPTIONS, "answer": "AD"})] == ["answer out of range"]
+    assert [_label(r) for r in _rows(spark, "cmexam_full", {"question": "问", "options": "A 甲\nB 乙\nC 丙", "answer": "AB"}, {"fields": "question string, options string, answer string"})] == ["true", "true", "false"] if SHAPES["cmexam_full"].schema else True
+    assert [_label(r) for r in _rows(spark, "cmb_exam_full", CMB | {"answer": "BD"})] == ["false", "true", "false", "true"]
+    assert [r.reason for r in _rows(spark, "cmb_exam_full", CMB | {"answer": "B"})] == ["kind of question and number of answers differ"]
+    assert [r.reason for r in _rows(spark, "medqa_full", {"question": "q", "options": OPTIONS, "answer_idx": "AB", "answer": "x"})] == ["answer and its letter differ"]
+
+
+def test_exam_answers_of_their_own_file(spark, tmp_path):
+    questions = [CMB | {"id": str(i)} for i in range(4)]
+    kinds = {k: CMB[k] for k in ("exam_type", "exam_class", "exam_subject", "question_type")}
+    answers = [kinds | {"id": "0", "answer": "AC"}, kinds | {"id": "1", "answer": "AC", "exam_type": "x"}, kinds | {"id": "2", "answer": "AZ"}]
+    paths = {k: write(tmp_path / f"{k}.json", json.dumps(v, ensure_ascii=False)) for k, v in (("questions", questions), ("answers", answers))}
+    rows = sorted(Registry().convert(spark, "cmb_exam_full", paths).collect(), key=lambda r: r.source_id)
+    assert [r.reason for r in rows] == [None] * 4 + ["fields differ", "answer out of range", "no answer"] and [_label(r) for r in rows[:4]] == ["true", "false", "true", "false"]
+
+
+def test_exam_links(spark):
+    """Equal starts link questions of every exam, white space aside."""
+    long = "患者男，五十岁。" * 13
+    a = _rows(spark, "medqa_full", {"question": long + "甲？", "options": OPTIONS, "answer_idx": "A", "answer": "甲"})[0]
+    b = _rows(spark, "cnmleqa", EXAM | {"question": " " + long.replace("，", "，\n") + "乙？", "answer": "opb"})[0]
+    c = _rows(spark, "mlec_qa", {"qtext": "短", "options": OPTIONS, "answer": "A"})[0]
+    d = _rows(spark, "empec", {"question": long + "丁？\nA. 甲\nB. 乙\nC. 丙\nD. 丁", "answer": "D"})[0]
+    assert [r.reason for r in (a, b, c, d)] == [None] * 4 and c.link_keys == [c.group_key]
+    assert all(r.group_key in r.link_keys for r in (a, b, d)) and len(set(a.link_keys) & set(b.link_keys) & set(d.link_keys)) == 1
+
+
 CAUSAL = {"task_dataset": "CMedCausal", "answer_choices": ["因果关系", "条件关系", "上下位关系"], "input": "着凉引起咳嗽，咳嗽是症状，多喝水。", "sample_id": "9"}
 
 
