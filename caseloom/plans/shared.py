@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
@@ -14,17 +15,19 @@ HOT_ROWS, HOT_KEYS, SALTS = 10_000, 512, 64
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, or the checkpoint folder that the session's owner set.
 
-    Only where that is unset, as in tests on one machine, a folder of this process is made and set."""
+    Without one, a session whose driver and tasks are one process on one machine, as in tests, gets a folder of its
+    own; on a cluster this raises, since a folder made up here wouldn't be one for all executors."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
-    if not known:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="caseloom-"))
-        known = spark.sparkContext.getCheckpointDir()
-    return known.rstrip("/")
+    if not found:
+        context = spark.sparkContext
+        if not context.getCheckpointDir():
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="caseloom-"))
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
 
 
 class Scratch:
@@ -44,6 +47,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_counted(self, df: DataFrame, table: str, **wanted: Column) -> tuple[DataFrame, dict]:
+        """:meth:`keep`, with aggregates over the rows that are taken as they are written: no further job reads them."""
+        seen = Observation()
+        kept = self.keep(df.observe(seen, *[c.alias(name) for name, c in wanted.items()]), table)
+        return kept, seen.get
+
     def has(self, path: str) -> bool:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
@@ -73,9 +82,17 @@ def hot_keys(df: DataFrame, key: str, rows: int | None = None, least: int = HOT_
     return heaviest(counts, key, least, most)
 
 
-def heaviest(counts: DataFrame, key: str, least: int = HOT_ROWS, most: int = HOT_KEYS) -> list[Row]:
-    """:func:`hot_keys` of a table that has each key once with its number of rows ``n``."""
-    return counts.where(F.col("n") > least).orderBy(F.desc("n")).limit(most).select(key).collect()
+def heaviest(counts: DataFrame, key: str, least: int = HOT_ROWS, most: int = HOT_KEYS, *, highest: int | None = None) -> list[Row]:
+    """:func:`hot_keys`, with ``n``, of a table that has each key once with its number of rows ``n``. Where the
+    ``highest`` number is known and isn't hot, nothing is read."""
+    if highest is not None and highest <= least:
+        return []
+    return counts.where(F.col("n") > least).orderBy(F.desc("n")).limit(most).select(key, "n").collect()
+
+
+def hot_rows() -> int:
+    """The number of rows above which :func:`heaviest` calls a key hot."""
+    return heaviest.__defaults__[0]
 
 
 def salted_lookup(facts: DataFrame, table: DataFrame, key: str, hot: list[Row], spread: Column, how: str = "inner") -> DataFrame:
