@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.shared import Scratch, heaviest, hot_keys, salted_lookup
 
-#: Edges that one task takes, of two short texts each.
+#: Edges up to which a level's edges and nodes, two short texts each, are broadcast; more are shuffled.
 FEW_EDGES = 200_000
 #: Steps over which a node looks for the lowest number before a level is contracted.
 STEPS = 3
@@ -27,56 +26,49 @@ def connected_groups(members: DataFrame, scratch: Scratch, label: str = "groups"
 
     Every anchor ties its groups to its least one. At each level every node takes the lowest of freshly drawn numbers
     within STEPS steps, nodes with one number contract, and the edges between them go on. Numbers are random, so a
-    level leaves a fraction of the nodes whatever the shape, a chain in sorted order included. Once at most FEW_EDGES
-    edges are left, one task joins the rest. Levels are written to the shared folder; only numbers of edges and hot
-    nodes come to the driver. Nodes and anchors with very many rows are spread. A null anchor connects nothing."""
+    level leaves a fraction of the nodes whatever the shape, a chain in sorted order included. Levels are written to the
+    shared folder and their edges counted as they are written; only these counts and hot nodes come to the driver.
+    Tables of at most FEW_EDGES edges are broadcast; where there are more, nodes and anchors with very many rows are
+    spread. A null anchor connects nothing."""
+    one = F.count(F.lit(1))
     pairs = scratch.keep(members.where("grp is not null").select("grp", "anchor").distinct(), f"{label}-pairs")
     links = pairs.where("anchor is not null")
-    hubs = scratch.keep(links.groupBy("anchor").agg(F.min("grp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), f"{label}-hubs")
-    tied = salted_lookup(links, hubs.select("anchor", "hub"), "anchor", heaviest(hubs, "anchor"), F.xxhash64("grp")).where("grp <> hub")
-    left = scratch.keep(tied.select(F.col("grp").alias("u"), F.col("hub").alias("v")).distinct(), f"{label}-edges0")
-    count, level, found = left.count(), 0, []
-    while count > FEW_EDGES:
+    hubs = links.groupBy("anchor").agg(F.min("grp").alias("hub"), one.alias("n")).where("n > 1")
+    hubs, seen = scratch.keep_counted(hubs, f"{label}-hubs", highest=F.max("n"))
+    tied = salted_lookup(links, hubs.select("anchor", "hub"), "anchor", heaviest(hubs, "anchor", highest=seen["highest"] or 0), F.xxhash64("grp")).where("grp <> hub")
+    left, seen = scratch.keep_counted(tied.select(F.col("grp").alias("u"), F.col("hub").alias("v")).distinct(), f"{label}-edges0", edges=one)
+    levels: list[tuple[DataFrame, bool]] = []
+    while seen["edges"]:
+        small = seen["edges"] <= FEW_EDGES
         both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hot = hot_keys(both, "u", 2 * count)
-        state = both.select("u").distinct().withColumn("best", _draw(F.col("u"), level))
+        hot = [] if small else hot_keys(both, "u", 2 * seen["edges"])
+        at_ends = lambda edges, table: edges.join(F.broadcast(table), "u") if small else salted_lookup(edges, table, "u", hot, F.xxhash64("v"))  # noqa: B023, E731
+        state = both.select("u").distinct().withColumn("best", _draw(F.col("u"), len(levels)))
         for _ in range(STEPS):
-            seen = salted_lookup(both, state, "u", hot, F.xxhash64("v")).select(F.col("v").alias("u"), "best")
-            state = state.unionByName(seen).groupBy("u").agg(F.min("best").alias("best"))
-        nodes = scratch.keep(state.select("u", F.col("best.c").alias("c")), f"{label}-level{level}")
-        found.append(nodes)
+            reached = at_ends(both, state).select(F.col("v").alias("u"), "best")
+            state = state.unionByName(reached).groupBy("u").agg(F.min("best").alias("best"))
+        nodes = scratch.keep(state.select("u", F.col("best.c").alias("c")), f"{label}-level{len(levels)}")
+        levels.append((nodes, small))
         for _ in range(2):
-            left = salted_lookup(left, nodes, "u", hot, F.xxhash64("v")).select(F.col("v").alias("u"), F.col("c").alias("v"))
-        left = scratch.keep(left.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{label}-edges{level + 1}")
-        count, level = left.count(), level + 1
-    final = scratch.keep(left.coalesce(1).mapInPandas(_join_rest, "u string, end string"), f"{label}-rest")
-    for at, nodes in enumerate(reversed(found)):
-        ends = salted_lookup(nodes, final.withColumnRenamed("u", "c"), "c", hot_keys(nodes, "c"), F.xxhash64("u"), "left")
-        final = scratch.keep(ends.select("u", F.coalesce("end", "c").alias("end")), f"{label}-final{at}")
-    least = final.groupBy("end").agg(F.min("u").alias("root"), F.count(F.lit(1)).alias("n"))
-    roots = salted_lookup(final, least.select("end", "root"), "end", heaviest(least, "end"), F.xxhash64("u")).select(F.col("u").alias("grp"), "root")
+            left = at_ends(left, nodes).select(F.col("v").alias("u"), F.col("c").alias("v"))
+        left = left.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        left, seen = scratch.keep_counted(left, f"{label}-edges{len(levels)}", edges=one)
+    if not levels:
+        return pairs.select("grp", F.col("grp").alias("root")).distinct()
+    # Each level maps its nodes to those of the next; a node that the next level lacks is final.
+    final = levels[-1][0].select("u", F.col("c").alias("end"))
+    for at, (nodes, small) in enumerate(reversed(levels[:-1])):
+        following = final.withColumnRenamed("u", "c")
+        ends = nodes.join(F.broadcast(following), "c", "left") if small else salted_lookup(nodes, following, "c", hot_keys(nodes, "c"), F.xxhash64("u"), "left")
+        final = ends.select("u", F.coalesce("end", "c").alias("end"))
+        if not small:
+            final = scratch.keep(final, f"{label}-final{at}")
+    final = scratch.keep(final, f"{label}-final")
+    least, seen = scratch.keep_counted(final.groupBy("end").agg(F.min("u").alias("root"), one.alias("n")), f"{label}-least", highest=F.max("n"))
+    roots = salted_lookup(final, least.select("end", "root"), "end", heaviest(least, "end", highest=seen["highest"] or 0), F.xxhash64("u")).select(F.col("u").alias("grp"), "root")
     return pairs.select("grp").distinct().join(roots, "grp", "left").select("grp", F.coalesce("root", "grp").alias("root"))
 
 
-def _join_rest(batches):
-    """Union-find over at most FEW_EDGES edges: ``(u, end)`` of every node."""
-    parent: dict[str, str] = {}
-
-    def root(x: str) -> str:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for pdf in batches:
-        for u, v in zip(pdf["u"], pdf["v"]):
-            a, b = root(u), root(v)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    yield pd.DataFrame({"u": nodes, "end": [root(x) for x in nodes]}, dtype=object)
-
-
 def component_names(roots: DataFrame) -> DataFrame:
     """``(root, component, groups)`` of components of ``roots(grp, root)``.
 
