@@ -26,8 +26,10 @@ _META = ("source_family", "task_family", "domain", "revision", "license")
 def convert_sources(spark: SparkSession, config: Mapping, base: str, registry: Registry | None = None) -> DataFrame:
     """All sources' decision rows in one relation, with ``arrival``, the source's fields and ``reason``.
 
-    One large source is as parallel as many small ones, since files split. Arrival is the place of the source, then of
-    the row in its files' order."""
+    One large source is as parallel as many small ones, since files split. Arrival is the place of the source in the
+    configuration, then of the row: its file by name, its record there, its place in the record. It depends on neither
+    partitions nor the order in which files are listed. Rows of an adapter that tells no ``place`` arrive in the order of
+    a digest of their content; rows of equal content are interchangeable."""
     registry, parts = registry or Registry(), []
     for number, source in enumerate(config["sources"]):
         at = lambda p: f"{base}/{p}"
@@ -35,14 +37,14 @@ def convert_sources(spark: SparkSession, config: Mapping, base: str, registry: R
         paths = {k: at(v) for k, v in paths.items()} if isinstance(paths, Mapping) else [at(p) for p in ([paths] if isinstance(paths, str) else paths)]
         rows = registry.convert(spark, source["adapter"], paths, source.get("params"))
         fixed = {k: F.lit(source.get(k)).cast("string") for k in _META}
-        rows = rows.drop("source", "raw_no", *_META).withColumns(
+        rows = rows.drop("source", "raw_no", "arrival", *_META).withColumns(
             fixed
             | {
                 "source": F.lit(source["name"]), "source_url": F.lit(source["url"]), "source_split": F.lit(source["split"]), "original_split": F.lit(source.get("original_split", source["split"])),
-                "source_no": F.lit(number), "row_no": F.monotonically_increasing_id(),
+                "arrival": F.struct(F.lit(number).alias("source_no"), *(["place.file", "place.line", "place.at"] if "place" in rows.columns else [F.lit("").alias("file"), F.lit(0).cast("long").alias("line"), F.array().cast("array<int>").alias("at")]), X.digest(X.json_list(*[F.coalesce(F.col(c), F.lit("")) for c in ("source_id", "state", "questions", "gold", "group_key")])).alias("content"), F.monotonically_increasing_id().alias("tie")),
             }
         )
-        parts.append(rows)
+        parts.append(rows.drop("place"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -73,13 +75,12 @@ def build_release(spark: SparkSession, config: Mapping, base: str, output: str,
         rows.withColumns({
             "id": F.concat(F.col("source"), F.lit(":"), C.case_digest(F.col("source_id"), F.col("state"), F.get_json_object("questions", "$.decision"))),
             "input_key": C.input_key(F.col("state"), F.col("questions")), "gold_key": X.digest(F.col("gold")),
-            "arrival": F.struct("source_no", "row_no"), "grp": F.col("group_key"), "split": F.col("source_split"),
+            "grp": F.col("group_key"), "split": F.col("source_split"),
         }), "converted")
     good, bad = rows.where("reason is null"), rows.where("reason is not null")
     if not good.limit(1).count():
         raise ValueError("no valid cases")
-    numbered = good.withColumn("arrival", F.col("source_no").cast("long") * (1 << 50) + F.col("row_no"))
-    merged = scratch.keep(M.merge_cases(numbered, scratch, config.get("seed", 0), *[float(config.get(f"{s}_fraction", 0)) for s in ("calibration", "validation", "test")]), "merged")
+    merged = scratch.keep(M.merge_cases(good, scratch, config.get("seed", 0), *[float(config.get(f"{s}_fraction", 0)) for s in ("calibration", "validation", "test")]), "merged")
     kept = merged.where("fate = 'kept'")
     staging = f"{output}.staging"
     packed = "gzip" if config.get("compression") == "gzip" else "none"

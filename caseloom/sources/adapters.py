@@ -55,9 +55,8 @@ def _words(vocabulary: list[str]) -> str:
     return "array(" + ",".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in vocabulary) + ")"
 
 
-#: Readers that give ``(file, line, row)``; others flatten their columns into ``row``.
 def _read(spark: SparkSession, shape: Shape, paths, charset: str) -> DataFrame:
-    at = lambda df: df.select(F.lit("table").alias("file"), F.monotonically_increasing_id().alias("line"), F.struct(*df.columns).alias("row"))
+    """``(file, line, row[, spoilt])`` of a source's records."""
     if shape.read == "jsonl":
         return readers.sound_jsonl(spark, paths, shape.schema).select("file", "line", "row")
     if shape.read == "lists":
@@ -75,11 +74,12 @@ def _read(spark: SparkSession, shape: Shape, paths, charset: str) -> DataFrame:
     if shape.read == "dictionary":
         return readers.read_json_dictionary(spark, paths, shape.schema).select("file", "line", F.struct("key", "row.*").alias("row"))
     if shape.read == "nested":
-        return at(readers.read_nested_questions(spark, paths))
+        rows = readers.read_nested_questions(spark, paths)
+        return rows.select("file", "line", F.struct(*[c for c in rows.columns if c not in ("file", "line")]).alias("row"))
     if shape.read == "csv":
-        return at(readers.read_csv(spark, paths, charset=charset))
+        return readers.numbered_csv(spark, paths, charset)
     if shape.read == "tsv":
-        return at(readers.read_tsv(spark, paths, shape.schema))
+        return readers.numbered_tsv(spark, paths, shape.schema).withColumnRenamed("reason", "spoilt")
     if shape.read == "pickle":
         return readers.read_pickled_lists(spark, paths).select("file", "line", F.from_json("value", shape.schema).alias("row"))
     raise ValueError(f"unknown reader {shape.read}")
@@ -103,8 +103,9 @@ def _top_level(schema: str) -> list[str]:
 
 def decision_rows(rows: DataFrame, shape: Shape, params: Mapping[str, object] | None = None) -> DataFrame:
     """Decision rows of records ``(file, line, row[, spoilt])``: ``source_id``, ``original_id``, ``qtype``, ``state``,
-    ``questions``, ``gold`` (JSON), ``group_key``, ``link_keys``, ``supervision`` and ``reason``. A record
-    with what ``spoilt`` it is one row without content."""
+    ``questions``, ``gold`` (JSON), ``group_key``, ``link_keys``, ``supervision``, ``reason`` and ``place``, the row's
+    file, record and places inside it, by which rows arrive whatever the layout. A record with what ``spoilt`` it is one
+    row without content."""
     if "spoilt" in rows.columns:
         good = decision_rows(rows.where("spoilt is null").drop("spoilt"), shape, params)
         return good.unionByName(_spoilt_rows(rows.where("spoilt is not null"), "choice" if shape.kind == "exam" else shape.kind, good))
@@ -158,6 +159,7 @@ def decision_rows(rows: DataFrame, shape: Shape, params: Mapping[str, object] |
         links.alias("link_keys"),
         F.lit(shape.supervision).alias("supervision"),
         "reason",
+        arrival_place(*[F.col(p) for _, p, _ in shape.unfold]).alias("place"),
     )
 
 
@@ -189,13 +191,24 @@ def _exam_rows(rows: DataFrame, shape: Shape, params) -> DataFrame:
     return decision_rows(ready.where("not several").drop("several"), one, params).unionByName(decision_rows(ready.where("several").drop("several"), each, params))
 
 
+def _file() -> Column:
+    """The file's own name; packed or not makes no difference."""
+    return F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.gz$", "")
+
+
 def _base() -> Column:
-    return F.concat_ws(":", F.element_at(F.split("file", "/"), -1), F.col("line").cast("string"))
+    return F.concat_ws(":", _file(), F.col("line").cast("string"))
+
+
+def arrival_place(*inside: Column) -> Column:
+    """A row's place among those of its source: file, record, and the places it was unfolded from."""
+    at = F.array(*[c.cast("int") for c in inside]) if inside else F.array().cast("array<int>")
+    return F.struct(_file().alias("file"), F.col("line").cast("long").alias("line"), at.alias("at"))
 
 
 def _spoilt_rows(rows: DataFrame, kind: str, like: DataFrame) -> DataFrame:
     """Rows for the audit in the columns of ``like``, of records ``(file, line, spoilt)`` that can't be converted."""
-    told = {"source_id": _base(), "original_id": _base(), "qtype": F.lit(kind), "reason": F.col("spoilt")}
+    told = {"source_id": _base(), "original_id": _base(), "qtype": F.lit(kind), "reason": F.col("spoilt"), "place": arrival_place()}
     return rows.select(*[told.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields])
 
 
@@ -309,7 +322,7 @@ def convert_native(spark: SparkSession, paths, params) -> DataFrame:
     schema = "id string, state string, questions string, gold string, _meta struct<group_key string, link_keys array<string>, supervision string>"
     rows = readers.sound_jsonl(spark, paths, schema).select("file", "line", "row.*")
     asked = F.from_json("questions", "map<string,string>")
-    each = rows.select("*", F.explode(F.map_entries(asked)).alias("q"), F.size(asked).alias("n"))
+    each = rows.select("*", F.posexplode(F.map_entries(asked)).alias("q_no", "q"), F.size(asked).alias("n"))
     told = F.element_at(F.from_json("gold", "map<string,string>"), F.col("q.key"))
     named = lambda j: F.concat(F.lit("{"), X.json_quote(F.col("q.key")), F.lit(":"), j, F.lit("}"))
     state = F.when(F.ltrim("state").rlike(r"^[\[{]"), F.col("state")).otherwise(X.json_quote(F.col("state")))
@@ -325,6 +338,7 @@ def convert_native(spark: SparkSession, paths, params) -> DataFrame:
         F.coalesce("_meta.link_keys", F.array().cast("array<string>")).alias("link_keys"),
         F.coalesce("_meta.supervision", F.lit("source_hard_label")).alias("supervision"),
         F.when(told.isNull(), "no gold").alias("reason"),
+        arrival_place(F.col("q_no")).alias("place"),
     )
 
 
@@ -350,14 +364,14 @@ def raw_record_rows(raw: DataFrame, link_keys: Column | None = None, need_group:
     return rows.select(
         F.col("id").alias("source_id"), F.col("id").alias("original_id"), F.col("type").alias("qtype"), F.to_json("state").alias("state"), asked.alias("questions"), told.alias("gold"),
         X.group_key("raw_parent", F.col("grp"), compose=False).alias("group_key"), (link_keys if link_keys is not None else F.array().cast("array<string>")).alias("link_keys"),
-        F.lit("source_hard_label").alias("supervision"), reason.alias("reason"), *[c for c in ("raw_no", "source") if c in raw.columns],
+        F.lit("source_hard_label").alias("supervision"), reason.alias("reason"), *[c for c in ("raw_no", "source", "place") if c in raw.columns],
     )
 
 
 def convert_raw_jsonl(spark: SparkSession, paths, params) -> DataFrame:
     """Plug-in records in JSON lines."""
     schema = "id string, group string, type string, state struct<text string, question string, slots array<struct<name string, value string>>>, instruction string, criteria string, label string"
-    rows = readers.sound_jsonl(spark, paths, schema).select("row.*").withColumnRenamed("group", "grp")
+    rows = readers.sound_jsonl(spark, paths, schema).select("row.*", arrival_place().alias("place")).withColumnRenamed("group", "grp")
     return raw_record_rows(rows, need_group=True)
 
 

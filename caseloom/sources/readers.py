@@ -8,8 +8,9 @@ import pickle
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as X
 from ..operators.sequences import physical_lines
@@ -91,11 +92,13 @@ def read_json_dictionary(spark: SparkSession, paths: Paths, schema: str) -> Data
 
 
 def read_nested_questions(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Questions of ``data[].paragraphs[].qas[]`` documents: ``(file, title, context, id, question, answers, impossible)``."""
+    """Questions of ``data[].paragraphs[].qas[]`` documents in their order: ``(file, line, title, context, id, question,
+    answers, impossible)``; ``line`` numbers the questions of a file from 1."""
     schema = "data array<struct<title string, paragraphs array<struct<context string, qas array<struct<id string, question string, answers array<struct<text string, answer_start int>>, is_impossible boolean>>>>>>"
     whole = _whole(spark, paths).where(sound(F.json_object_keys("value").isNotNull(), F.col("file"))).select("file", F.from_json("value", schema).alias("d"))
-    articles = whole.select("file", F.explode("d.data").alias("a")).select("file", "a.title", F.explode("a.paragraphs").alias("p"))
-    return articles.select("file", "title", "p.context", F.explode("p.qas").alias("q")).select("file", "title", "context", "q.id", "q.question", "q.answers", F.col("q.is_impossible").alias("impossible"))
+    asked = """flatten(transform(d.data, a -> coalesce(flatten(transform(a.paragraphs, p -> coalesce(transform(p.qas, q -> named_struct(
+        'title', a.title, 'context', p.context, 'id', q.id, 'question', q.question, 'answers', q.answers, 'impossible', q.is_impossible)), array()))), array())))"""
+    return whole.select("file", F.posexplode(F.expr(asked)).alias("at", "q")).select("file", (F.col("at") + 1).cast("long").alias("line"), "q.*")
 
 
 def read_csv(spark: SparkSession, paths: Paths, columns: str | None = None, charset: str = "utf-8") -> DataFrame:
@@ -106,21 +109,49 @@ def read_csv(spark: SparkSession, paths: Paths, columns: str | None = None, char
     return (reader.schema(columns) if columns else reader).csv(_list(paths))
 
 
-def _decoded_csv(spark: SparkSession, paths: Paths, charset: str) -> DataFrame:
-    """Rows of CSV files in any charset that Python knows, such as gb18030; the header names the columns."""
+def _decoded_csv(spark: SparkSession, paths: Paths, charset: str, numbered: bool = False) -> DataFrame:
+    """Rows of CSV files in any charset that Python knows, such as gb18030; the header names the columns. ``numbered``
+    gives ``(file, line, row)``. A file that can't be decoded stops the build."""
     import csv
 
     files = spark.read.format("binaryFile").load(_list(paths)).select("path", "content")
     head = files.orderBy("path").limit(1).collect()
-    names = next(csv.reader(io.StringIO(head[0].content.decode(charset).lstrip("﻿")))) if head else []
+    names = next(csv.reader(io.StringIO(head[0].content.decode(charset).lstrip("\ufeff")))) if head else []
+    schema = ", ".join(f"`{n}` string" for n in names)
 
     def parse(batches):
         for pdf in batches:
-            for content in pdf["content"]:
-                rows = csv.DictReader(io.StringIO(bytes(content).decode(charset).lstrip("﻿"), newline=""))
-                yield pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names)
+            for path, content in zip(pdf["path"], pdf["content"]):
+                reader = csv.DictReader(io.StringIO(bytes(content).decode(charset).lstrip("\ufeff"), newline=""))
+                rows = [{n: r.get(n) for n in names} for r in reader]
+                for at in range(0, len(rows), 10_000):
+                    part = pd.DataFrame(rows[at : at + 10_000], columns=names, dtype=object)
+                    yield part.assign(_file=path, _line=range(at + 1, at + len(part) + 1))
+
+    found = files.mapInPandas(parse, f"{schema}, _file string, _line long" if names else "_file string, _line long")
+    if not numbered:
+        return found.drop("_file", "_line")
+    return found.select(F.col("_file").alias("file"), F.col("_line").alias("line"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
 
-    return files.mapInPandas(parse, ", ".join(f"`{n}` string" for n in names))
+
+def numbered_csv(spark: SparkSession, paths: Paths, charset: str = "utf-8") -> DataFrame:
+    """``(file, line, row)`` of :func:`read_csv`; ``line`` numbers the records of a file from 1. A file with quoted line
+    breaks is read by one task, so its records are numbered in one."""
+    if charset.lower().replace("_", "-") not in ("utf-8", "utf8"):
+        return _decoded_csv(spark, paths, charset, numbered=True)
+    rows = read_csv(spark, paths)
+    marked = rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_at"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+    return marked.select("file", F.row_number().over(Window.partitionBy("file").orderBy("_at")).cast("long").alias("line"), "row")
+
+
+def numbered_tsv(spark: SparkSession, paths: Paths, columns: str) -> DataFrame:
+    """``(file, line, row, reason)`` of lines cut at their tabs, quotes being data; a line with more or fewer fields gets a
+    reason. An empty field is null."""
+    names = [f.name for f in StructType.fromDDL(columns).fields]
+    parts = F.split("value", "\t", -1)
+    lines = read_lines(spark, paths).withColumn("_parts", parts)
+    row = F.struct(*[F.nullif(F.get("_parts", F.lit(k)), F.lit("")).cast(f.dataType).alias(f.name) for k, f in enumerate(StructType.fromDDL(columns).fields)])
+    return lines.select("file", "line", row.alias("row"), F.when(F.size("_parts") != len(names), f"not {len(names)} fields").alias("reason"))
 
 
 def read_tsv(spark: SparkSession, paths: Paths, columns: str) -> DataFrame:

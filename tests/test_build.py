@@ -381,3 +381,47 @@ def test_streamed_conversion(spark, tmp_path):
     assert found == {1: None, 2: "label isn't among the criteria"}
     events = spark.createDataFrame([("2024-01-01 00:00:10", "a"), ("2024-01-01 00:00:50", "a")], "ts string, k string").withColumn("ts", F.to_timestamp("ts"))
     assert windowed_counts(events, "ts", "1 minute", "1 minute", "k").first().n == 2
+
+
+HOTEL = "label,review\n1,很好\n0,\"差\n极了\"\n1,还行\n"
+
+
+def _ids(rows):
+    return sorted((r.source_id, r.state, r.place.file, r.place.line) for r in rows.collect())
+
+
+def test_ids_do_not_follow_the_layout(spark, tmp_path):
+    """Records are named by their file and their number in it: in any order of files, packed or not."""
+    a, b = write(tmp_path / "a.csv", HOTEL), write(tmp_path / "b.csv", "label,review\n0,一般\n")
+    one, two = (_ids(Registry().convert(spark, "chnsenticorp_htl", p)) for p in ([a, b], [b, a]))
+    assert one == two and [x[0] for x in one] == ["a.csv:1", "a.csv:2", "a.csv:3", "b.csv:1"] and "极了" in one[1][1]
+    (tmp_path / "packed").mkdir()
+    with gzip.open(tmp_path / "packed/a.csv.gz", "wt") as f:
+        f.write(HOTEL)
+    assert _ids(Registry().convert(spark, "chnsenticorp_htl", str(tmp_path / "packed/a.csv.gz"))) == one[:3]
+    tsv = write(tmp_path / "w.tsv", "内科\t1\tq1\t头疼？\t\"多喝水\n内科\t0\tq1\t头疼？\n内科\t0\tq1\t头疼？\t\t\n")
+    rows = sorted((r.source_id, r.reason) for r in Registry().convert(spark, "webmedqa_each", tsv).collect())
+    assert rows == [("w.tsv:1:q1", None), ("w.tsv:2", "not 5 fields"), ("w.tsv:3", "not 5 fields")]
+    nested = {"data": [{"title": "t", "paragraphs": [{"context": "天晴", "qas": [{"id": "x", "question": "雨？", "answers": [], "is_impossible": True}]}, {"context": "雨", "qas": None}]}, {"title": "u", "paragraphs": [{"context": "风", "qas": [{"id": "y", "question": "风？", "answers": [], "is_impossible": True}]}]}]}
+    path = write(tmp_path / "n.json", json.dumps(nested))
+    assert [(r.line, r.id) for r in R.read_nested_questions(spark, path).orderBy("line").collect()] == [(1, "x"), (2, "y")]
+
+
+def test_release_does_not_follow_the_layout(spark, tmp_path):
+    """Equal copies in two files, in both orders of files and with one or seven partitions: the same survivors and bytes."""
+    lines = [json.dumps({"id": f"r{i}", "group": f"g{i % 5}", "type": "noul", "state": {"text": f"t{i % 9}", "question": None, "slots": None}, "instruction": "Is it?", "criteria": '{"false":"n","true":"y"}', "label": "true"}) for i in range(24)]
+    write(tmp_path / "x.jsonl", "\n".join(lines[:13]))
+    write(tmp_path / "y.jsonl", "\n".join(lines[13:]))
+    source = {"name": "s", "adapter": "project_jsonl", "split": "train", "url": "https://a.example", "revision": "1", "license": "l", "source_family": "f", "task_family": "t", "domain": "d"}
+    found = []
+    for number, (paths, parts) in enumerate([(["x.jsonl", "y.jsonl"], 1), (["y.jsonl", "x.jsonl"], 7)]):
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1g" if parts == 1 else "700")
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            P.build_release(spark, {"format_version": 1, "sources": [source | {"paths": paths}]}, str(tmp_path), str(tmp_path / f"out{number}"))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        found.append([r.value for r in spark.read.text(str(tmp_path / f"out{number}/train")).orderBy("value").collect()])
+    assert found[0] == found[1] and len(found[0]) == 9
