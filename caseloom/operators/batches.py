@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+#: Slices of a rank, or four times the session's shuffle partitions where that is more.
 BUCKETS = 256
+#: Items of a subset that are chosen by a bounded sort; more are chosen by rank.
+SORTED = 100_000
 
 
 def global_rank(rows: DataFrame, order: Column, *ties: str) -> DataFrame:
     """Each row with ``rank`` from 0 by a value in [0, 1), without a single-task sort: rows fall into equal slices of
     the range, slices are ranked in parallel and shifted by the sizes of those before."""
-    sliced = rows.withColumn("_u", order).withColumn("_slice", F.least(F.floor(F.col("_u") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))  # at most BUCKETS rows
+    slices = max(BUCKETS, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sliced = rows.withColumn("_u", order).withColumn("_slice", F.least(F.floor(F.col("_u") * slices), F.lit(slices - 1)).cast("int"))
+    sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))  # at most ``slices`` rows
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     within = F.row_number().over(Window.partitionBy("_slice").orderBy("_u", *ties)) - 1
@@ -68,7 +72,10 @@ def shards(plan: DataFrame, batch: str, world: int) -> DataFrame:
 
 
 def seeded_subset(items: DataFrame, item: str, count: int, seed: int) -> DataFrame:
-    """``count`` items with the smallest hash fractions: the sampling operator, which a larger count only extends."""
+    """``count`` items with the smallest hash fractions: the sampling operator, which a larger count only extends. More
+    than SORTED items are chosen by their rank, so that no task sorts them all."""
+    if count > SORTED:
+        return global_rank(items, X.hash_fraction(F.col(item).cast("string"), seed), item).where(F.col("rank") < count).drop("rank")
     return items.orderBy(X.hash_fraction(F.col(item).cast("string"), seed), item).limit(count)
 
 

@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.shared import hot_keys, salted_lookup
 
 
 def judged_pairs(pairs: DataFrame, queries: DataFrame, passages: DataFrame) -> DataFrame:
     """``pairs(qid, pid, grade)`` with the texts of both sides. Only referenced passages take part: the pair side's
-    ids reach the passages as a semi-join before the wide text is shuffled."""
+    ids reach the passages as a semi-join before the wide text is shuffled. Queries and passages with very many pairs
+    are spread."""
     wanted = passages.join(pairs.select("pid").distinct(), "pid", "left_semi")
-    return pairs.join(queries, "qid").join(wanted, "pid")
+    hot = {key: hot_keys(pairs, key) for key in ("qid", "pid")}
+    asked = salted_lookup(pairs, queries, "qid", hot["qid"], F.xxhash64("pid"))
+    return salted_lookup(asked, wanted, "pid", hot["pid"], F.xxhash64("qid"))
 
 
 def missing_references(pairs: DataFrame, table: DataFrame, key: str) -> DataFrame:
@@ -21,8 +25,9 @@ def missing_references(pairs: DataFrame, table: DataFrame, key: str) -> DataFram
 
 
 def lookup_or_reason(rows: DataFrame, table: DataFrame, key: str, value: str, reason: str) -> DataFrame:
-    """Rows with the table's ``value``, and a reason where the table has no such key."""
-    return rows.join(table.select(key, value), key, "left").withColumn("reason", F.when(F.col(value).isNull(), reason))
+    """Rows with the table's ``value``, and a reason where the table has no such key; rows of hot keys are spread."""
+    told = [c for c, kind in rows.dtypes if "map<" not in kind]  # maps have no hash
+    return salted_lookup(rows, table.select(key, value), key, hot_keys(rows, key), F.xxhash64(*told), "left").withColumn("reason", F.when(F.col(value).isNull(), reason))
 
 
 def repeated_keys(table: DataFrame, key: str) -> DataFrame:
