@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..plans.shared import Scratch, heaviest, salted_lookup
 from .grouping import pairs_within
-from .lookforms import LookForm, content
+from .lookforms import LookForm, contents
 from .textforms import raw_bigrams
 
 #: Multiset hashes add modulo this prime; two lanes give about 122 bits.
@@ -27,25 +27,20 @@ def record_fields(raw: DataFrame, bigrams: dict[str, int] | None = None) -> Data
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("instruction", "text", "question")] + [T.StructField(c, lists) for c in ("names", "values")])
 
     @F.pandas_udf(schema)
-    def contents(instruction: pd.Series, text: pd.Series, question: pd.Series, names: pd.Series, values: pd.Series) -> pd.DataFrame:
-        known: dict = {}
-
-        def short(t):
-            """Instructions and slots repeat; long texts seldom do."""
-            if t not in known:
-                known[t] = content(form(t))
-            return known[t]
-
+    def found(instruction: pd.Series, text: pd.Series, question: pd.Series, names: pd.Series, values: pd.Series) -> pd.DataFrame:
+        # Instructions and slots repeat, so each distinct one is formed once; long texts seldom do.
+        short = [*set(instruction).union(t for column in (names, values) for x in column if x is not None for t in x)]
+        known = dict(zip(short, contents(form.many(short))))
         columns = {
-            "instruction": [short(t) for t in instruction],
-            "text": [content(form(t)) for t in text],
-            "question": [content(form(t)) for t in question],
-            "names": [None if x is None else [short(t) for t in x] for x in names],
-            "values": [None if x is None else [short(t) for t in x] for x in values],
+            "instruction": [known[t] for t in instruction],
+            "text": contents(form.many(text.tolist())),
+            "question": contents(form.many(question.tolist())),
+            "names": [None if x is None else [known[t] for t in x] for x in names],
+            "values": [None if x is None else [known[t] for t in x] for x in values],
         }
         return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in columns.items()})
 
-    made = raw.select("raw_no", "type", contents("instruction", "state.text", "state.question", F.col("state.slots.name"), F.col("state.slots.value")).alias("c"))
+    made = raw.select("raw_no", "type", found("instruction", "state.text", "state.question", F.col("state.slots.name"), F.col("state.slots.value")).alias("c"))
     slots = F.array_distinct(F.zip_with("c.names", "c.values", lambda n, v: F.struct(n.alias("name"), v.alias("value"))))
     return made.select("raw_no", "type", "c.instruction", "c.text", "c.question", slots.alias("slots"))
 

@@ -20,7 +20,10 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from functools import cache
+
+import numpy as np
 
 # Letters of other scripts drawn like a Latin letter (Latin letter, then its doubles).
 LATIN_DOUBLES = """
@@ -123,8 +126,98 @@ def _content_char(ch: str) -> str:
     return ""
 
 
+#: A noncharacter between the texts of a batch.
+SEPARATOR = "\ufffe"
+#: Characters of the texts that go through the tables at once.
+_AT_ONCE = 2_000_000
+
+
+class _Codes:
+    """A rule from a character to a text over whole arrays of code points, worked out at a character's first use."""
+
+    _UNKNOWN, _GONE, _SEVERAL = -3, -2, -1
+
+    def __init__(self, rule: Callable[[str], str]):
+        self.rule, self.several = rule, {}
+        self.table = np.full(0x110000, self._UNKNOWN, dtype=np.int32)
+        self.table[ord(SEPARATOR)] = ord(SEPARATOR)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        to = self.table[codes]
+        lowest = to.min(initial=0)
+        if lowest >= 0:
+            return to
+        if lowest == self._UNKNOWN:
+            for code in np.unique(codes[to == self._UNKNOWN]).tolist():
+                found = self.rule(chr(code))
+                self.table[code] = ord(found) if len(found) == 1 else self._SEVERAL if found else self._GONE
+                if len(found) > 1:
+                    self.several[code] = _codes(found)
+            to = self.table[codes]
+        wide = np.flatnonzero(to == self._SEVERAL)
+        if not len(wide):
+            return to[to >= 0]
+        lengths = (to != self._GONE).astype(np.int64)
+        lengths[wide] = [len(self.several[c]) for c in codes[wide].tolist()]
+        ends = np.cumsum(lengths)
+        out = np.empty(ends[-1], dtype=np.int32)
+        out[ends[to >= 0] - 1] = to[to >= 0]
+        for at, code in zip(wide.tolist(), codes[wide].tolist()):
+            out[ends[at] - lengths[at] : ends[at]] = self.several[code]
+        return out
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _joined(texts: Sequence[str | None]) -> Iterator[tuple[int, int, str | None]]:
+    """Runs of texts as ``(first, past, joined)``, nulls as nothing; ``joined`` is None for a run whose texts hold the
+    separator themselves."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size < _AT_ONCE):
+            size += len(texts[end] or "")
+            end += 1
+        whole = SEPARATOR.join([t or "" for t in texts[at:end]])
+        yield at, end, whole if whole.count(SEPARATOR) == end - at - 1 else None
+        at = end
+
+
+@cache
+def _movable() -> np.ndarray:
+    """Marks each code point that can compose with what stands before it, or change places with it."""
+    found = np.zeros(0x110000, dtype=bool)
+    for code in range(0x30000):
+        ch = chr(code)
+        if unicodedata.combining(ch):
+            found[code] = True
+        parts = unicodedata.decomposition(ch).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            found[int(parts[1], 16)] = True
+    found[0x1161:0x11C3] = True  # vowels and ends of Hangul syllables
+    found[0x30000:] = True
+    return found
+
+
+def _composed(codes: np.ndarray) -> str:
+    """The run of texts, each in NFC. Every code point is in NFC by itself, so only texts with one that moves change."""
+    joined = codes.tobytes().decode("utf-32-le", "surrogatepass")
+    moved = np.flatnonzero(_movable()[codes])
+    if not len(moved):
+        return joined
+    texts = joined.split(SEPARATOR)
+    for at in np.unique(np.searchsorted(np.flatnonzero(codes == ord(SEPARATOR)), moved)).tolist():
+        texts[at] = unicodedata.normalize("NFC", texts[at])
+    return SEPARATOR.join(texts)
+
+
 _SKELETONS = _Lazy(_skeleton)
 _CONTENTS = _Lazy(_content_char)
+_SKELETON_CODES = _Codes(_skeleton)
+_CONTENT_CODES = _Codes(_content_char)
+_DECIMALS = _Codes(lambda ch: "1" if ch.isdecimal() else "0")
 _OPEN = {ch for group in set(CLASS_OF.values()) for ch in group}
 #: A Latin letter outside every class leaves a token of ASCII letters, with or without accents, no other script.
 _LATIN_ONLY = {ch for ch in map(chr, [*range(65, 91), *range(97, 123)]) if ch not in CLASS_OF}
@@ -162,6 +255,21 @@ class LookForm:
             text = _KANA_TOKEN.sub(self._token, text)
         return text
 
+    def many(self, texts: Sequence[str | None]) -> list[str | None]:
+        """The look forms of many texts, each as by a call of its own; the tables run over all of them at once."""
+        out: list[str | None] = []
+        for first, past, joined in _joined(texts):
+            if joined is None:
+                out += [self(t) for t in texts[first:past]]
+                continue
+            if not joined.isascii():
+                joined = _composed(_SKELETON_CODES(_codes(joined)))
+            looks = _TOKEN.sub(self._token, joined).split(SEPARATOR)
+            if _KANA.search(joined):
+                looks = [_KANA_TOKEN.sub(self._token, x) if _KANA.search(x) else x for x in looks]
+            out += [None if t is None else x for t, x in zip(texts[first:past], looks)]
+        return out
+
     def _token(self, match: re.Match) -> str:
         token = match[0]
         found = self.cache.get(token)
@@ -229,12 +337,11 @@ def bigram_counts(texts: Iterable[str | None]) -> Counter:
     Letters beside members count below U+2000 only, so the table has at most 2 x members x 8192 entries, a bound that
     does not depend on the corpus."""
     tokens: Counter = Counter()
-    for text in texts:
-        if text:
-            if not text.isascii() and _DOUBLE.search(text):
-                text = _without_strays(text)
-            tokens.update(_TOKEN.findall(text))
-            tokens.update(_OPEN_HAN.findall(text))
+    for _, _, joined in _joined([t.replace(SEPARATOR, " ") for t in texts if t]):
+        if _DOUBLE.search(joined):
+            joined = SEPARATOR.join([_without_strays(t) if not t.isascii() and _DOUBLE.search(t) else t for t in joined.split(SEPARATOR)])
+        tokens.update(_TOKEN.findall(joined))
+        tokens.update(_OPEN_HAN.findall(joined))
     kept: Counter = Counter()
     for token, n in tokens.items():
         for a, b in zip(" " + token, token):
@@ -251,3 +358,21 @@ def content(look: str | None) -> str | None:
     text = _POINT.sub("", look) if "." in look else look
     text = text.translate(_CONTENTS)
     return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+
+
+def contents(looks: Sequence[str | None]) -> list[str | None]:
+    """:func:`content` of many look forms; the tables run over all of them at once."""
+    out: list[str | None] = []
+    for first, past, joined in _joined(looks):
+        if joined is None:
+            out += [content(x) for x in looks[first:past]]
+            continue
+        codes = _codes(joined)
+        points = np.flatnonzero(codes == ord("."))
+        if len(points):
+            beside = np.concatenate([[ord(SEPARATOR)], codes, [ord(SEPARATOR)]])
+            digit = lambda at: _DECIMALS(beside[at]) == ord("1")
+            codes = np.delete(codes, points[~(digit(points) & digit(points + 2))])
+        found = _composed(_CONTENT_CODES(codes)).split(SEPARATOR)
+        out += [None if x is None else y for x, y in zip(looks[first:past], found)]
+    return out
