@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.shared import Scratch
+from ..plans.shared import Scratch, heaviest, salted_lookup
 from .grouping import pairs_within
-from .lookforms import LookForm, bigram_counts, content
+from .lookforms import LookForm, bigram_counts, contents
 
 _STRING = T.StringType()
 _TEXTS = ("text", "question", "instruction")
@@ -45,8 +45,8 @@ def look_and_content(bigrams: dict[str, int] | None = None):
 
     @F.pandas_udf(T.StructType([T.StructField("look", _STRING), T.StructField("content", _STRING)]))
     def forms(texts: pd.Series) -> pd.DataFrame:
-        looks = [form(t) for t in texts]
-        return pd.DataFrame({"look": pd.Series(looks, dtype=object), "content": pd.Series([content(x) for x in looks], dtype=object)})
+        looks = form.many(texts.tolist())
+        return pd.DataFrame({"look": pd.Series(looks, dtype=object), "content": pd.Series(contents(looks), dtype=object)})
 
     return forms
 
@@ -57,7 +57,7 @@ def look_udf(bigrams: dict[str, int] | None = None):
 
     @F.pandas_udf(_STRING)
     def looks(texts: pd.Series) -> pd.Series:
-        return pd.Series([form(t) for t in texts], dtype=object)
+        return pd.Series(form.many(texts.tolist()), dtype=object)
 
     return looks
 
@@ -88,9 +88,19 @@ def same_look_pairs(raw: DataFrame, scratch: Scratch, bigrams: dict[str, int] |
     """Pairs ``(raw_a, raw_b)``, raw_a < raw_b, whose three texts all look the same (null only like null) while their
     characters differ somewhere. Rows without any content never pair.
 
-    Looks are compared by digest of the forms. Only looks with two spellings are paired, and a look that holds many
-    rows is split into blocks, so no task gets an unbounded group."""
+    Looks are compared by digest of the forms. Rows of one look and one spelling are a class, named by its smallest
+    raw_no. Only classes of one look are paired, in blocks where a look has many, and both ends are then opened to their
+    rows; so rows of one spelling never meet, and a class with very many rows is spread. Repeated rows count once."""
     forms = canonical_texts(raw, bigrams).where("has_content")
-    rows = scratch.keep(forms.select("raw_no", _digest(*[F.col(c) for c in _TEXTS]).alias("look"), "spelling"), "looks")
-    mixed = rows.groupBy("look").agg(F.min("spelling").alias("low"), F.max("spelling").alias("high")).where("low <> high").select("look")
-    return pairs_within(rows, mixed, "look", "raw_no", scratch, carry="spelling").where("carry_a <> carry_b").select(F.col("id_a").alias("raw_a"), F.col("id_b").alias("raw_b"))
+    short = lambda c: F.substring(c, 1, 16)
+    rows = scratch.keep(forms.select("raw_no", F.struct(short(_digest(*[F.col(c) for c in _TEXTS])).alias("look"), short(F.col("spelling")).alias("spelling")).alias("at")), "looks")
+    classes = scratch.keep(rows.groupBy("at").agg(F.min("raw_no").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
+    mixed = classes.select("at.look", "id", "at", "n")
+    mixed = scratch.keep(mixed.join(mixed.groupBy("look").agg(F.count(F.lit(1)).alias("spellings")).where("spellings > 1"), "look"), "mixed")
+    met = scratch.keep(pairs_within(mixed.select("look", "id"), None, "look", "id", scratch, repeated=False), "class_pairs")
+    hot = heaviest(mixed, "at")
+    members = scratch.keep(salted_lookup(rows, mixed.select("at", "id"), "at", hot, F.xxhash64("raw_no")).select("raw_no", "id").distinct(), "members")
+    hot = heaviest(mixed, "id")
+    for end in "ab":  # what meets a spread class is repeated, far less than comes out
+        met = salted_lookup(members.select(F.col("id").alias(f"id_{end}"), F.col("raw_no").alias(end)), met, f"id_{end}", hot, F.xxhash64(end))
+    return met.select(F.least("a", "b").alias("raw_a"), F.greatest("a", "b").alias("raw_b"))

@@ -179,3 +179,13 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     df = spark.createDataFrame([("k", i) for i in range(60)] + [("j", i) for i in range(3)] + [("alone", 1), (None, 1), (None, 2)], "k string, i long")
     found = sorted(tuple(r) for r in module.pairs_within(df, None, "k", "i", Scratch(spark, "t")).collect())
     assert found == sorted([*itertools.combinations(range(60), 2), *itertools.combinations(range(3), 2)])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=20), st.text(alphabet=st.sampled_from(MEMBERS + "1.٣ ￾"), max_size=8)), max_size=6))
+def test_many_texts_as_one_by_one(texts):
+    from caseloom.llm.lookforms import contents
+
+    looks = [form(t) for t in texts]
+    assert form.many(texts) == looks
+    assert contents(looks) == [content(x) for x in looks]
