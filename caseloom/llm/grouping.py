@@ -31,6 +31,11 @@ def pairs_within(rows: DataFrame, wanted: DataFrame | None, key: str, row_id: st
     members = sized_members(rows.where(F.col(key).isNotNull()), wanted, key, row_id, scratch, label)
     if repeated:
         members = members.dropDuplicates([key, row_id])
+    return paired_blocks(members, key, row_id, carry)
+
+
+def paired_blocks(members: DataFrame, key: str, row_id: str, carry: str | None = None) -> DataFrame:
+    """:func:`pairs_within` of rows that have ``n``, at least about the size of their group; all of a group have one."""
     members = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64(F.lit(11), row_id), F.col("blocks")).cast("int"))
     kept = [F.col(carry).alias("carry")] if carry else []
     left = members.select(key, F.col(row_id).alias("id"), *kept, F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"))

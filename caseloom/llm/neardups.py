@@ -7,19 +7,20 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import Scratch, heaviest, hot_keys, salted_lookup
+from . import grouping
 from .components import components_by_decomposition
-from .grouping import pairs_within
-from .textforms import look_and_content, raw_bigrams
+from .lookforms import LookForm, contents
+from .textforms import raw_bigrams
 
 
 @dataclass(frozen=True)
 class NearDuplicates:
-    """``threshold``: least similarity (shared over all distinct pieces of ``piece`` characters). ``margin``: true
-    pairs lie at ``threshold + margin`` or above for the stated recall; pairs between are found less surely.
+    """``threshold``: least similarity (shared over all distinct pieces of ``piece`` characters). :meth:`recall` tells how
+    surely a pair of some similarity is found; just above the threshold it is less than for pairs of 0.65 and more.
     ``rows`` x ``bands`` minimum hashes: a pair of similarity s becomes a candidate with 1 - (1 - s^rows)^bands. More
     rows leave far fewer chance candidates, whose number grows with the square of the corpus; more bands make up for
     the recall. ``kept`` hashes serve the comparison of candidates. ``miss``: a candidate is dropped only if, after a
@@ -56,26 +57,39 @@ class NearDuplicates:
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(0xBF58476D1CE4E5B9)
-_MIX32 = np.uint32(0x2C1B3C6D)
-
-
-def piece_hashes(text: str, piece: int) -> np.ndarray:
-    """Distinct 64-bit hashes of the pieces of ``piece`` characters; none for a shorter text."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    n = len(codes) - piece + 1
-    if n < 1:
-        return np.empty(0, dtype=np.uint64)
-    h = codes[:n].copy()
+#: Code points that are hashed at once; one hash of them all stays in a core's own cache.
+_AT_ONCE = 60_000
+#: Band keys of which a task keeps a count, and the count from which it tells of one. A key that no task tells of has
+#: less than 1 / COUNTED of each task's rows, or TOLD of them.
+COUNTED, TOLD = 1 << 16, 8
+#: Pairs of one Arrow batch.
+_PAIRS = 1 << 18
+#: Band rows of a bucket, as far as BUCKETS buckets are enough; band rows that a task deals out to buckets at once.
+PER_BUCKET, BUCKETS, _DEALT = 1 << 18, 1 << 16, 1 << 22
+
+
+def _pieces(texts: list[str], piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of all pieces of ``piece`` characters, text after text, and where each text starts. Every text has
+    at least one piece; a piece that a text repeats is there as often, which changes no minimum."""
+    lengths = np.array([len(t) for t in texts])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    count = len(codes) - piece + 1
+    h = codes[:count] * _MIX
     for k in range(1, piece):
-        h = h * _MIX ^ codes[k : n + k]
+        h ^= codes[k : count + k]
+        h *= _MIX
         h ^= h >> np.uint64(29)
-    return np.unique(h * _END)
+    h *= _END
+    whole = np.ones(count, dtype=bool)
+    ends = np.cumsum(lengths)[:-1]
+    for k in range(1, piece):
+        whole[ends - k] = False
+    own = lengths - piece + 1
+    return (h[whole] >> np.uint64(32)).astype(np.uint32), np.cumsum(own) - own
 
 
 def signatures(texts: list[str], p: NearDuplicates) -> np.ndarray:
-    """Minimum hashes, one row of rows x bands 32-bit values for each text; every text has at least one piece.
-
-    Texts are taken in chunks of about half a million pieces, so that memory doesn't follow the length of a batch."""
+    """Minimum hashes, one row of rows x bands 32-bit values for each text; every text has at least one piece."""
     count = p.rows * p.bands
     rng = np.random.default_rng(p.seed)
     factors = rng.integers(0, 2**31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -83,52 +97,212 @@ def signatures(texts: list[str], p: NearDuplicates) -> np.ndarray:
     out = np.empty((len(texts), count), dtype=np.uint32)
     at = 0
     while at < len(texts):
-        sets, total, end = [], 0, at
-        while end < len(texts) and (end == at or total < 500_000):
-            sets.append(piece_hashes(texts[end], p.piece))
-            total += len(sets[-1])
+        end, size = at, 0
+        while end < len(texts) and (end == at or size < _AT_ONCE):
+            size += len(texts[end])
             end += 1
-        starts = np.cumsum([0] + [len(s) for s in sets])[:-1]
-        flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-        for k in range(count):
-            h = flat * factors[k] + shifts[k]
-            h ^= h >> np.uint32(15)
-            h *= _MIX32
-            h ^= h >> np.uint32(13)
+        flat, starts = _pieces(texts[at:end], p.piece)
+        h = np.empty_like(flat)
+        for k in range(count):  # linear permutations of hashes that are mixed well
+            np.multiply(flat, factors[k], out=h)
+            np.add(h, shifts[k], out=h)
             out[at:end, k] = np.minimum.reduceat(h, starts)
         at = end
     return out
 
 
 def band_keys(sig: np.ndarray, p: NearDuplicates) -> np.ndarray:
-    """One 64-bit key for each band; the band's number is part of it."""
+    """One key of 48 bits for each band, the band's number mixed in: short keys travel cheaper, and where two fall
+    together by chance, that is one candidate more."""
     parts = sig.reshape(len(sig), p.bands, p.rows).astype(np.uint64)
     h = np.broadcast_to(np.arange(1, p.bands + 1, dtype=np.uint64) * _MIX, parts.shape[:2]).copy()
     for k in range(p.rows):
         h = (h ^ parts[:, :, k]) * _END
         h ^= h >> np.uint64(31)
-    return h.view(np.int64)
+    return (h >> np.uint64(16)).view(np.int64)
+
+
+class _Frequent:
+    """Counts of the most frequent keys of a stream in bounded memory: each is short by at most 1 / COUNTED of the rows."""
+
+    def __init__(self):
+        self.keys, self.counts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+
+    def add(self, keys: np.ndarray) -> None:
+        keys, counts = np.unique(keys, return_counts=True)
+        both, at = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+        total = np.zeros(len(both), dtype=np.int64)
+        np.add.at(total, at, np.concatenate([self.counts, counts]))
+        if len(both) > COUNTED:
+            total -= np.partition(total, len(both) - COUNTED - 1)[len(both) - COUNTED - 1]
+        self.keys, self.counts = both[total > 0], total[total > 0]
 
 
 def sign_texts(classes: DataFrame, p: NearDuplicates) -> DataFrame:
-    """``(id, keys, signature)`` of each text with a piece: band keys, and one byte of each minimum hash."""
-    width = p.kept
+    """``(id, signature, key, n)``: of each text with a piece one byte of each of its first ``kept`` minimum hashes, and
+    in rows of their own, without id, the band keys that a task saw often, with how often."""
 
     def run(batches):
+        seen = _Frequent()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            sig = signatures(texts, p)
-            keys = band_keys(sig, p)
-            offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * p.bands)
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(texts), [None, pa.py_buffer((sig[:, :width] & 0xFF).astype(np.uint8).tobytes())])
-            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), raw.cast(pa.binary())], ["id", "keys", "signature"])
-
-    return classes.where(F.length("content") >= p.piece).select("id", "content").mapInArrow(run, "id long, keys array<long>, signature binary")
+            if not batch.num_rows:
+                continue
+            sig = signatures(batch.column(1).to_pylist(), p)
+            seen.add(band_keys(sig, p).ravel())
+            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(p.kept), len(sig), [None, pa.py_buffer((sig[:, : p.kept] & 0xFF).astype(np.uint8).tobytes())])
+            none = pa.nulls(len(sig), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), raw.cast(pa.binary()), none, none], ["id", "signature", "key", "n"])
+        often = seen.counts >= TOLD
+        keys = pa.array(seen.keys[often])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.binary()), keys, pa.array(seen.counts[often])], ["id", "signature", "key", "n"])
+
+    return classes.where(F.length("content") >= p.piece).select("id", "content").mapInArrow(run, "id long, signature binary, key long, n long")
+
+
+def banded(classes: DataFrame, p: NearDuplicates, hot: dict[int, int], buckets: int) -> DataFrame:
+    """``(bucket, hot, base, keys, ids)``: the band keys of the texts, dealt out to buckets by their hash and packed, many
+    to a row: a key takes six bytes, an id four as far as the ids of a row lie close enough to its ``base``. Rows of hot
+    keys are packed apart and spread over all buckets by their ids."""
+    hot_keys_ = np.array(sorted(hot), dtype=np.int64)
+
+    def packed(bucket: np.ndarray, is_hot: bool, keys: np.ndarray, ids: np.ndarray):
+        if not len(keys):
+            return
+        order = np.argsort(bucket, kind="stable")
+        keys, ids = keys[order], ids[order]
+        cuts = np.cumsum(np.bincount(bucket, minlength=buckets))
+        rows: dict[str, list] = {"bucket": [], "hot": [], "base": [], "keys": [], "ids": []}
+        for at, (first, past) in enumerate(zip([0, *cuts[:-1].tolist()], cuts.tolist())):
+            if first == past:
+                continue
+            k, i = keys[first:past], ids[first:past]
+            base = int(i.min())
+            near = int(i.max()) - base < 1 << 32
+            rows["bucket"].append(at)
+            rows["hot"].append(is_hot)
+            rows["base"].append(base if near else None)
+            rows["keys"].append((k & 0xFFFFFFFF).astype(np.uint32).tobytes() + (k >> 32).astype(np.uint16).tobytes())
+            rows["ids"].append((i - base).astype(np.uint32).tobytes() if near else i.tobytes())
+        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), ("base", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary())]))
+
+    def dealt(held: list[tuple[np.ndarray, np.ndarray]]):
+        keys, ids = np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held])
+        often = np.isin(keys, hot_keys_) if len(hot_keys_) else np.zeros(len(keys), dtype=bool)
+        narrow = np.uint16 if buckets <= BUCKETS else np.int64
+        where = lambda x: ((x.astype(np.uint64) * _MIX >> np.uint64(32)) % np.uint64(buckets)).astype(narrow)
+        yield from packed(where(keys[~often]), False, keys[~often], ids[~often])
+        yield from packed(where(ids[often]), True, keys[often], ids[often])
 
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = band_keys(signatures(batch.column(1).to_pylist(), p), p).ravel()
+            held.append((keys, np.repeat(batch.column(0).to_numpy(), p.bands)))
+            size += len(keys)
+            if size >= _DEALT:
+                yield from dealt(held)
+                held, size = [], 0
+        if held:
+            yield from dealt(held)
+
+    return classes.where(F.length("content") >= p.piece).select("id", "content").mapInArrow(run, "bucket int, hot boolean, base long, keys binary, ids binary")
+
+
+def _unpacked(base: int | None, keys: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(keys) // 6
+    low, high = np.frombuffer(keys, dtype=np.uint32, count=n), np.frombuffer(keys, dtype=np.uint16, offset=4 * n)
+    found = np.frombuffer(ids, dtype=np.int64) if base is None else np.frombuffer(ids, dtype=np.uint32).astype(np.int64) + base
+    return low.astype(np.int64) | high.astype(np.int64) << 32, found
+
+
+def _run_pairs(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+    """Pairs inside runs of ``ids``, as arrays of at most about _PAIRS pairs."""
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        i, j = np.triu_indices(size, 1)
+        own = starts[sizes == size]
+        each = max(1, _PAIRS // len(i))
+        for at in range(0, len(own), each):
+            some = own[at : at + each, None]
+            a, b = ids[(some + i).ravel()], ids[(some + j).ravel()]
+            differ = a != b
+            yield np.minimum(a, b)[differ], np.maximum(a, b)[differ]
+
+
+def met_in_bands(bands: DataFrame, hot: dict[int, int]) -> DataFrame:
+    """``(id_a, id_b, key, n)`` from packed bands: the pairs of ids that share a key, without key and n; and the rows of
+    keys with more than BLOCK rows, ``id_a`` alone with the key and about how many rows it has.
+
+    A task sorts one bucket at a time, and nothing is written for keys that one text has alone. Rows of hot keys only
+    pass through, wherever they lie."""
+    block, schema = grouping.BLOCK, ["id_a", "id_b", "key", "n"]
+
+    def lone(keys: np.ndarray, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(keys), pa.array(n)], schema)
+
+    def met(parts: list[tuple[np.ndarray, np.ndarray]]):
+        keys, ids = np.concatenate([k for k, _ in parts]), np.concatenate([i for _, i in parts])
+        order = np.argsort(keys)
+        keys, ids = keys[order], ids[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        many = np.repeat(sizes, sizes)
+        if (many > block).any():
+            yield lone(keys[many > block], ids[many > block], many[many > block])
+        small = sizes <= block
+        for a, b in _run_pairs(ids, starts[small], sizes[small]):
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none], schema)
 
-def prune(pairs: DataFrame, p: NearDuplicates) -> DataFrame:
-    """Candidates left after the sequential comparison; input ``(id_a, id_b, sig_a, sig_b)``."""
-    bounds, width = p.bounds(), p.kept
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            for bucket, is_hot, base, keys, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                keys, ids = _unpacked(base, keys, ids)
+                if is_hot:
+                    yield lone(keys, ids, np.array([hot[k] for k in keys.tolist()]))
+                    continue
+                if bucket != now and held:
+                    yield from met(held)
+                    held = []
+                now = bucket
+                held.append((keys, ids))
+        if held:
+            yield from met(held)
+
+    return bands.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "id_a long, id_b long, key long, n long")
+
+
+def candidate_pairs(classes: DataFrame, signed: DataFrame, texts: int, p: NearDuplicates, scratch: Scratch) -> DataFrame:
+    """``(id_a, id_b)``, each once, of classes that share a band; ``texts`` is the number of signed ones."""
+    told = signed.where("key is not null").groupBy("key").agg(F.sum("n").alias("n"))
+    hot = {r[0]: r.n for r in heaviest(told, "key")}
+    buckets = max(1, min(BUCKETS, -(-texts * p.bands // PER_BUCKET)))
+    met = scratch.keep(met_in_bands(banded(classes, p, hot, buckets), hot), "met")
+    pairs, large = met.where("key is null").select("id_a", "id_b"), met.where("key is not null")
+    if large.limit(1).count():
+        pairs = pairs.unionByName(grouping.paired_blocks(large.select("key", F.col("id_a").alias("id"), "n").dropDuplicates(["key", "id"]), "key", "id"))
+    found = scratch.keep(pairs.distinct(), "candidates")
+    scratch.drop("met")
+    return found
+
+
+def _at_both_ends(pairs: DataFrame, table: DataFrame, value: Column) -> DataFrame:
+    """``pairs`` with ``a`` and ``b``, the value of ``table(id, ...)`` at either end; an id with very many pairs is
+    spread, and only what the table has for it is repeated."""
+    hot = {end: hot_keys(pairs, f"id_{end}") for end in "ab"}
+    for end, other in ("ab", "ba"):
+        own = table.select(F.col("id").alias(f"id_{end}"), value.alias(end))
+        pairs = salted_lookup(pairs, own, f"id_{end}", hot[end], F.xxhash64(f"id_{other}"))
+    return pairs
+
+
+def prune(pairs: DataFrame, p: NearDuplicates, past: int = 0, until: int | None = None) -> DataFrame:
+    """Candidates left after the sequential comparison of hashes ``past`` to ``until``: ``(id_a, id_b, equal)``. Input
+    ``(id_a, id_b, equal, a, b)``: ``a`` and ``b`` are these hashes, ``equal`` counts the equal ones before."""
+    until = p.kept if until is None else until
+    bounds, width = [x for x in p.bounds() if past < x[0] <= until], until - past
 
     def bytes_of(column: pa.Array) -> np.ndarray:
         column = column.cast(pa.binary())
@@ -139,15 +313,16 @@ def prune(pairs: DataFrame, p: NearDuplicates) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = bytes_of(batch.column(2)), bytes_of(batch.column(3))
-            alive, equal, before = np.arange(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int32), 0
+            a, b = bytes_of(batch.column(3)), bytes_of(batch.column(4))
+            alive, equal, before = np.arange(batch.num_rows), batch.column(2).to_numpy(), past
             for n, least in bounds:
-                equal = equal + (a[alive, before:n] == b[alive, before:n]).sum(axis=1, dtype=np.int32)
+                equal = equal + (a[alive, before - past : n - past] == b[alive, before - past : n - past]).sum(axis=1, dtype=np.int32)
                 stays = equal >= least
                 alive, equal, before = alive[stays], equal[stays], n
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(alive)), batch.column(1).take(pa.array(alive))], ["id_a", "id_b"])
+            kept = pa.array(alive)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), pa.array(equal.astype(np.int32))], ["id_a", "id_b", "equal"])
 
-    return pairs.select("id_a", "id_b", "sig_a", "sig_b").mapInArrow(run, "id_a long, id_b long")
+    return pairs.select("id_a", "id_b", "equal", "a", "b").mapInArrow(run, "id_a long, id_b long, equal int")
 
 
 def exact_similarity(piece: int):
@@ -155,9 +330,12 @@ def exact_similarity(piece: int):
 
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
+        out, sets = [], {}  # of one batch
         for x, y in zip(a, b):
-            s, t = ({z[i : i + piece] for i in range(len(z) - piece + 1)} for z in (x, y))
+            for z in (x, y):
+                if z not in sets:
+                    sets[z] = {z[i : i + piece] for i in range(len(z) - piece + 1)}
+            s, t = sets[x], sets[y]
             both = len(s & t)
             out.append(both / (len(s) + len(t) - both) if s or t else 0.0)
         return pd.Series(out, dtype="float64")
@@ -167,31 +345,45 @@ def exact_similarity(piece: int):
 
 def record_contents(raw: DataFrame, bigrams: dict[str, int] | None = None) -> DataFrame:
     """``(raw_no, content, digest)`` of rows with any content: that of the text followed by that of the question."""
-    both = look_and_content(raw_bigrams(raw) if bigrams is None else bigrams)
-    made = raw.select("raw_no", both("state.text").alias("t"), both("state.question").alias("q"))
-    made = made.select("raw_no", F.concat(F.coalesce("t.content", F.lit("")), F.coalesce("q.content", F.lit(""))).alias("content"))
-    return made.where("content <> ''").withColumn("digest", F.unhex(F.sha2("content", 256)))
+    form = LookForm(raw_bigrams(raw) if bigrams is None else bigrams)
+
+    def run(batches):
+        for batch in batches:
+            text, question = (contents(form.many(batch.column(k).to_pylist())) for k in (1, 2))
+            found = [(x or "") + (y or "") for x, y in zip(text, question)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["raw_no", "content"])
+
+    made = raw.select("raw_no", F.col("state.text").alias("text"), F.col("state.question").alias("question")).mapInArrow(run, "raw_no long, content string")
+    return made.where("content <> ''").withColumn("digest", F.substring(F.unhex(F.sha2("content", 256)), 1, 16))
 
 
 def similar_classes(raw: DataFrame, scratch: Scratch, p: NearDuplicates = NearDuplicates(), bigrams: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Membership ``(raw_no, id)`` of every row with content in the class of its content, whose id is its smallest
     raw_no, and links ``(id_a, id_b, similarity)`` between classes of at least the threshold.
 
-    Copies are one class before anything is paired. Bands shared by many classes are paired in blocks. Contents shorter
-    than a piece have no links. Null texts count as nothing; a repeated row counts once; extra columns don't matter."""
+    Copies are one class before anything is paired. Bands shared by many classes are paired in blocks, and a class with
+    very many partners is spread. Contents shorter than a piece have no links. Null texts count as nothing; a repeated
+    row counts once; extra columns don't matter."""
     rows = scratch.keep(record_contents(raw, bigrams), "contents")
-    firsts = scratch.keep(rows.groupBy("digest").agg(F.min("raw_no").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
-    members = scratch.keep(salted_lookup(rows.select("raw_no", "digest"), firsts.select("digest", "id"), "digest", heaviest(firsts, "digest"), F.xxhash64("raw_no")).select("raw_no", "id").distinct(), "members")
-    texts = rows.select(F.col("raw_no").alias("id"), "content").join(firsts.select("id"), "id").dropDuplicates(["id"])
-    signed = scratch.keep(sign_texts(texts, p), "signed")
-    bands = signed.select("id", F.explode("keys").alias("key"))
-    candidates = pairs_within(bands, None, "key", "id", scratch, label="bands", repeated=False).distinct()
-    sigs = signed.select("id", "signature")
-    candidates = candidates.join(sigs.select(F.col("id").alias("id_a"), F.col("signature").alias("sig_a")), "id_a").join(sigs.select(F.col("id").alias("id_b"), F.col("signature").alias("sig_b")), "id_b")
-    left = scratch.keep(prune(candidates, p), "pruned")
-    with_texts = left.join(texts.select(F.col("id").alias("id_a"), F.col("content").alias("a")), "id_a").join(texts.select(F.col("id").alias("id_b"), F.col("content").alias("b")), "id_b")
-    scored = with_texts.select("id_a", "id_b", exact_similarity(p.piece)("a", "b").alias("similarity"))
-    return members, scratch.keep(scored.where(F.col("similarity") >= p.threshold), "links")
+    first = rows.groupBy("digest").agg(F.min("raw_no").alias("id"), F.min_by("content", "raw_no").alias("content"), F.count(F.lit(1)).alias("n"))
+    classes = scratch.keep(first, "classes")
+    members = scratch.keep(salted_lookup(rows.select("raw_no", "digest"), classes.select("digest", "id"), "digest", heaviest(classes, "digest"), F.xxhash64("raw_no")).select("raw_no", "id").distinct(), "members")
+    scratch.drop("contents")
+    signed, seen = scratch.keep_counted(sign_texts(classes, p), "signed", texts=F.count("id"))
+    left = candidate_pairs(classes, signed, seen["texts"], p, scratch).withColumn("equal", F.lit(0))
+    sigs = signed.where("id is not null")
+    # The first batches decide about most candidates, so only those are carried to all of them.
+    cuts, before = [0, min(2 * p.batch, p.kept), p.kept], "candidates"
+    for past, until in zip(cuts, cuts[1:]):
+        if past < until:
+            left = scratch.keep(prune(_at_both_ends(left, sigs, F.substring("signature", past + 1, until - past)), p, past, until), f"pruned{until}")
+            scratch.drop(before)
+            before = f"pruned{until}"
+    scratch.drop("signed")
+    scored = _at_both_ends(left, classes, F.col("content")).select("id_a", "id_b", exact_similarity(p.piece)("a", "b").alias("similarity"))
+    links = scratch.keep(scored.where(F.col("similarity") >= p.threshold), "links")
+    scratch.drop("classes")
+    return members, links
 
 
 def similar_pairs(raw: DataFrame, scratch: Scratch, p: NearDuplicates = NearDuplicates(), bigrams: dict[str, int] | None = None) -> DataFrame:

@@ -79,3 +79,47 @@ def test_one_identifier_of_a_third(spark, eager):
     found = {r.raw_no for r in grown_sample(df, [F.lit(True)], F.col("id"), F.col("raw_no"), 0.5, Scratch(spark, "t"), 3).collect()}
     hot = {i for k, i in rows if k == "hot"}
     assert hot <= found or not hot & found
+
+
+def test_one_spelling_never_meets_itself(spark, monkeypatch):
+    """5,000 rows of one spelling and one of another: two classes meet once, not 12 million rows."""
+    import caseloom.llm.textforms as module
+
+    met = []
+    paired = module.pairs_within
+    monkeypatch.setattr(module, "pairs_within", lambda *a, **k: met.append(paired(*a, **k)) or met[-1])
+    rows = [(i, "x", "noul", ("cοx paid" if i == 7 else "cox paid", None, None), None, 1, *["c"] * 2, 1, *["c"] * 2) for i in range(5000)]
+    found = _pairs(same_look_pairs(spark.createDataFrame(rows, RAW), Scratch(spark, "t")))
+    assert found == {(min(i, 7), max(i, 7)) for i in range(5000) if i != 7}
+    assert met[0].count() == 1
+
+
+def test_hub_of_near_copies(spark, eager, monkeypatch):
+    """A text with 300 near copies that aren't close to each other is spread, and each link comes out once."""
+    import caseloom.llm.neardups as module
+
+    taken = []
+    lookup = module.salted_lookup
+    monkeypatch.setattr(module, "salted_lookup", lambda *a, **k: taken.append((a[2], [r[0] for r in a[3]])) or lookup(*a, **k))
+    base = "".join(chr(0x4E00 + 37 * i % 9000) for i in range(240))
+    texts = [base] + [base[: 3 * (i % 20)] + "".join(chr(0x5000 + (911 * i + 53 * k) % 8000) for k in range(30)) + base[3 * (i % 20) + 30 :] for i in range(1, 300)]
+    rows = [(i, "x", "noul", (t, None, None), None, 1, *["c"] * 2, 1, *["c"] * 2) for i, t in enumerate(texts)]
+    found = _pairs(similar_pairs(spark.createDataFrame(rows, RAW).repartition(3), Scratch(spark, "t")))
+    assert {(0, i) for i in range(1, 300)} <= found
+    assert any(key == "id_a" and 0 in hot for key, hot in taken)
+
+
+def test_hot_bands_are_dealt_out(spark, monkeypatch):
+    """Keys that tasks tell of go through blocks of their own; the pairs are the same."""
+    import caseloom.llm.neardups as module
+
+    raw = _raw(spark)
+    expected = _pairs(similar_pairs(raw, Scratch(spark, "t")))
+    monkeypatch.setattr(module, "TOLD", 1)
+    monkeypatch.setattr(shared.heaviest, "__defaults__", (2, 512))
+    monkeypatch.setattr(grouping, "BLOCK", 2)
+    dealt = []
+    banded = module.banded
+    monkeypatch.setattr(module, "banded", lambda classes, p, hot, buckets: dealt.append(len(hot)) or banded(classes, p, hot, buckets))
+    assert _pairs(similar_pairs(raw, Scratch(spark, "t"))) == expected
+    assert dealt[0] > 0
