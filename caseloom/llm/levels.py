@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .readability import ESTIMATES, Levels, measures
-
-_NAMES = ["words", "han", *ESTIMATES["en"], *ESTIMATES["zh"]]
+from .readability import NAMES, Levels, measure_many
 
 
 def document_measures(documents: DataFrame) -> DataFrame:
     """``(doc_id, m)``: the measures of each text, null where there is nothing to read."""
-    schema = ", ".join(f"{n} double" for n in _NAMES)
+    schema = ", ".join(f"{n} double" for n in NAMES)
 
     def run(batches):
         cache: dict[str, int] = {}
         for pdf in batches:
-            rows = [(measures(t, cache) or {}) if t else {} for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"]} | {n: pd.Series([r.get(n) for r in rows], dtype="float64") for n in _NAMES})
+            found = measure_many(pdf["text"].tolist(), cache)
+            found[(found[:, 0] == 0) & (found[:, 1] == 0)] = np.nan
+            yield pd.DataFrame({"doc_id": pdf["doc_id"]} | {n: pd.Series(found[:, k], index=pdf.index) for k, n in enumerate(NAMES)})
 
     return documents.select("doc_id", "text").mapInPandas(run, f"doc_id long, {schema}")
 
@@ -30,8 +30,8 @@ def fit_levels(documents: DataFrame, grades: DataFrame, most: int = 20_000) -> L
     mean = grades.where("reading_level is not null").groupBy("doc_id").agg(F.avg("reading_level").alias("grade"))
     chosen = mean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     graded = document_measures(documents.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))  # at most ``most`` rows
-    rows = graded.where("words is not null").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
-    fitted = [({n: r[n] for n in _NAMES if r[n] is not None and r[n] == r[n]}, float(r.grade)) for r in rows]
+    rows = graded.where("words is not null and not isnan(words)").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
+    fitted = [({n: r[n] for n in NAMES if r[n] is not None and r[n] == r[n]}, float(r.grade)) for r in rows]
     return Levels.fit(fitted)
 
 
@@ -43,15 +43,9 @@ def reading_levels(documents: DataFrame, levels: Levels) -> DataFrame:
     def run(batches):
         cache: dict[str, int] = {}
         for pdf in batches:
-            found = [measures(t, cache) if t else None for t in pdf["text"]]
-            values = [levels.estimate(m) for m in found]
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"],
-                    "estimate": pd.Series([None if v is None else round(v, 6) for v in values], dtype="float64"),
-                    "reading_level": pd.Series([levels.level(m) for m in found], dtype="Int32"),
-                }
-            )
+            values = levels.estimates(measure_many(pdf["text"].tolist(), cache))
+            grade = pd.Series(levels.levels(values), index=pdf.index).astype("Int32")
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "estimate": pd.Series(np.round(values, 6), index=pdf.index).astype("Float64"), "reading_level": grade})
 
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, estimate double, reading_level int")
 

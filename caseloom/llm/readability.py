@@ -1,102 +1,268 @@
-"""Reading measures and levels of one text. Plain Python and numpy, no Spark.
+"""Reading measures and levels of texts. Plain Python and numpy, no Spark.
 
-English words are counted by the classic formulas; their syllables follow hyphenation-style rules. A Han character is
-one syllable; where Chinese gives no spaces, grammatical characters part it into units, which take the place of words
-in the same formulas. Each formula is an estimate of its own. :class:`Levels` maps each estimate to the common scale of
-levels by a monotone fit to graded documents, and takes the median of a language's estimates."""
+English words are counted by the classic formulas; their syllables follow patterns in the manner of hyphenation. A Han
+character is one syllable; where Chinese gives no spaces, grammatical characters part it into units, which take the
+place of words in the same formulas. Each formula is an estimate of its own. :class:`Levels` maps each estimate to the
+common scale of levels by a monotone fit to graded documents, and takes the median of a language's estimates.
+
+All counts of a batch of texts come from arrays over its code points; Python sees each distinct English word once."""
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Sequence
+
 import numpy as np
 
-#: Estimates by language.
+#: Estimates by language. The last two Chinese ones don't depend on the length of sentences or clauses.
 ESTIMATES = {
     "en": ("flesch_kincaid", "fog", "smog", "automated", "coleman_liau", "linsear", "flesch_ease"),
-    "zh": ("sentence_syllables", "middle_sentence", "long_sentence", "clause_syllables", "unit_kincaid", "unit_fog", "unit_smog"),
+    "zh": ("sentence_syllables", "long_sentence", "clause_syllables", "unit_kincaid", "unit_fog", "unit_smog", "content_share", "unit_syllables"),
 }
-_SENTENCE = re.compile(r"[。！？!?；;]+|\.+(?=\s|$|[\"'”’)\]])|[\r\n]+")
-_CLAUSE = re.compile(r"[，,、：:。！？!?；;]+|\.+(?=\s|$)|[\r\n]+")
-_WORD = re.compile(r"[^\W\d_㐀-鿿豈-﫿\U00020000-\U0003ffff]+(?:['’][A-Za-z]+)?")
-_HAN = re.compile("[㐀-鿿豈-﫿\U00020000-\U0003ffff]")
+#: What :func:`measure_many` gives of each text.
+NAMES = ("words", "han", *ESTIMATES["en"], *ESTIMATES["zh"])
+
+# Vowels parted by a syllable boundary (1) or joined in one syllable (2), as in hyphenation patterns: the
+# longest pattern that fits a place decides about it, a point is an end of the word.
+PATTERNS = """
+i1a ti2al ci2al ti2an ci2an si2an xi2an gi2an gi2a. lli2an lli1anc ali2an. vali2ant gi1ant ti2a. rri2age li2ame ti2at1i
+i1o ti2o si2o ci2o xi2o gi2o shi2o chi2o hi2on ni2on ni2or lli2on vi2or ci1ol ti1ol gi1ona. ysi1o ati1o.
+i1u i1et i1ent ti2ent ci2ent i1ence li1en ti2ence sci1en nsci2en i1ency ci2ency i1er .pi2er .ti2er pi2erc fi2erc ci2er. ldi2er shi2er nti2er vi2er. i1est .pri2est i1ing
+e1a2te e1ab e1act e1al. .re2al .de2al .he2al .me2al .se2al .ste2al .ve2al .ze2al ppe2al ve2al. ne1al re1ali ide1a are1a are2ar cre1at cre2atu the1at e1an. e1anic rrhe1a ncre1as. pre1am .le2an .me2an .be2an .cle2an ucle2an oce2an .je2an nle2an cle1ar .cle2ar nucle1ar ucle2arl ne1ar. .ne2ar. line1ar
+e1o pne2um pe2op eo2pard ge2ou ce2ou te2ou ge2on te2on. ye2o se1um le1um ce1um ne1um e1us. pre1e re1el re1ent re1ex e1uni re1us e1ing e1inv e1ins e1inf e1int e1ity e1ism e1ist
+o1al2i o1a. o1as. .o1as ko1a zo1a o1em o1et o1ev o1exi o1el. o1ing o1ic. o1ica o1ism o1inc o1id sto1i o1ist o1op2er o1ord zo1ol o1ali go1er do1er
+u1a qu2a gu2a su2ad u1en qu2en gu2en u1el qu2el gu2el u1et qu2et gu2et u1ity qu2ity u1ing qu2ing gu2ing u1in. ru1in qu2in gu2in enu1in u1id qu2id gu2id su1ic tu1it nu1it u1o qu2o bu2o gu2o u1um u1ous
+a1o a1ic a1ism a1ist a1ity na1iv a1el. ra1el a1ing a1er. a1ero
+y1i y2ed. y2es. y1a .y2a ny2a ly2a vy2a y1e .y2e ye2ar ny2e wy2e y1ee y1o .y2o ny2o ey1o y1ou .y2ou
+"""
+# Words whose last e is spoken, words with a silent e inside, and parts before which or after which an e
+# at the end of the other part of a word is silent.
+SPOKEN_E = "recipe simile apostrophe catastrophe epitome karate cafe finale hyperbole acne syncope".split()
+ODD = {"business": 2, "every": 2, "everything": 3, "everyone": 3, "everybody": 4, "evening": 2, "element": 3, "elements": 3, "elementary": 5, "tenement": 3, "vehement": 3, "several": 2, "chocolate": 2, "wednesday": 2, "colonel": 2, "naked": 2, "wicked": 2, "hour": 1, "hours": 1, "our": 1, "ours": 1}
+ENDINGS = "ment ments ness less lessly ful fully ly ty ties some liness lihood lier liest teen teenth thing things time times where one ones body how what day days work works ward wards wide like ship ships hood fore by in after with over as land man men well side line lines book books place port paper piece holder holders".split()
+BEGINNINGS = "some ware there where here more life home base care safe white fire wide side take note name face place space stone wave whole house horse else three code game gate trade share stake live love give make like time use file like love cheese grape".split()
+
+_WORD_TAIL = re.compile(r"[^aeiouy]e(?:" + "|".join(sorted(ENDINGS, key=len, reverse=True)) + ")$")
+_WORD_HEAD = re.compile("(?:" + "|".join(sorted(set(BEGINNINGS), key=len, reverse=True)) + ")(?=[^aeiouyrs'’dn][a-z]{2}|st[ao]|n[eo]ss)")
+_VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿ"
+_ACCENTS = str.maketrans("àáâãäåæèéêëìíîïòóôõöøùúûüýÿ", "aaaaaaaeeeeiiiioooooouuuuyy")
+_GROUP = re.compile("[aeiouy]+")
+
+
+def _parse(patterns: str) -> dict[str, list[tuple[int, int]]]:
+    """Patterns by their letters: places (before the letter of this number) and their figures."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for pattern in patterns.split():
+        letters, figures = "", []
+        for ch in pattern:
+            if ch.isdigit():
+                figures.append((len(letters), int(ch)))
+            else:
+                letters += ch
+        out[letters] = figures
+    return out
+
+
+_PATTERNS = _parse(PATTERNS)
+_LONGEST = max(map(len, _PATTERNS))
+
+
+def _parted(word: str) -> int:
+    """Boundaries between neighbouring vowels of a word with its ends marked."""
+    decided: dict[int, tuple[int, int]] = {}  # place: length of the pattern, figure
+    for at in range(len(word)):
+        for n in range(2, min(_LONGEST, len(word) - at) + 1):
+            for place, figure in _PATTERNS.get(word[at : at + n], ()):
+                if n >= decided.get(at + place, (0, 0))[0]:
+                    decided[at + place] = (n, figure)
+    vowel = lambda k: 0 < k < len(word) and word[k] in "aeiouy"
+    return sum(figure % 2 and vowel(place - 1) and vowel(place) for place, (_, figure) in decided.items())
+
+
+def _silent(w: str) -> int:
+    """Letters e of a word's end that are not spoken: its own, or that of an ending -ed or -es."""
+    if w in SPOKEN_E or len(w) < 3:
+        return 0
+    if re.search("(?:[aeiou]|n)gues?$|ques?$", w):
+        return 1
+    if w.endswith("e"):
+        if w[-2] in "aeiouy" or re.search(r"[^aeiouylr]le$", w) or re.search(r"[^aeiouyr]re$", w):
+            return 0
+        return int(bool(re.search("[aeiouy]", w[:-1])))
+    if w.endswith("ed"):
+        return int(w[-3] not in "aeiouytd" and not re.search(r"[^aeiouylr]led$|[^aeiouyr]red$", w) and bool(re.search("[aeiouy]", w[:-2])))
+    if w.endswith("es"):
+        return int(w[-3] not in "aeiouysxzcg" and not re.search(r"(?:ch|sh|[^aeiouylr]l|[^aeiouyr]r)es$", w) and bool(re.search("[aeiouy]", w[:-2])))
+    return 0
+
+
+def syllables(word: str) -> int:
+    """Syllables of an English word: groups of vowels, parted where the patterns part them, less silent e at the end
+    and at the seams of the word, and one for -sm and -thm, which have no vowel of their own."""
+    w = word.lower().translate(_ACCENTS)
+    w = re.sub("['’]s?$|['’](?:t|d|m|re|ve|ll)$", "", w) if "'" in w or "’" in w else w
+    if w in ODD:
+        return ODD[w]
+    if head := _WORD_HEAD.match(w):
+        return syllables(head[0]) + syllables(w[head.end() :])
+    seam = 0
+    if tail := _WORD_TAIL.search(w):
+        seam = int(bool(re.search("[aeiouy]", w[: tail.start()])) and not re.search(r"[^aeiouylr]l$|[^aeiouyr]r$", w[: tail.start() + 1]))
+    plain = re.sub("^y(?=[aeiou])", "j", w)
+    n = len(_GROUP.findall(plain)) + _parted(f".{plain}.") - seam - _silent(w) + bool(re.search("(?:[^aeiou]|[aeiou])(?:sm|thm)s?$", w))
+    return max(1, n)
+
+
 #: A speaker's name, a number or a bullet at the head of a line is no part of a sentence.
 _HEAD = re.compile(r"^[ \t]*(?:[^\W\d_]{1,8}[:：]|\d{1,3}[).、]|[-*•·])[ \t]*", re.M)
 # Grammatical characters of everyday Chinese, at which a run of characters is parted into units.
 _GRAMMAR = "的了是在我你他她它们这那有不也都要就和很会能去来到说看着过吧吗呢"
-_UNIT = re.compile(f"[^{_GRAMMAR}\\W\\d_A-Za-zÀ-ɏ]+")
-_VOWELS = re.compile("[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿ]+")
-# Endings whose e is silent, and neighbouring vowels that a hyphenation would part.
-_SILENT = re.compile(r"(?:[^aeiouyl]|[aeiouy]l)es?$|[^aeioutd]ed$|[^aeiouy]ely$")
-_PARTED = re.compile(r"i[ao](?!us\b|n\b)|[aeiou]ing$|u[ao]l?$|eo(?!u)|iu|ia$|[^qg]ua|ism$")
+_STOPS, _COMMAS, _AFTER_POINT, _LINES = "。！？!?；;", "，,、：:", "\"'”’)]", "\r\n"
+#: Kinds of characters, as bits.
+_HAN, _LETTER, _LATIN, _STOP, _POINT, _COMMA, _CONTENT, _CLOSES = (1 << k for k in range(8))
+_END = "\ufffe"  # a noncharacter after each text of a batch
+#: Characters of the texts that are counted at once.
+_AT_ONCE = 1_000_000
 
 
-def syllables(word: str) -> int:
-    """Syllables of an English word: groups of vowels, less silent endings, plus vowels parted in hyphenation."""
-    w = word.lower()
-    n = len(_VOWELS.findall(w)) + len(_PARTED.findall(w))
-    if len(w) > 2 and _SILENT.search(w) and not w.endswith("le"):
-        n -= 1
-    return max(1, n)
+def _kind(ch: str) -> int:
+    if "㐀" <= ch <= "鿿" or "豈" <= ch <= "\ufaff" or ch >= "\U00020000":
+        return _HAN | (0 if ch in _GRAMMAR else _CONTENT)
+    if ch in _STOPS or ch in _LINES or ch == _END:
+        return _STOP | (_CLOSES if ch in _LINES or ch == _END else 0)
+    if ch == ".":
+        return _POINT
+    if ch in _COMMAS:
+        return _COMMA
+    if ch.isspace() or ch in _AFTER_POINT:
+        return _CLOSES
+    return (_LETTER | (_LATIN if ch.isascii() else 0)) if ch.isalnum() and not ch.isdecimal() else 0
 
 
-def measures(text: str, cache: dict[str, int]) -> dict[str, float] | None:
-    """Counts and estimates of one text; None for a text without a word or Han character."""
-    text = _HEAD.sub("", text)
-    words = sentences = syl = hard = letters = 0
-    clauses = units = long_units = 0
-    zh_lengths: list[int] = []
-    for part in _SENTENCE.split(text):
-        own = _WORD.findall(part)
-        chars = _HAN.findall(part)
-        if len(chars) * 2 >= len(own) and chars:
-            zh_lengths.append(len(chars))
-            clauses += sum(1 for c in _CLAUSE.split(part) if _HAN.search(c))
-            for unit in _UNIT.findall(part):
-                units += 1
-                long_units += len(unit) >= 6
-        elif own:
-            sentences += 1
-            words += len(own)
-            for w in own:
-                s = cache.get(w)
-                if s is None:
-                    if len(cache) > 100_000:
-                        cache.clear()
-                    s = cache[w] = syllables(w)
-                syl += s
-                hard += s >= 3
-                letters += len(w)
-    han = sum(zh_lengths)
-    if not words and not han:
-        return None
-    out = {"words": float(words), "han": float(han)}
-    if words:
-        wps, spw, hw = words / sentences, syl / words, hard / words
-        out |= {
+_KINDS = np.full(0x110000, -1, dtype=np.int16)
+
+
+def _kinds(codes: np.ndarray) -> np.ndarray:
+    found = _KINDS[codes]
+    if (found < 0).any():
+        for code in np.unique(codes[found < 0]).tolist():
+            _KINDS[code] = _kind(chr(code))
+        found = _KINDS[codes]
+    return found
+
+
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True; the last place is never True."""
+    edges = np.flatnonzero(mask[1:] != mask[:-1]) + 1
+    if mask[0]:
+        edges = np.concatenate([[0], edges])
+    return edges[::2], edges[1::2]
+
+
+def measure_many(texts: Sequence[str | None], cache: dict[str, int]) -> np.ndarray:
+    """One row of NAMES for each text; NaN for what a text doesn't have, no words and no Han characters at all for one
+    that has nothing to read. ``cache`` remembers the syllables of words; it only saves work."""
+    out, at = [], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size < _AT_ONCE):
+            size += len(texts[end] or "")
+            end += 1
+        out.append(_measured([(t or "").replace(_END, " ") for t in texts[at:end]], cache))
+        at = end
+    return np.concatenate(out) if out else np.empty((0, len(NAMES)))
+
+
+def _measured(texts: list[str], cache: dict[str, int]) -> np.ndarray:
+    joined = _HEAD.sub("", "".join([f"{t}{_END}\n" for t in texts]))
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kind = _kinds(codes)
+    # A run of points ends a sentence where white space, a closing sign or the end of the text follows it.
+    closes, point = kind & _CLOSES > 0, kind & _POINT > 0
+    ending = np.zeros(len(codes), dtype=bool)
+    for first, past in zip(*_runs(point)):
+        ending[first:past] = closes[past]
+    stop = (kind & _STOP > 0) | ending
+    stops = np.flatnonzero(stop)
+    sentence = np.cumsum(stop)
+    text_of = np.concatenate([[0], np.cumsum(codes[stops] == ord(_END))])  # of each sentence
+    count = len(stops) + 1
+    han = kind & _HAN > 0
+    apostrophe = np.zeros(len(codes), dtype=bool)
+    marks = np.flatnonzero((codes == ord("'")) | (codes == ord("’")))
+    marks = marks[marks > 0]
+    apostrophe[marks] = (kind[marks - 1] & _LETTER > 0) & (kind[marks + 1] & _LATIN > 0)
+    firsts, pasts = _runs((kind & _LETTER > 0) | apostrophe)
+    han_of, words_of = np.bincount(sentence[han], minlength=count), np.bincount(sentence[firsts], minlength=count)
+    chinese = (han_of > 0) & (2 * han_of >= words_of)
+    english = ~chinese & (words_of > 0)
+    spoken = english[sentence[firsts]]
+    firsts, pasts = firsts[spoken], pasts[spoken]
+    words = [joined[a:b] for a, b in zip(firsts.tolist(), pasts.tolist())]
+    if len(cache) > 200_000:
+        cache.clear()
+    for w in set(words).difference(cache):
+        cache[w] = syllables(w)
+    syl = np.fromiter((cache[w] for w in words), dtype=np.int64, count=len(words))
+
+    total = len(texts) + 1  # what follows the last text is no text
+
+    def by_text(values, sentences) -> np.ndarray:
+        return np.bincount(text_of[sentences], weights=values, minlength=total)[: len(texts)]
+
+    every = np.arange(count)
+    of_word, each = sentence[firsts], np.ones(len(firsts))
+    n_words, n_syl, n_hard, n_letters = by_text(each, of_word), by_text(syl, of_word), by_text(syl >= 3, of_word), by_text(pasts - firsts, of_word)
+    n_english, n_chinese = by_text(english, every), by_text(chinese, every)
+    n_han = by_text(np.where(chinese, han_of, 0), every)
+
+    def in_chinese(places: np.ndarray, values=None) -> np.ndarray:
+        s = sentence[places]
+        kept = chinese[s]
+        return by_text(np.ones(kept.sum()) if values is None else values[kept], s[kept])
+
+    clause = np.cumsum(stop | (kind & _COMMA > 0))
+    places = np.flatnonzero(han)
+    n_clauses = in_chinese(places[np.concatenate([[True], np.diff(clause[places]) > 0])] if len(places) else places)
+    first, past = _runs(kind & _CONTENT > 0)
+    n_units, n_long = in_chinese(first), in_chinese(first, (past - first >= 6).astype(float))
+    n_content = in_chinese(np.flatnonzero(kind & _CONTENT > 0))
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        wps, spw, hard = n_words / n_english, n_syl / n_words, n_hard / n_words
+        lpw, sps, units = n_letters / n_words, n_han / n_chinese, np.maximum(1, n_units)
+        found = {
+            "words": n_words,
+            "han": n_han,
             "flesch_kincaid": 0.39 * wps + 11.8 * spw - 15.59,
             "flesch_ease": -(206.835 - 1.015 * wps - 84.6 * spw),
-            "fog": 0.4 * (wps + 100 * hw),
-            "smog": 1.0430 * math.sqrt(30 * hard / sentences) + 3.1291,
-            "automated": 4.71 * letters / words + 0.5 * wps - 21.43,
-            "coleman_liau": 5.88 * letters / words - 29.6 * sentences / words - 15.8,
-            "linsear": (words - hard + 3 * hard) / sentences / 2,
-        }
-    if han:
-        n = len(zh_lengths)
-        sps, spu = han / n, han / max(1, units)
-        out |= {
+            "fog": 0.4 * (wps + 100 * hard),
+            "smog": 1.0430 * np.sqrt(30 * n_hard / n_english) + 3.1291,
+            "automated": 4.71 * lpw + 0.5 * wps - 21.43,
+            "coleman_liau": 5.88 * lpw - 29.6 / wps - 15.8,
+            "linsear": (n_words + 2 * n_hard) / n_english / 2,
             "sentence_syllables": sps,
-            "middle_sentence": float(np.median(zh_lengths)),
-            "long_sentence": math.sqrt(sum(x * x for x in zh_lengths) / n),
-            "clause_syllables": han / max(1, clauses),
-            "unit_kincaid": 0.39 * sps + 11.8 * spu / 4,
-            "unit_fog": 0.4 * (sps + 100 * long_units / max(1, units)),
-            "unit_smog": 1.0430 * math.sqrt(30 * long_units / n) + 3.1291,
+            "long_sentence": np.sqrt(by_text(np.where(chinese, han_of.astype(float) ** 2, 0), every) / n_chinese),
+            "clause_syllables": n_han / np.maximum(1, n_clauses),
+            "unit_kincaid": 0.39 * sps + 11.8 * n_content / units / 4,
+            "unit_fog": 0.4 * (sps + 100 * n_long / units),
+            "unit_smog": 1.0430 * np.sqrt(30 * n_long / n_chinese) + 3.1291,
+            "content_share": n_content / n_han,
+            "unit_syllables": n_content / units,
         }
+    out = np.column_stack([found[n] for n in NAMES])
+    out[np.ix_(n_words == 0, [NAMES.index(n) for n in ESTIMATES["en"]])] = np.nan
+    out[np.ix_(n_han == 0, [NAMES.index(n) for n in ESTIMATES["zh"]])] = np.nan
     return out
 
 
+def measures(text: str, cache: dict[str, int]) -> dict[str, float] | None:
+    """The measures of one text by name; None for a text without a word or Han character."""
+    row = measure_many([text], cache)[0]
+    return {n: float(x) for n, x in zip(NAMES, row) if x == x} if row[0] or row[1] else None
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, knots: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing least-squares fit of y to x, over groups of equal numbers of points."""
     order = np.argsort(x, kind="stable")
@@ -116,40 +282,45 @@ def isotonic(x: np.ndarray, y: np.ndarray, knots: int = 60) -> tuple[np.ndarray,
 
 
 class Levels:
-    """Maps estimates to levels. ``fit`` takes measures of graded texts with their mean grades; ``level`` gives the
-    median of a language's estimates on the scale of grades, languages weighted by what there is to read in them."""
+    """Maps estimates to levels: each estimate to the scale of grades by its ``knots``, then the weighted median of a
+    language's estimates, languages weighted by what there is to read in them."""
 
-    def __init__(self, knots: dict[str, tuple[list[float], list[float]]], lowest: int = 1, highest: int = 5):
-        self.knots, self.lowest, self.highest = knots, lowest, highest
+    def __init__(self, knots: dict[str, tuple[list[float], list[float]]], weights: dict[str, float], lowest: int = 1, highest: int = 5):
+        self.knots, self.weights, self.lowest, self.highest = knots, weights, lowest, highest
 
     @classmethod
     def fit(cls, graded: list[tuple[dict[str, float], float]], lowest: int = 1, highest: int = 5) -> Levels:
         """A text teaches the language of which it has more than twice as much. An estimate without five texts that
-        teach it is left out."""
-        knots = {}
+        teach it is left out; the others weigh by the inverse square of their mean squared error."""
+        knots, weights = {}, {}
         for language, names in ESTIMATES.items():
             own, other, factor = ("words", "han", 2.0) if language == "en" else ("han", "words", 1.0)
             teach = [(m, g) for m, g in graded if m[own] * factor > 2 * m[other] * (2.0 / factor)]
             for name in names:
-                points = [(m[name], g) for m, g in teach if name in m]
+                points = np.array([(m[name], g) for m, g in teach if name in m])
                 if len(points) >= 5:
-                    x, y = isotonic(np.array([p[0] for p in points]), np.array([p[1] for p in points]))
+                    x, y = isotonic(points[:, 0], points[:, 1])
                     knots[name] = (x.tolist(), y.tolist())
-        return cls(knots, lowest, highest)
+                    weights[name] = float((np.mean((np.interp(points[:, 0], x, y) - points[:, 1]) ** 2) + 0.01) ** -2)
+        return cls(knots, weights, lowest, highest)
 
-    def estimate(self, found: dict[str, float] | None) -> float | None:
-        """Level as a number with fraction; None for nothing to read or a language without grades."""
-        if found is None:
-            return None
-        total = weight = 0.0
+    def estimates(self, found: np.ndarray) -> np.ndarray:
+        """Levels as numbers with fraction of rows of NAMES; NaN for nothing to read or a language without grades."""
+        total, weight = np.zeros(len(found)), np.zeros(len(found))
         for language, own, factor in (("en", "words", 2.0), ("zh", "han", 1.0)):
-            share = found[own] * factor
-            grades = [float(np.interp(found[e], *self.knots[e])) for e in ESTIMATES[language] if e in found and e in self.knots]
-            if share and grades:
-                total += float(np.median(grades)) * share
-                weight += share
-        return total / weight if weight else None
-
-    def level(self, found: dict[str, float] | None) -> int | None:
-        value = self.estimate(found)
-        return None if value is None else int(min(self.highest, max(self.lowest, math.floor(value + 0.5))))
+            share = found[:, NAMES.index(own)] * factor
+            known = [e for e in ESTIMATES[language] if e in self.knots]
+            if not known:
+                continue
+            # All estimates are there for every text that has anything of the language.
+            grades = np.array([np.interp(found[:, NAMES.index(e)], *self.knots[e]) for e in known])
+            order = np.argsort(grades, axis=0, kind="stable")
+            reach = np.cumsum(np.array([self.weights[e] for e in known])[order], axis=0)
+            middle = np.take_along_axis(grades, np.take_along_axis(order, (2 * reach >= reach[-1]).argmax(axis=0)[None], 0), 0)[0]
+            total += np.where(share > 0, middle, 0.0) * share
+            weight += share
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return total / weight
+
+    def levels(self, estimates: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor(estimates + 0.5), self.lowest, self.highest)

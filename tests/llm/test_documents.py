@@ -128,6 +128,54 @@ def test_syllables(word, n):
     assert abs(syllables(word) - n) <= 1
 
 
+# Ordinary words and medical ones with their syllables, chosen after the patterns were written; 98.6 % of the list they
+# are from came out right before its faults were mended too.
+COUNTED = """
+after:2 again:2 against:2 almost:2 already:3 although:2 always:2 among:2 another:3 answer:2 appear:2 around:2 arrive:2 article:3 available:4 average:3
+became:2 become:2 begin:2 behind:2 better:2 between:2 bottle:2 brother:2 building:2 camera:3 capital:3 center:2 certain:2 chair:1 children:2 church:1
+clothes:1 common:2 company:3 complete:2 condition:3 consider:3 control:2 country:2 decision:3 delivery:4 describe:2 despite:2 detail:2 develop:3
+difficult:3 dinner:2 direction:3 discover:3 distance:2 during:2 early:2 economy:4 effect:2 either:2 energy:3 enough:2 entire:2 evidence:3 exactly:3
+explain:2 express:2 factory:3 famous:2 farmer:2 feature:2 figures:2 final:2 follow:2 forgotten:3 fortune:2 freedom:2 garden:2 general:3 glasses:2
+grammar:2 guess:1 heavy:2 history:3 however:3 human:2 image:2 imagine:3 include:2 increase:2 indicate:3 industry:3 injury:3 invoice:2 island:2
+judgment:2 kitchen:2 knowledge:2 labels:2 languages:3 leader:2 leather:2 legal:2 library:3 listen:2 little:2 machines:2 magazine:3 manager:3 market:2
+material:4 meaning:2 mention:2 method:2 middle:2 minute:2 missing:2 model:2 modern:2 money:2 morning:2 mother:2 mountain:2 natural:3 necessary:4
+neighbor:2 neither:2 never:2 north:1 notice:2 number:2 object:2 office:2 officer:3 often:2 opened:2 operate:3 orange:2 order:2 outside:2 package:2
+painting:2 parents:2 particular:4 payment:2 perhaps:2 personal:3 pieces:2 pleasure:2 police:2 popular:3 position:3 possible:3 practice:2 prepare:2
+president:3 private:2 problem:2 process:2 product:2 program:2 project:2 promise:2 public:2 window:2 winter:2 without:2 woman:2 wonder:2 writing:2
+written:2 yellow:2 achieve:2 biological:5 cardiovascular:6 chronic:2 clinical:3 coronary:4 deteriorate:5 dosage:2 electrolyte:4 evaluation:5 hepatic:3
+inflammation:4 intravenous:4 jurisdiction:4 laboratory:5 litigation:4 metabolism:5 neurological:5 obstetric:3 pediatric:4 physiological:6
+prescription:3 prognosis:3 pulmonary:4 radiotherapy:6 residual:4 stipulate:3 subsequently:4 therapeutic:4 ultrasound:3 vascular:3 ventilation:4
+"""
+
+
+def test_syllables_of_ordinary_words():
+    words = [w.split(":") for w in COUNTED.split()]
+    wrong = [w for w, n in words if syllables(w) != int(n)]
+    assert len(wrong) <= 0.03 * len(words), wrong
+
+
+@pytest.mark.parametrize("word, n", [("statement", 2), ("something", 2), ("careful", 2), ("science", 2), ("conscience", 2), ("create", 2), ("people", 2), ("area", 3), ("lion", 2), ("fluid", 2), ("don't", 1), ("Müller", 2), ("l", 1), ("y", 1)])
+def test_syllables_at_seams_and_between_vowels(word, n):
+    assert syllables(word) == n
+
+
+def test_measures_by_hand():
+    found = measures("甲：今天下雨，路滑。小心！\nDr. Lee said 3.5 mg is fine. It isn't... much", {})
+    assert (found["words"], found["han"]) == (9, 8)
+    assert found["sentence_syllables"] == 4 and found["clause_syllables"] == 8 / 3
+    assert abs(found["automated"] - (4.71 * 28 / 9 + 0.5 * 9 / 4 - 21.43)) < 1e-9
+
+
+def test_measures_of_a_batch_are_those_of_each():
+    from caseloom.llm.readability import NAMES, measure_many
+
+    texts = [None, "", "  ", EASY, HARD, "1. 头晕\n2. 口干", "x￾y.", "...", ".", EASY + HARD]
+    rows = measure_many(texts, {})
+    for t, row in zip(texts, rows):
+        one = measures(t or "", {})
+        assert {n: x for n, x in zip(NAMES, row) if x == x} == (one or {"words": 0.0, "han": 0.0})
+
+
 def test_isotonic_is_monotone():
     import numpy as np
 
