@@ -35,7 +35,10 @@ def convert_sources(spark: SparkSession, config: Mapping, base: str, registry: R
         at = lambda p: f"{base}/{p}"
         paths = source["paths"]
         paths = {k: at(v) for k, v in paths.items()} if isinstance(paths, Mapping) else [at(p) for p in ([paths] if isinstance(paths, str) else paths)]
-        rows = registry.convert(spark, source["adapter"], paths, source.get("params"))
+        if source.get("auxiliary_paths"):
+            paths = (paths if isinstance(paths, Mapping) else {"paths": paths}) | {k: at(v) for k, v in source["auxiliary_paths"].items()}
+        told = {"original_split": source["original_split"]} if "original_split" in source else {}
+        rows = registry.convert(spark, source["adapter"], paths, told | dict(source.get("params") or {}))
         fixed = {k: F.lit(source.get(k)).cast("string") for k in _META}
         rows = rows.drop("source", "raw_no", "arrival", *_META).withColumns(
             fixed
@@ -44,6 +47,8 @@ def convert_sources(spark: SparkSession, config: Mapping, base: str, registry: R
                 "arrival": F.struct(F.lit(number).alias("source_no"), *(["place.file", "place.line", "place.at"] if "place" in rows.columns else [F.lit("").alias("file"), F.lit(0).cast("long").alias("line"), F.array().cast("array<int>").alias("at")]), X.digest(X.json_list(*[F.coalesce(F.col(c), F.lit("")) for c in ("source_id", "state", "questions", "gold", "group_key")])).alias("content"), F.monotonically_increasing_id().alias("tie")),
             }
         )
+        if "review" not in rows.columns:
+            rows = rows.withColumn("review", F.lit(None).cast("string"))
         parts.append(rows.drop("place"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -77,7 +82,7 @@ def build_release(spark: SparkSession, config: Mapping, base: str, output: str,
             "input_key": C.input_key(F.col("state"), F.col("questions")), "gold_key": X.digest(F.col("gold")),
             "grp": F.col("group_key"), "split": F.col("source_split"),
         }), "converted")
-    good, bad = rows.where("reason is null"), rows.where("reason is not null")
+    good, bad, asked = rows.where("reason is null"), rows.where("reason is not null and review is null"), rows.where("review is not null")
     if not good.limit(1).count():
         raise ValueError("no valid cases")
     merged = scratch.keep(M.merge_cases(good, scratch, config.get("seed", 0), *[float(config.get(f"{s}_fraction", 0)) for s in ("calibration", "validation", "test")]), "merged")
@@ -92,11 +97,14 @@ def build_release(spark: SparkSession, config: Mapping, base: str, output: str,
         notebook = kept.select("split", F.to_json(F.struct("id", "state", "questions", "gold")).alias("value"))
         notebook.write.partitionBy("split").option("compression", packed).text(f"{staging}/notebooks")
     bad.select(F.to_json(F.struct("source", "source_id", "reason")).alias("value")).write.text(f"{staging}/rejected")
+    asked.select(F.to_json(F.struct("source", "source_id", "source_split", "group_key", F.from_json("review", "map<string,string>").alias("review"))).alias("value")).write.text(f"{staging}/review")
     counters = {r.key: r.n for r in M.named_counters(merged, good, bad).orderBy("key").collect()}  # sources x kinds x labels
+    counters |= {f"review:{r.source}": r.n for r in asked.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     units = M.unit_counts(good.select("source", F.lit("converted").alias("stage"), "split", "original_id", "grp")).unionByName(
         M.unit_counts(kept.select("source", F.lit("output").alias("stage"), "split", "original_id", "grp"))
     )
     listed = [at for s in config["sources"] for at in ([s["paths"]] if isinstance(s["paths"], str) else s["paths"].values() if isinstance(s["paths"], Mapping) else s["paths"])]
+    listed += [at for s in config["sources"] for at in (s.get("auxiliary_paths") or {}).values()]
     inputs = readers.file_inventory(spark, [f"{base}/{p}" for p in dict.fromkeys(listed)]).collect()
     manifest = {
         "format_version": 1,

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -209,7 +210,7 @@ def arrival_place(*inside: Column) -> Column:
 def _spoilt_rows(rows: DataFrame, kind: str, like: DataFrame) -> DataFrame:
     """Rows for the audit in the columns of ``like``, of records ``(file, line, spoilt)`` that can't be converted."""
     told = {"source_id": _base(), "original_id": _base(), "qtype": F.lit(kind), "reason": F.col("spoilt"), "place": arrival_place()}
-    return rows.select(*[told.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields])
+    return rows.select(*[(told[f.name] if f.name in told else F.lit(None).cast(f.dataType)).alias(f.name) for f in like.schema.fields])
 
 
 _LETTER = "array_position(array('A','B','C','D','E'), upper(trim({0}))) - 1"
@@ -258,16 +259,16 @@ SHAPES: dict[str, Shape] = {
     "remedi_human": Shape("array", "dialogue string, information array<struct<role string, sentence string, actions array<struct<intent string>>>>", "noul", "turns", "concat('{prompt}', word)", "exists(turn.actions, a -> a.intent = word)", group=("dialogue", "dialogue"), unfold=(("information", "turn_no", "turn"), ("{labels}", "label_no", "word")), derive=(("turns", "array_join(transform(slice(information, 1, turn_no + 1), t -> concat(t.role, '：', t.sentence)), '\\n')"),), defaults={"prompt": "最后一句有这个意图吗："}),
     "psy_insight_cn": Shape("array", "dialog_id string, dialog array<struct<speaker string, content string, strategy array<string>>>", "noul", "turns", "concat('{prompt}', word)", "array_contains(turn.strategy, word)", group=("dialogue", "dialog_id"), unfold=(("dialog", "turn_no", "turn"), ("{labels}", "label_no", "word")), derive=(("turns", "array_join(transform(slice(dialog, 1, turn_no + 1), t -> concat(t.speaker, '：', t.content)), '\\n')"),), rules=(("turn.strategy is null", "unlabelled turn"),), supervision="human_annotation", defaults={"prompt": "最后一句用了这个策略吗："}),
     "medical_ds_disease": Shape("pickle", "consult_id string, disease_tag string, goal struct<explicit_inform_slots map<string,string>, implicit_inform_slots map<string,string>>", "choice", "record", "'{prompt}'", "array_position({labels}, disease_tag) - 1", "{labels}", group=("medical_text", "record"), derive=(("record", "to_json(map_concat(goal.explicit_inform_slots, goal.implicit_inform_slots))"),), rules=(("exists(map_keys(goal.explicit_inform_slots), k -> goal.implicit_inform_slots[k] <> goal.explicit_inform_slots[k])", "slots contradict"),), defaults={"prompt": "可能是哪种疾病？"}),
-    "lcmdc_triage": Shape("csv", "", "choice", "concat_ws('\\n', titles, infos)", "'{prompt}'", "try_cast(labels_1 as int)", "{labels}", group=("medical_text", "concat_ws('\\n', titles, infos)"), rules=(("element_at({labels}, try_cast(labels_1 as int) + 1) <> labels_1_word", "number and word of the label differ"),), defaults={"prompt": "应当去哪个科室？"}),
-    "meddg_entity_type": Shape("pickle", "id string, Sentence string, Symptom array<string>, Medicine array<string>, Examination array<string>, Attribute array<string>, Disease array<string>", "choice", "Sentence", "concat('{prompt}', entity.name)", "entity.type_no", "array('症状','药物','检查','属性','疾病')", group=("dialogue", "id"), unfold=(("flatten(transform(array(Symptom, Medicine, Examination, Attribute, Disease), (a, i) -> transform(a, x -> named_struct('name', x, 'type_no', i))))", "entity_no", "entity"),), rules=(("size(array_distinct(transform(filter(flatten(transform(array(Symptom, Medicine, Examination, Attribute, Disease), (a, i) -> transform(a, x -> named_struct('name', x, 'type_no', i)))), e -> e.name = entity.name), e -> e.type_no))) > 1", "entity of two types"),), defaults={"prompt": "这个词属于哪一类："}),
+    "lcmdc_triage": Shape("csv", "", "choice", "concat_ws('\\n', titles, infos)", "'{prompt}'", "try_cast(labels_1 as int)", "{labels}", group=("medical_text", "concat_ws('\\n', titles, infos)"), rules=(("get({labels}, try_cast(labels_1 as int)) <> labels_1_word", "number and word of the label differ"),), defaults={"prompt": "应当去哪个科室？"}),
+    "meddg_entity_type": Shape("pickle", "id string, Sentence string, Symptom array<string>, Medicine array<string>, Examination array<string>, Attribute array<string>, Disease array<string>", "choice", "Sentence", "concat('{prompt}', entity.name)", "entity.type_no", "array('症状','药物','检查','属性','疾病')", group=("dialogue", "id"), unfold=(("array_distinct(flatten(transform(array(Symptom, Medicine, Examination, Attribute, Disease), (a, i) -> transform(a, x -> named_struct('name', x, 'type_no', i)))))", "entity_no", "entity"),), rules=(("size(array_distinct(flatten(transform(array(Symptom, Medicine, Examination, Attribute, Disease), (a, i) -> transform(a, x -> named_struct('name', x, 'type_no', i)))))) > size(array_distinct(transform(flatten(transform(array(Symptom, Medicine, Examination, Attribute, Disease), (a, i) -> transform(a, x -> named_struct('name', x, 'type_no', i)))), e -> e.name)))", "entity of two types in the turn"),), defaults={"prompt": "这个词属于哪一类："}),
     # Spans, relations, findings.
     "cmeee_typing": Shape(schema="text string, entities array<struct<start_idx int, end_idx int, type string, entity string>>", state="text", ask="concat('{prompt}', e.entity)", answer="array_position({labels}, e.type) - 1", options="{labels}", unfold=(("array_sort(entities)", "span_no", "e"),), derive=(("question", "text"),), rules=(("substring(text, e.start_idx + 1, e.end_idx - e.start_idx + 1) <> e.entity", "entity isn't at its place"), ("size(array_distinct(transform(filter(entities, x -> x.start_idx = e.start_idx and x.end_idx = e.end_idx), x -> x.type))) > 1", "span of two types")), defaults={"prompt": "这个词属于哪一类："}, **_SPAN),
-    "cmeie_typing": Shape(schema="text string, spo_list array<struct<subject string, predicate string, object map<string,string>>>", state="text", ask="concat('{prompt}', r.subject, '、', r.object['@value'])", answer="array_position({labels}, r.predicate) - 1", options="{labels}", unfold=(("spo_list", "pair_no", "r"),), derive=(("question", "text"),), rules=(("not (contains(text, r.subject) and contains(text, r.object['@value']))", "entity isn't in the text"),), defaults={"prompt": "两个词是什么关系："}, **_SPAN),
-    "text2dt_typing": Shape(schema="text string, tree array<struct<triples array<array<string>>>>", state="text", ask="concat('{prompt}', r[0], '、', r[2])", answer="array_position({labels}, r[1]) - 1", options="{labels}", unfold=(("array_sort(array_distinct(flatten(transform(tree, t -> t.triples))))", "pair_no", "r"),), derive=(("question", "text"),), defaults={"prompt": "两个词是什么关系："}, **_SPAN),
+    "cmeie_typing": Shape(schema="text string, spo_list array<struct<subject string, predicate string, object map<string,string>>>", state="text", ask="concat('{prompt}', r.subject, '、', r.object)", answer="array_position({labels}, told[0]) - 1", options="{labels}", unfold=(("array_sort(array_distinct(transform(spo_list, x -> named_struct('subject', trim(x.subject), 'object', trim(x.object['@value'])))))", "pair_no", "r"),), derive=(("question", "text"), ("told", "array_distinct(transform(filter(spo_list, x -> trim(x.subject) = r.subject and trim(x.object['@value']) = r.object), x -> x.predicate))")), rules=(("exists(spo_list, x -> not (contains(text, trim(x.subject)) and contains(text, trim(x.object['@value']))))", "entity isn't in the text"), ("size(told) <> 1", "pair of several relations"), ("not array_contains({labels}, told[0])", "relation outside the schema")), defaults={"prompt": "两个词是什么关系："}, **_SPAN),
+    "text2dt_typing": Shape(schema="text string, tree array<struct<triples array<array<string>>>>", state="text", ask="concat('{prompt}', r.subject, '、', r.object)", answer="array_position({labels}, told[0]) - 1", options="{labels}", unfold=(("array_sort(array_distinct(transform(flatten(transform(tree, t -> t.triples)), x -> named_struct('subject', x[0], 'object', x[2]))))", "pair_no", "r"),), derive=(("question", "text"), ("triples", "flatten(transform(tree, t -> t.triples))"), ("told", "array_distinct(transform(filter(triples, x -> x[0] = r.subject and x[2] = r.object), x -> x[1]))")), rules=(("exists(triples, x -> size(x) <> 3 or exists(x, v -> trim(coalesce(v, '')) = ''))", "not a triple"), ("size(told) <> 1", "pair of several relations"), ("not array_contains({labels}, told[0])", "relation outside the schema")), defaults={"prompt": "两个词是什么关系："}, **_SPAN),
     "cdn_retrieved_pairs": Shape("tsv", "text_a string, text_b string, label string", "noul", "concat(text_a, '\\n', text_b)", "'{prompt}'", "case label when '1' then true when '0' then false end", group=("medical_text", "text_a"), defaults={"prompt": "后者是前者的标准说法之一吗？"}),
-    "alternatecd_mdcf": Shape("records", "task_dataset string, answer_choices array<string>, input string, target string, sample_id string", "choice", "input", "concat('{prompt}', parts[1])", "array_position(answer_choices, parts[2]) - 1", "answer_choices", group=("medical_text", "input"), unfold=(("filter(split(target, '\\\\n'), x -> trim(x) <> '')", "finding_no", "entry"),), derive=(("parts", "array('', regexp_extract(entry, '^(.*)：([^：]*)$', 1), regexp_extract(entry, '^(.*)：([^：]*)$', 2))"),), defaults={"prompt": "这个发现的性质是："}),
+    "alternatecd_mdcf": Shape("records", "task_dataset string, answer_choices array<string>, input string, target string, sample_id string", "choice", "input", "concat('{prompt}', parts[1])", "array_position(answer_choices, parts[2]) - 1", "answer_choices", group=("medical_text", "input"), unfold=(("array_distinct(filter(split(target, '\\n'), x -> trim(x) <> ''))", "finding_no", "entry"),), derive=(("parts", "array('', trim(regexp_extract(entry, '^(.*)：([^：]*)$', 1)), regexp_extract(entry, '^(.*)：([^：]*)$', 2))"),), rules=(("not contains(entry, '：')", "no finding and state"), ("parts[1] = '' or not array_contains(answer_choices, parts[2]) or not contains(input, parts[1])", "finding isn't in the dialogue"), ("exists(split(target, '\\n'), x -> trim(regexp_extract(x, '^(.*)：([^：]*)$', 1)) = parts[1] and not endswith(x, concat('：', parts[2])))", "finding of several states")), defaults={"prompt": "这个发现的性质是："}),
     "alternatecd_causal_pair": Shape("records", "task_dataset string, answer_choices array<string>, input string, target string, sample_id string", "choice", "input", "concat('{prompt}', r.subject, '、', r.object)", "array_position(" + _CAUSAL + ", r.label) - 1", _CAUSAL, group=("medical_text", "input"), unfold=((_PAIR_LINES, "pair_no", "r"),), rules=(("task_dataset <> 'CMedCausal' or array_sort(array_distinct(answer_choices)) <> array_sort(array_append(" + _CAUSAL + ", '条件关系'))", "another task or vocabulary"), ("r.label is null", "no labelled pair"), ("r.label = '条件关系'", "conditional triple"), ("r.object is null or not array_contains(" + _CAUSAL + ", r.label)", "ambiguous pair"), ("r.subject = '' or r.object = '' or not (contains(input, r.subject) and contains(input, r.object))", "mention isn't in the document"), ("size(array_distinct(transform(filter(" + _PAIR_LINES + ", x -> x.subject = r.subject and x.object = r.object and array_contains(" + _CAUSAL + ", x.label)), x -> x.label))) > 1", "pair of several relations")), defaults={"prompt": "两件事是什么关系："}),
-    "psyqa_strategy": Shape("records", "question string, description string, questionID string, answers array<struct<has_label boolean, answer_text string, labels_sequence array<struct<start int, end int, type string>>>>", "choice", "concat_ws('\\n', question, description, substring(a.answer_text, 1, s.start), substring(a.answer_text, s.start + 1, s.end - s.start))", "'{prompt}'", "array_position({labels}, s.type) - 1", "{labels}", group=("medical_text", "question"), unfold=(("filter(answers, x -> x.has_label)", "answer_no", "a"), ("a.labels_sequence", "span_no", "s")), defaults={"prompt": "最后一段用了什么策略？"}),
+    "psyqa_strategy": Shape("records", "question string, description string, questionID string, answers array<struct<has_label boolean, answer_text string, labels_sequence array<struct<start int, end int, type string>>>>", "choice", "concat_ws('\\n', question, description, substring(a.answer_text, 1, s.start), substring(a.answer_text, s.start + 1, s.end - s.start))", "'{prompt}'", "array_position({labels}, s.type) - 1", "{labels}", group=("medical_text", "concat_ws('\n', question, description)"), links="array(question)", unfold=(("answers", "answer_no", "a"), ("if(coalesce(a.has_label, false) and size(a.labels_sequence) > 0, a.labels_sequence, array(named_struct('start', cast(null as int), 'end', cast(null as int), 'type', cast(null as string))))", "span_no", "s")), rules=(("not coalesce(a.has_label, false)", "answer without strategies"), ("s.start < 0 or s.start >= s.end or s.end > length(a.answer_text)", "span out of the answer"), ("not array_contains({labels}, s.type)", "unknown strategy")), defaults={"prompt": "最后一段用了什么策略？"}),
     # Law.
     "cail2019_elements": Shape("lists", "sentence string, labels array<string>", "noul", "e.sentence", "concat('{prompt}', word)", "array_contains(e.labels, word)", group=("law_document", "to_json(entries)"), unfold=(("entries", "sentence_no", "e"), ("{labels}", "label_no", "word")), rules=(("exists(entries, x -> size(array_except(x.labels, {labels})) > 0)", "label outside the vocabulary"),), defaults={"prompt": "这句话含有这个要素吗："}),
     "jec_qa": Shape("jsonl", "statement string, option_list map<string,string>, answer array<string>", "choice", "'{prompt}'", "statement", "array_position(map_keys(option_list), answer[0]) - 1", "map_values(option_list)", keys="map_keys(option_list)", group=("law_question", "statement"), rules=(("size(answer) <> 1", "several answers"),), defaults={"prompt": "请回答下面的题目。"}),
@@ -278,7 +279,7 @@ SHAPES: dict[str, Shape] = {
     # Everyday texts.
     "finfe": Shape("tuples", "", "choice", "parts[0]", "'{prompt}'", "if(parts[1] rlike '^[0-9]+$', try_cast(parts[1] as int), null)", "array('消极','中性','积极')", defaults={"prompt": "这句话的情绪是？"}),
     "finnsp": Shape("tuples", "", "noul", "concat_ws('\\n', parts[1], parts[2], parts[3])", "'{prompt}'", "case parts[4] when '1' then true when '0' then false end", group=("text", "parts[2]"), rules=(("parts[0] = 'id'", "header within the data"),), defaults={"prompt": "对该主体是负面消息吗？"}),
-    "tnews": Shape("jsonl", "id string, sentence string, label string, label_desc string", "choice", "sentence", "'{prompt}'", "array_position({ids}, label) - 1", "{labels}", group=("text", "sentence"), rules=(("element_at({labels}, cast(array_position({ids}, label) as int)) <> label_desc", "number and word of the label differ"),), defaults={"prompt": "这条新闻属于哪一类？"}),
+    "tnews": Shape("jsonl", "id string, sentence string, label string, label_desc string", "choice", "sentence", "'{prompt}'", "array_position({ids}, label) - 1", "{labels}", group=("text", "sentence"), rules=(("get({labels}, cast(array_position({ids}, label) as int) - 1) <> label_desc", "number and word of the label differ"),), defaults={"prompt": "这条新闻属于哪一类？"}),
     "chnsenticorp_htl": Shape("csv", "", "noul", "review", "'{prompt}'", "case label when '1' then true when '0' then false end", group=("text", "review"), defaults={"prompt": "评价是正面的吗？"}),
 }
 
@@ -292,12 +293,12 @@ class Registry:
         self._own: dict[str, Shape | Converter] = {}
 
     def register(self, name: str, adapter: Shape | Converter) -> None:
-        if name in SHAPES or name in BUILT_IN or name in self._own:
+        if name in SHAPES or name in built_in() or name in self._own:
             raise ValueError(f"adapter {name} exists")
         self._own[name] = adapter
 
     def names(self) -> list[str]:
-        return sorted({*SHAPES, *BUILT_IN, *self._own})
+        return sorted({*SHAPES, *built_in(), *self._own})
 
     def load(self, namespace: Mapping[str, object]) -> None:
         """Adds the ``ADAPTERS`` of a plug-in module."""
@@ -307,11 +308,22 @@ class Registry:
             self.register(name, adapter)
 
     def convert(self, spark: SparkSession, name: str, paths, params: Mapping[str, object] | None = None) -> DataFrame:
-        """Decision rows of a source's files."""
-        params = dict(params or {})
-        found = self._own.get(name) or BUILT_IN.get(name) or SHAPES.get(name)
+        """Decision rows of a source's files. A mapping of ``paths`` may name a file of ``labels``, which fills that
+        parameter; ``limit`` takes the first so many rows by their place."""
+        from .joined import with_vocabulary
+
+        found = self._own.get(name) or built_in().get(name) or SHAPES.get(name)
         if found is None:
             raise ValueError(f"no adapter {name}")
+        paths, params = with_vocabulary(spark, name, paths, params or {})
+        limit = params.pop("limit", None)
+        rows = self._rows(spark, found, paths, params)
+        if limit is None:
+            return rows
+        return rows.orderBy(*(["place"] if "place" in rows.columns else ["source_id"]), "source_id").limit(int(limit))
+
+    @staticmethod
+    def _rows(spark: SparkSession, found: Shape | Converter, paths, params: dict) -> DataFrame:
         if not isinstance(found, Shape):
             return found(spark, paths, params)
         return decision_rows(_read(spark, found, paths, str(params.pop("charset", "utf-8"))), found, params)
@@ -441,5 +453,13 @@ def convert_cmb_exam_full(spark: SparkSession, paths, params) -> DataFrame:
     return decision_rows(joined.select("file", "line", F.struct(*fields).alias("row"), spoilt.alias("spoilt")), shape, params)
 
 
+@cache
+def built_in() -> dict[str, Converter]:
+    """Adapters that are functions, by name; they go before shapes of the same name."""
+    from .joined import JOINED
+
+    return BUILT_IN | JOINED
+
+
 _CMB_AGREE = ["exam_type", "exam_class", "exam_subject", "question_type"]
 BUILT_IN: dict[str, Converter] = {"cmb_exam_full": convert_cmb_exam_full, "native": convert_native, "project_jsonl": convert_raw_jsonl, "t2ranking": convert_judged_pairs}

@@ -4,6 +4,7 @@ stops a build (a broken file, repeated keys) is a query of its own, what spoils
 from __future__ import annotations
 
 import io
+import json
 import pickle
 from collections.abc import Sequence
 
@@ -185,8 +186,6 @@ class _Primitive(pickle.Unpickler):
 
 def read_pickled_lists(spark: SparkSession, paths: Paths) -> DataFrame:
     """``(file, line, value)`` of pickled lists or dictionaries of plain values, each entry as JSON."""
-    import json
-
     def parse(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
@@ -207,11 +206,32 @@ def read_words(spark: SparkSession, path: str) -> list[str]:
     return words
 
 
+def read_vocabulary(spark: SparkSession, path: str) -> list[str]:
+    """The words of a closed vocabulary in their order: a line file (:func:`read_words`), a JSON list, a JSON dictionary
+    of words with descriptions, or one of words with numbers, which must run from 0 without a gap. Repeated or blank
+    words, and repeated descriptions, stop a build."""
+    whole = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()).lstrip("\ufeff")  # a closed vocabulary
+    if whole.lstrip()[:1] not in ("[", "{"):
+        return read_words(spark, path)
+    pairs: list[tuple] = []
+    found = json.loads(whole, object_pairs_hook=lambda x: pairs.extend(x) or dict(x))
+    words = list(found) if isinstance(found, list) else [k for k, _ in pairs]
+    told = [] if isinstance(found, list) else [v for _, v in pairs]
+    if told and all(isinstance(v, int) for v in told):
+        if sorted(told) != list(range(len(told))):
+            raise ValueError(f"{path}: the words' numbers don't run from 0")
+        words = [k for k, _ in sorted(pairs, key=lambda x: x[1])]
+    if any(not isinstance(w, str) or not w.strip() for w in words) or len(set(words)) != len(words) or len(set(map(str, told))) != len(told):
+        raise ValueError(f"{path} repeats a word or has a blank one")
+    return words
+
+
 def template_capture(text: Column, templates: Sequence[str], slot: str = "[INPUT_TEXT]") -> Column:
-    """What a prompt made from one of the templates held at the slot; null unless exactly one text fits."""
+    """What a prompt made from one of the templates held at the slot; null unless exactly one text fits. Where a template
+    lists labels, any list will do."""
     found = []
     for template in templates:
-        before, _, after = template.partition(slot)
+        before, _, after = (part.replace("[LIST_LABELS]", r"\E.+?\Q") for part in template.partition(slot))
         pattern = rf"(?s)^\Q{before}\E(.*)\Q{after}\E$"
         found.append(F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1)))
     distinct = F.array_distinct(F.array_compact(F.array(*found)))

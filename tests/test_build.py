@@ -425,3 +425,181 @@ def test_release_does_not_follow_the_layout(spark, tmp_path):
             spark.conf.set("spark.sql.shuffle.partitions", "4")
         found.append([r.value for r in spark.read.text(str(tmp_path / f"out{number}/train")).orderBy("value").collect()])
     assert found[0] == found[1] and len(found[0]) == 9
+
+
+def _convert(spark, tmp_path, name, files, params=None):
+    """Decision rows of an adapter over files written for it, in the order of their places."""
+    paths = {k: write(tmp_path / f"{k}.{'csv' if v[:2] in ('qu', 'an') else 'txt'}", v) for k, v in files.items()}
+    rows = Registry().convert(spark, name, paths, params).collect()
+    return sorted(rows, key=lambda r: (r.place.file, r.place.line, list(r.place.at), r.source_id))
+
+
+def _web(qid, labels, answers, query="头疼？"):
+    return "".join(f"内科\t{x}\t{qid}\t{query}\t{a}\n" for x, a in zip(labels, answers))
+
+
+def test_webmedqa_candidates(spark, tmp_path):
+    five = ["多喝水", "休息", "吃药", "复查", "锻炼"]
+    text = _web("q1", "10000", five) + _web("q2", "11000", five) + _web("q3", "1000", five[:4]) + _web("q4", "10000", [*five[:4], " 多喝水"]) + _web("q5", "1", five[:1], "甲") + _web("q5", "0000", five[1:])
+    rows = _convert(spark, tmp_path, "webmedqa", {"paths": text})
+    assert [r.reason for r in rows] == [None, "not one right answer", "not 5 candidates", "repeated candidates", "candidates of different questions"]
+    state = json.loads(rows[0].state)
+    assert f"{_label(rows[0])}：多喝水" in state and len(rows[0].link_keys) == 6 and rows[0].source_id == "paths.txt:1:q1"
+    # The order of candidates doesn't tell the label.
+    moved = _convert(spark, tmp_path, "webmedqa", {"paths": _web("q1", "00001", [*five[1:], five[0]])})
+    assert moved[0].state == rows[0].state and _label(moved[0]) == _label(rows[0])
+    each = _convert(spark, tmp_path, "webmedqa", {"paths": text}, {"mode": "noul", "link_shared_answers": "none"})
+    assert [r.reason for r in each[:5]] == [None] * 5 and sorted(_label(r) for r in each[:5]) == ["false"] * 4 + ["true"] and len(each[0].link_keys) == 1
+    assert [r.reason for r in each if r.reason == "not 5 candidates"] == ["not 5 candidates"]
+    with pytest.raises(ValueError, match="can't be told"):
+        _convert(spark, tmp_path, "webmedqa", {"paths": text + "a\tb\n"})
+    with pytest.raises(ValueError, match="mode"):
+        _convert(spark, tmp_path, "webmedqa", {"paths": text}, {"mode": "both"})
+
+
+def test_matching_with_tables(spark, tmp_path):
+    tables = {"questions": "question_id,content\n1,头疼\n2,发热\n3,\n", "answers": "ans_id,question_id,content\n10,1,多喝水\n11,1,休息\n"}
+    triples = "question_id,pos_ans_id,neg_ans_id\n1,10,11\n1,10,12\n2,10,10\n3,10,11\n4,11,10\n"
+    rows = _convert(spark, tmp_path, "cmedqa2", {"paths": triples} | tables)
+    found = {r.source_id.split(":", 2)[2]: (r.reason, _label(r)) for r in rows if r.reason is None}
+    assert found["1:10"] == (None, "true") and found["1:11"] == (None, "false")
+    reasons = [r.reason for r in rows]
+    assert reasons.count("answer is missing") == 1 and reasons.count("candidate of two labels") == 1 and reasons.count("question is missing") == 4
+    labelled = _convert(spark, tmp_path, "cmedqa2", {"paths": "question_id,ans_id,cnt,label\n1,10,1,1\n1,11,2,0\n1,11,2,0\n2,11,1,7\n"} | tables)
+    assert [(r.reason, r.reason or _label(r)) for r in labelled] == [(None, "true"), (None, "false"), ("no label", "no label")]
+    with pytest.raises(ValueError, match="come again"):
+        _convert(spark, tmp_path, "cmedqa2", {"paths": "question_id,ans_id,label\n1,10,1\n2,10,1\n1,11,0\n"} | tables)
+    with pytest.raises(ValueError, match="repeated answers"):
+        _convert(spark, tmp_path, "cmedqa2", {"paths": triples} | tables | {"answers": tables["answers"] + "10,1,x\n"})
+    with pytest.raises(ValueError, match="auxiliary files"):
+        _convert(spark, tmp_path, "cmedqa2", {"paths": triples})
+
+
+def test_terms_held_against_the_gold(spark, tmp_path):
+    gold = json.dumps([{"text": "左肾囊肿", "normalized_result": "肾囊肿##囊肿"}, {"text": "\"热\"", "normalized_result": "发热"}], ensure_ascii=False)
+    head = "text_a\ttext_b\tlabel\n"
+    text = head + '左肾囊肿\t肾囊肿\t1\n左肾囊肿\t囊肿\t0\n"热"\t发热\t1\n无\t发热\t1\n"热"\t发热\tx\n左肾囊肿\t发热\t0\n'
+    rows = _convert(spark, tmp_path, "cdn_retrieved_pairs", {"paths": text, "original_gold": gold})
+    assert [r.reason for r in rows] == [None, "label contradicts the gold", None, *["no gold diagnosis or label"] * 2, None] and [_label(r) for r in (rows[0], rows[2], rows[5])] == ["true", "true", "false"]
+    for more, params, message in ((text[len(head) :], {}, "columns"), (text, {"original_split": "test"}, "hidden")):
+        with pytest.raises(ValueError, match=message):
+            _convert(spark, tmp_path, "cdn_retrieved_pairs", {"paths": more, "original_gold": gold}, params)
+
+
+def test_documents_out_of_their_prompts(spark, tmp_path):
+    templates = json.dumps({"CHIP-MDCFNPC": ["对话：[INPUT_TEXT]\\\\n状态选自[LIST_LABELS]。\\\\n答：", "[INPUT_TEXT]\\n请标注"], "CMedCausal": ["读：[INPUT_TEXT]"]}, ensure_ascii=False)
+    record = {"task_dataset": "CHIP-MDCFNPC", "answer_choices": ["阳性", "阴性", "其他", "不标注"], "sample_id": "1"}
+    target = "头疼：阳性\n发热：阴性\n发热：阳性\n咳嗽：阳性\n无\n头疼：阳性"
+    records = [record | {"input": "对话：头疼，不发热。\n状态选自阳性、阴性。", "target": target}, record | {"input": "别的", "target": target}, record | {"task_dataset": "x", "input": "对话：头疼。", "target": target}]
+    rows = _convert(spark, tmp_path, "alternatecd_mdcf", {"paths": json.dumps(records, ensure_ascii=False), "templates": templates})
+    assert [r.reason for r in rows] == [None, *["finding of several states"] * 2, "finding isn't in the dialogue", "no finding and state", "no template fits the prompt", "another task"]
+    assert json.loads(rows[0].state) == "头疼，不发热。" and _label(rows[0]) == "A"
+    causal = [CAUSAL | {"input": "读：" + CAUSAL["input"], "target": "着凉，咳嗽：因果关系"}]
+    rows = _convert(spark, tmp_path, "alternatecd_causal_pair", {"paths": json.dumps(causal, ensure_ascii=False), "templates": templates})
+    assert [r.reason for r in rows] == [None] and json.loads(rows[0].state) == CAUSAL["input"]
+
+
+def test_sessions_that_continue(spark, tmp_path):
+    say = lambda who, words, **k: {"speaker": who, "content": words} | k
+    session = lambda i, *turns, **k: {"dialog_id": i, "dialog": list(turns)} | k
+    sessions = [
+        session("a", say("Supporter", "你好", strategy=["x"]), is_same_session=1),
+        session("b", say("Seeker", "难过", **{"emotional label": ["sad"]}), say("Supporter", "嗯", strategy=["x", "z"])),
+        session("c"),
+        session("d", say("Supporter", "再见", strategy=["y"]), say("Other", "?"), is_same_qa=1),
+    ]
+    rows = _convert(spark, tmp_path, "psy_insight_cn", {"paths": json.dumps(sessions, ensure_ascii=False)}, {"labels": ["x", "y"], "emotions": ["glad", "sad", "calm"]})
+    by = {}
+    for r in rows:
+        by.setdefault(r.place.line, []).append(r)
+    assert [r.reason for r in by[1]] == ["continues nothing"] and [r.reason for r in by[3]] == ["no dialogue"]
+    assert [(r.reason, _label(r)) for r in by[2][:3]] == [(None, x) for x in ("false", "true", "false")] and {r.reason for r in by[2][3:]} == {"label outside the vocabulary"}
+    good = [r for r in by[4] if r.reason is None]
+    assert [_label(r) for r in good] == ["false", "true"] and by[2][0].group_key in good[0].link_keys and {r.reason for r in by[4]} == {None, "unknown speaker"}
+
+
+def test_review_rows(spark, tmp_path):
+    answer = lambda at, text: {"text": text, "answer_start": at}
+    asked = [{"id": "x", "question": "天气？", "answers": [answer(2, "晴")], "is_impossible": False}, {"id": "y", "question": "谁？", "answers": [answer(0, "晴")], "is_impossible": False}, {"id": "z", "question": "何时？", "answers": [], "is_impossible": True}]
+    text = json.dumps({"data": [{"title": "t", "paragraphs": [{"context": "今天晴", "qas": asked}]}]}, ensure_ascii=False)
+    rows = _convert(spark, tmp_path, "squad", {"paths": text})
+    assert [(r.reason, r.review is not None) for r in rows] == [("needs review", True), ("answer isn't at its place", False), ("needs review", True)]
+    assert json.loads(rows[0].review)["reference_answers"][0]["text"] == "晴"
+    rows = _convert(spark, tmp_path, "squad", {"paths": text}, {"mode": "answerability"})
+    assert [(r.reason, r.reason or _label(r)) for r in rows] == [(None, "true"), ("answer isn't at its place",) * 2, (None, "false")]
+    write(tmp_path / "raw.jsonl", json.dumps(RECORD))
+    base = config()
+    review = base["sources"][0] | {"name": "q", "adapter": "squad", "paths": ["paths.txt"]}
+    counts = P.build_release(spark, base | {"sources": [*base["sources"], review]}, str(tmp_path), str(tmp_path / "out"))["counts"]
+    assert counts["review:q"] == 2 and counts["rejected:q:answer isn't at its place"] == 1
+    kept = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out/review")).collect()]
+    assert {k["source"] for k in kept} == {"q"} and all(k["group_key"] for k in kept)
+
+
+def test_symptoms_of_turns(spark, tmp_path):
+    turn = lambda words, names, states: {"speaker": "医", "sentence": words, "dialogue_act": "问", "symptom_norm": names, "symptom_type": states}
+    text = json.dumps({"d1": {"dialogue": [turn("发热吗", ["发热"], ["2"]), turn("咳", ["咳嗽", "发热", "咳嗽"], ["1", "0", "1"]), turn("痛", ["痛"], []), turn("热", ["热", "热"], ["0", "1"]), turn("x", ["x"], ["9"]), turn("好", [], [])]}}, ensure_ascii=False)
+    rows = [r for r in _convert(spark, tmp_path, "imcs21_clinical", {"paths": text}, {"labels": ["问", "答"]}) if ":symptom" in r.source_id]
+    assert [(r.reason, r.reason or _label(r)) for r in rows] == [(None, "C"), (None, "B"), (None, "A"), *[("names and states of symptoms differ",) * 2], *[("symptom of two states",) * 2] * 2, *[("unknown state",) * 2]]
+
+
+def test_published_partition_of_a_corpus(spark, tmp_path):
+    talk = lambda i: {"dialogue": str(i), "information": [{"role": "医", "sentence": f"句{i}", "actions": [{"intent": "问"}]}]}
+    text = json.dumps([talk(i) for i in range(10)], ensure_ascii=False)
+    sizes, seen = {"train": 6, "dev": 1, "test": 3}, []
+    for split, n in sizes.items():
+        rows = _convert(spark, tmp_path, "remedi_human", {"paths": text}, {"original_split": split, "partition_sizes": sizes, "labels": ["问", "答"]})
+        assert len({r.group_key for r in rows}) == n
+        seen += {r.group_key for r in rows}
+    assert len(set(seen)) == 10
+    with pytest.raises(ValueError, match="1557"):
+        _convert(spark, tmp_path, "remedi_human", {"paths": text}, {"original_split": "train", "labels": ["问"]})
+
+
+def test_second_modes(spark, tmp_path):
+    fact = lambda x, *a: json.dumps({"fact": x, "meta": {"accusation": list(a), "relevant_articles": [264]}}, ensure_ascii=False)
+    text = fact("偷", "盗窃") + "\n" + fact("偷抢", "盗窃", "抢劫") + "\n" + fact("打", "伤害") + "\n"
+    labels = {"labels": ["盗窃", "抢劫"]}
+    rows = _convert(spark, tmp_path, "cail2018", {"paths": text}, labels | {"mode": "single_choice"})
+    assert [r.reason for r in rows] == [None, "several labels", "label outside the vocabulary"] and _label(rows[0]) == "A"
+    assert [_label(r) for r in _convert(spark, tmp_path, "cail2018", {"paths": text}, labels)[:4]] == ["true", "false", "true", "true"]
+    articles = _convert(spark, tmp_path, "cail2018", {"paths": text}, {"labels": ["264", "263"], "task": "articles"})
+    assert [_label(r) for r in articles[:2]] == ["true", "false"]
+    with pytest.raises(ValueError, match="decimal"):
+        _convert(spark, tmp_path, "cail2018", {"paths": text}, labels | {"task": "articles"})
+    news = "".join(json.dumps({"id": str(i), "sentence": f"题{i}", "label": x, "label_desc": d}) + "\n" for i, (x, d) in enumerate([("103", "sports"), ("100", "story"), ("100", "sports"), ("9", "x")]))
+    both = _convert(spark, tmp_path, "tnews", {"paths": news}, {"ids": ["100", "103"], "labels": ["story", "sports"], "mode": "both"})
+    assert [r.reason or _label(r) for r in both if r.qtype == "noul"] == ["true", "false", "number and word of the label differ", "number and word of the label differ"]
+    assert [r.reason or _label(r) for r in both if r.qtype == "choice"][:2] == ["B", "A"]
+    yes = "".join(json.dumps({"question": "行？", "answer": f"答{i}", "yesno_answer": a}) + "\n" for i, a in enumerate(("Yes", "Depends")))
+    three = _convert(spark, tmp_path, "dureader_yesno", {"paths": yes}, {"mode": "both"})
+    assert [(r.qtype, r.reason or _label(r)) for r in sorted(three, key=lambda r: r.source_id)] == [("choice", "A"), ("noul", "true"), ("choice", "C"), ("noul", "depends or unlabelled")]
+
+
+def test_vocabularies(spark, tmp_path):
+    assert R.read_vocabulary(spark, write(tmp_path / "a.json", '{"乙": 1, "甲": 0}')) == ["甲", "乙"]
+    assert R.read_vocabulary(spark, write(tmp_path / "b.json", '{"甲": "one", "乙": "two"}')) == ["甲", "乙"]
+    assert R.read_vocabulary(spark, write(tmp_path / "c.json", '["甲", "乙"]')) == R.read_vocabulary(spark, write(tmp_path / "c.txt", "甲\n乙\n\n")) == ["甲", "乙"]
+    for text in ('{"甲": 0, "乙": 2}', '{"甲": "x", "乙": "x"}', '["甲", "甲"]', '["甲", " "]', '{"甲": 0, "甲": 1}'):
+        with pytest.raises(ValueError):
+            R.read_vocabulary(spark, write(tmp_path / "d.json", text))
+    with pytest.raises(ValueError, match="44 labels"):
+        Registry().convert(spark, "cblue_ctc", {"paths": write(tmp_path / "e.json", "[]"), "labels": str(tmp_path / "a.json")})
+    rows = Registry().convert(spark, "cblue_qic", {"paths": write(tmp_path / "f.json", '[{"id":"1","query":"q","label":"乙"},{"id":"2","query":"r","label":"甲"}]'), "labels": str(tmp_path / "a.json")}, {"limit": 1}).collect()
+    assert [(r.source_id, _label(r)) for r in rows] == [("f.json:1", "B")]
+
+
+def test_pairs_of_several_relations(spark):
+    spo = lambda s, p, o: {"subject": s, "predicate": p, "object": {"@value": o}}
+    labels = {"labels": ["因", "果"]}
+    rows = _rows(spark, "cmeie_typing", {"text": "甲乙丙", "spo_list": [spo("甲", "因", "乙"), spo("甲", "因", "乙"), spo("甲", "果", "丙"), spo("甲", "因", "丙"), spo("乙", "无", "丙")]}, labels)
+    assert sorted((r.reason or _label(r)) for r in rows) == ["A", "pair of several relations", "relation outside the schema"]
+    assert [r.reason for r in _rows(spark, "cmeie_typing", {"text": "甲乙", "spo_list": [spo("甲", "因", "乙"), spo("甲", "果", "丙")]}, labels)] == ["entity isn't in the text"] * 2
+    rows = _rows(spark, "text2dt_typing", {"text": "甲乙丙", "tree": [{"triples": [["甲", "因", "乙"], ["甲", "果", "丙"]]}, {"triples": [["甲", "因", "丙"]]}]}, labels)
+    assert [r.reason or _label(r) for r in rows] == ["pair of several relations", "A"]
+    turn = {"id": "1", "Sentence": "s", "Symptom": ["热", "热"], "Medicine": [], "Examination": [], "Attribute": [], "Disease": ["痛"]}
+    assert [r.reason for r in _rows(spark, "meddg_entity_type", turn)] == [None] * 2
+    assert {r.reason for r in _rows(spark, "meddg_entity_type", turn | {"Medicine": ["热"]})} == {"entity of two types in the turn"}
+    spans = [{"start": 0, "end": 9, "type": "x"}, {"start": 0, "end": 1, "type": "w"}, {"start": 0, "end": 1, "type": "x"}]
+    rows = _rows(spark, "psyqa_strategy", {"question": "q", "description": "d", "answers": [{"has_label": True, "answer_text": "abcd", "labels_sequence": spans}, {"has_label": False, "answer_text": "e"}]}, {"labels": ["x", "y"]})
+    assert [r.reason for r in rows] == ["span out of the answer", "unknown strategy", None, "answer without strategies"]
