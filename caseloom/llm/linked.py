@@ -69,17 +69,53 @@ def clean_split(c: str) -> Column:
     return F.when(trimmed != "", trimmed)
 
 
-def assign_splits(cases: DataFrame, scratch: Scratch, shares: dict[str, float] | None = None, seed: int = 0, giant: float = 1 / 200) -> DataFrame:
+def _place(component: Column, seed: int) -> Column:
+    """A component's permanent place in [0, 1): the first 52 bits of the digest of its identifier."""
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), component.cast("string")), 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def _ranges(shares: dict[str, float]) -> list[tuple[str, float]]:
+    """Splits with the upper ends of their ranges of [0, 1)."""
+    whole, at, out = sum(shares.values()) or 1.0, 0.0, []
+    for s, x in shares.items():
+        at += x
+        out.append((s, at / whole))
+    return out
+
+
+def assign_splits(cases: DataFrame, scratch: Scratch, shares: dict[str, float] | None = None, seed: int = 0, giant: float | None = 1 / 200, memory: Scratch | None = None) -> DataFrame:
     """``(group_key, component_no, split)`` of every group key: connected keys get one split, and the splits hold the
     given shares of the cases.
 
-    Components come from alternating stars. A component with more than ``giant`` of the cases (at most 1 / giant of
-    them) would upset the shares wherever its hash put it, so giants go, largest first, to the split that lacks most;
-    all others fall by the hash of their identifier into ranges in proportion to what the splits still lack. The same
-    cases give the same splits in every run and layout. Cases without a group key count in their component's size."""
+    Components come from alternating stars. With ``giant`` None, the method of the queries, the hash of a component's
+    identifier falls into ranges in proportion to the shares and nothing else counts: a component keeps its split in
+    every run, layout and growth of the table, and the shares are off by as much as large components weigh.
+
+    With ``giant`` a first call lets components with more than this part of the cases (at most 1 / giant of them) go,
+    largest first, to the split that lacks most, and the ranges of all others follow what is still lacking. Placements
+    and ranges are written to ``memory``, a lasting folder; later calls with it take them as they are, so nothing moves
+    when data grow. Cases without a group key count in their component's size."""
     shares = shares or {"train": 0.8, "validation": 0.1, "test": 0.1}
-    found = case_components(cases, scratch, components_by_stars)
-    found = scratch.keep(found, "split-components")
+    found = scratch.keep(case_components(cases, scratch, components_by_stars), "split-components")
+    placed, ranges = {}, _ranges(shares)
+    if giant is not None:
+        placed, ranges = _remembered(memory) or _placed(found, shares, giant)
+        if memory is not None and not memory.has("split-plan/_SUCCESS"):
+            rows = [(c, s, None) for c, s in placed.items()] + [(None, s, past) for s, past in ranges]
+            memory.keep(cases.sparkSession.createDataFrame(rows, "component_no long, split string, past double").coalesce(1), "split-plan")
+    place, split = _place(F.col("component_no"), seed), F.lit(None).cast("string")
+    for s, past in ranges:
+        split = F.coalesce(split, F.when(place < past, F.lit(s)))
+    split = F.coalesce(split, F.lit([s for s, past in ranges][-1]))
+    keys = found.where("group_key is not null").select("group_key", "component_no").distinct()
+    if placed:
+        fixed = F.broadcast(cases.sparkSession.createDataFrame(list(placed.items()), "component_no long, fixed string"))  # at most 1 / giant rows
+        return keys.join(fixed, "component_no", "left").select("group_key", "component_no", F.coalesce("fixed", split).alias("split"))
+    return keys.select("group_key", "component_no", split.alias("split"))
+
+
+def _placed(found: DataFrame, shares: dict[str, float], giant: float) -> tuple[dict[int, str], list[tuple[str, float]]]:
+    """Splits of the giants, and the ranges of all other components."""
     sizes = found.groupBy("component_no").agg(F.count(F.lit(1)).alias("n"))
     total = found.count()
     giants = sizes.where(F.col("n") > max(1.0, total * giant)).orderBy(F.desc("n"), "component_no").collect()  # at most 1 / giant rows
@@ -89,18 +125,14 @@ def assign_splits(cases: DataFrame, scratch: Scratch, shares: dict[str, float] |
         to = max(lacking, key=lambda s: (lacking[s], s))
         placed[g.component_no] = to
         lacking[to] -= g.n
-    rest = {s: max(0.0, x) for s, x in lacking.items()}
-    whole, low = sum(rest.values()) or 1.0, 0.0
-    # The identifier's permanent place in [0, 1): the first 52 bits of its digest.
-    place = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("component_no").cast("string")), 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    split, last = F.lit(None).cast("string"), None
-    for s, x in rest.items():
-        split, low, last = F.coalesce(split, F.when(place < (low + x) / whole, F.lit(s))), low + x, s if x else last
-    split = F.coalesce(split, F.lit(last or next(iter(shares))))
-    spark = cases.sparkSession
-    fixed = F.broadcast(spark.createDataFrame(list(placed.items()), "component_no long, fixed string"))
-    keys = found.where("group_key is not null").select("group_key", "component_no").distinct()
-    return keys.join(fixed, "component_no", "left").select("group_key", "component_no", F.coalesce("fixed", split).alias("split"))
+    return placed, _ranges({s: x for s, x in lacking.items() if x > 0} or shares)
+
+
+def _remembered(memory: Scratch | None) -> tuple[dict[int, str], list[tuple[str, float]]] | None:
+    if memory is None or not memory.has("split-plan/_SUCCESS"):
+        return None
+    rows = memory.spark.read.parquet(f"{memory.root}/split-plan").collect()  # giants and splits
+    return {r.component_no: r.split for r in rows if r.past is None}, sorted(((r.split, r.past) for r in rows if r.past is not None), key=lambda x: x[1])
 
 
 def split_conflicts(cases: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:

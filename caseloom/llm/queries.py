@@ -58,7 +58,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked.assign_splits(_table(spark, sf_dir, "cases"), Scratch(spark, "p5"))
+    return linked.assign_splits(_table(spark, sf_dir, "cases"), Scratch(spark, "p5"), giant=None)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

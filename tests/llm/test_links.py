@@ -171,3 +171,71 @@ def test_sample_goes_on_where_it_was(spark, tmp_path):
     # The value of first sight stays, whatever the seed is later.
     other = PermanentSample(Scratch(spark, "t", str(tmp_path / "sample")), 99)
     assert {r.identity: r.u for r in other.known.collect()} == {r.identity: r.u for r in again.known.collect()}
+
+
+def _shapes(size):
+    path = [(i, i + 1) for i in range(size)]
+    star = [(0, i) for i in range(1, size)]
+    side = int(size**0.5)
+    grid = [(a * side + b, a * side + b + 1) for a in range(side) for b in range(side - 1)] + [(a * side + b, a * side + side + b) for a in range(side - 1) for b in range(side)]
+    return {"path": path, "star": star, "grid": grid}
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "grid"])
+def test_a_level_leaves_few_edges(spark, shape):
+    """Growth is not cut off: about RATE of the edges at most lie between clusters, and clusters hang together."""
+    import caseloom.llm.components as module
+
+    edges = _shapes(900)[shape]
+    df = spark.createDataFrame(edges, "u long, v long")
+    clusters, nodes, _ = module._grown(df, Scratch(spark, "t"), "grown", 5)
+    of = {r.u: r.c for r in clusters.collect()}
+    assert len(of) == nodes == len({x for e in edges for x in e})
+    cut = sum(of[a] != of[b] for a, b in edges)
+    assert cut <= (module.RATE + module.STILL) * len(edges)
+    inside = defaultdict(list)
+    for a, b in edges:
+        if of[a] == of[b]:
+            inside[a].append(b)
+            inside[b].append(a)
+    for c in set(of.values()):
+        members, seen = {x for x in of if of[x] == c}, set()
+        todo = [min(members)]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += inside[x]
+        assert seen == members
+
+
+@pytest.mark.parametrize("small", [0, 30])
+def test_growth_with_larger_tables(spark, monkeypatch, small):
+    """The shuffled steps, and those that write their changes only, give the same components."""
+    import caseloom.llm.components as module
+
+    monkeypatch.setattr(module, "SMALL", small)
+    monkeypatch.setattr(module, "MERGED", 3)
+    edges = [(i, i + 1) for i in range(400) if i % 67] + [(1000 + i % 3, 1003 + i) for i in range(40)]
+    found = {r.node: r.component for r in components_by_decomposition(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()}
+    expected = {r.node: r.component for r in components_by_stars(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()}
+    assert found == expected and len(set(found.values())) > 5
+
+
+def test_splits_do_not_move_as_data_grow(spark, rows):
+    """Later deliveries move no group key whose component keeps its number: by the hash alone, and where giants were
+    placed and remembered."""
+    cases = spark.createDataFrame(rows, CASES)
+    for more in ({"giant": None}, {"giant": 1 / 20, "memory": Scratch(spark, "lasting")}):
+        before = {r.group_key: r for r in assign_splits(cases.where(F.col("case_no") % 10 > 2), Scratch(spark, "t"), **more).collect()}
+        after = {r.group_key: r for r in assign_splits(cases, Scratch(spark, "t"), **more).collect()}
+        same = [g for g, r in before.items() if after[g].component_no == r.component_no]
+        assert len(same) > 20 and all(after[g].split == before[g].split for g in same)
+        assert {r.split for r in after.values()} == {"train", "validation", "test"}
+
+
+def test_hashed_shares(spark):
+    """Fixed ranges: many small components come out in the given shares."""
+    cases = spark.createDataFrame([(i, (f"g{i // 2}", None), "", "", "") for i in range(6000)], CASES)
+    split = Counter(r.split for r in assign_splits(cases, Scratch(spark, "t"), giant=None).collect())
+    assert abs(split["train"] / 3000 - 0.8) < 0.03 and abs(split["test"] / 3000 - 0.1) < 0.02
