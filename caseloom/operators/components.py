@@ -11,7 +11,7 @@ from ..plans.shared import Scratch, heaviest, hot_keys, salted_lookup
 #: Edges up to which a level's edges and nodes, two short texts each, are broadcast; more are shuffled.
 FEW_EDGES = 200_000
 #: Steps over which a node looks for the lowest number before a level is contracted.
-STEPS = 3
+STEPS = 4
 #: A component of at most this many groups is named by the digest of all of them, a larger one by its least and count.
 NAMED_BY_ALL = 100_000
 
@@ -40,13 +40,16 @@ def connected_groups(members: DataFrame, scratch: Scratch, label: str = "groups"
     levels: list[tuple[DataFrame, bool]] = []
     while seen["edges"]:
         small = seen["edges"] <= FEW_EDGES
-        both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hot = [] if small else hot_keys(both, "u", 2 * seen["edges"])
+        # Every edge both ways, and both of its nodes to themselves: a step is one join and one aggregate.
+        ends = "array(named_struct('u', u, 'v', v), named_struct('u', v, 'v', u), named_struct('u', u, 'v', u), named_struct('u', v, 'v', v))"
+        near = left.select(F.explode(F.expr(ends)).alias("e")).select("e.u", "e.v")
+        hot = [] if small else hot_keys(near, "u", 4 * seen["edges"])
         at_ends = lambda edges, table: edges.join(F.broadcast(table), "u") if small else salted_lookup(edges, table, "u", hot, F.xxhash64("v"))  # noqa: B023, E731
-        state = both.select("u").distinct().withColumn("best", _draw(F.col("u"), len(levels)))
-        for _ in range(STEPS):
-            reached = at_ends(both, state).select(F.col("v").alias("u"), "best")
-            state = state.unionByName(reached).groupBy("u").agg(F.min("best").alias("best"))
+        reached = near.select(F.col("v").alias("u"), _draw(F.col("u"), len(levels)).alias("best"))
+        state = reached.groupBy("u").agg(F.min("best").alias("best"))
+        for _ in range(STEPS - 1):
+            reached = at_ends(near, state).select(F.col("v").alias("u"), "best")
+            state = reached.groupBy("u").agg(F.min("best").alias("best"))
         nodes = scratch.keep(state.select("u", F.col("best.c").alias("c")), f"{label}-level{len(levels)}")
         levels.append((nodes, small))
         for _ in range(2):
