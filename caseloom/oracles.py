@@ -156,9 +156,9 @@ LATERAL (SELECT concat_ws(',', CASE WHEN m.source_family <> s.source_family THEN
   SELECT doc_id, rater, min(reading_level) OVER (PARTITION BY doc_id) <> max(reading_level) OVER (PARTITION BY doc_id) AS torn, reading_level <> first_value(reading_level) OVER (PARTITION BY doc_id ORDER BY rater) AS differs
   FROM doc_grades WHERE reading_level IS NOT NULL) WHERE torn""",
     "connected_components": f"WITH RECURSIVE {_ROWS} SELECT grp, root FROM roots",
-    "order_components": """WITH RECURSIVE pairs AS (SELECT DISTINCT l_suppkey::VARCHAR AS s, l_orderkey AS p FROM lineitem WHERE l_quantity >= 49 AND l_returnflag = 'R'), stars AS (SELECT DISTINCT s, min(s) OVER (PARTITION BY p) AS hub FROM pairs),
-steps AS (SELECT s AS a, hub AS b FROM stars UNION SELECT hub, s FROM stars), found(s, c) USING KEY (s) AS (SELECT DISTINCT s, s FROM pairs UNION SELECT t.b, min(f.c) FROM found f JOIN steps t ON t.a = f.s JOIN recurring.found r ON r.s = t.b WHERE f.c < r.c GROUP BY t.b)
-SELECT c AS root, count(*) AS suppliers FROM found GROUP BY c""",
+    "record_components": """WITH RECURSIVE stars AS (SELECT DISTINCT grp AS s, min(grp) OVER (PARTITION BY id) AS hub FROM raw WHERE grp IS NOT NULL AND id IS NOT NULL),
+steps AS (SELECT s AS a, hub AS b FROM stars UNION SELECT hub, s FROM stars), found(s, c) USING KEY (s) AS (SELECT DISTINCT grp, grp FROM raw WHERE grp IS NOT NULL UNION SELECT t.b, min(f.c) FROM found f JOIN steps t ON t.a = f.s JOIN recurring.found r ON r.s = t.b WHERE f.c < r.c GROUP BY t.b)
+SELECT s AS grp, c AS root FROM found""",
     "component_names": f"WITH RECURSIVE {_ROWS} SELECT component, groups FROM names",
     "leak_free_split": f"WITH RECURSIVE {_MERGED} SELECT case_no, component, copies, fate, split FROM merged",
     "unit_counts": f"WITH RECURSIVE {_MERGED}, units AS (SELECT source, 'converted' AS stage, split, original_id, grp FROM rows UNION ALL SELECT source, 'output', split, original_id, grp FROM merged WHERE fate = 'kept') SELECT source, stage, split, count(DISTINCT original_id) AS original_records, count(DISTINCT grp) AS groups, count(*) AS decisions FROM units GROUP BY ALL",
@@ -170,13 +170,16 @@ UNION ALL SELECT 'output:' || split || ':' || qtype, count(*) FROM merged WHERE
     "group_leakage": f"SELECT grp, min(s) AS lowest, max(s) AS highest, count(DISTINCT s) AS splits FROM (SELECT grp, lower(regexp_replace(regexp_replace(split, '^{_SPACE}+', ''), '{_SPACE}+$', '')) AS s FROM groups WHERE regexp_matches(split, '{_SOLID}')) GROUP BY grp HAVING min(s) <> max(s)",
     "repeated_ids": "SELECT id, count(*) AS n, min(case_no) AS first_case FROM (SELECT id, case_no FROM cases) GROUP BY id HAVING count(*) > 1",
     "judged_pairs": f"WITH {_JUDGED} SELECT qid, pid, grade, o_orderpriority AS query, p_name AS passage FROM j JOIN orders ON o_orderkey = qid JOIN part ON p_partkey = pid",
-    "unsold_parts": "SELECT p_partkey AS pid, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50 AND l_returnflag = 'A')",
+    "ungraded_documents": "SELECT doc_id, kind FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM doc_grades)",
     "referenced_orders": f"WITH {_JUDGED} SELECT o_orderkey AS qid, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT qid FROM j WHERE grade = 0)",
     "audited_lookup": "SELECT p_name, CASE WHEN p_name IS NULL THEN 'no such part' END AS reason, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_retailprice < 950) ON p_partkey = l_partkey GROUP BY ALL",
     "gold_membership": """WITH gold AS (SELECT p_partkey AS a, string_split(string_split(p_name, ' ')[1] || '##' || p_brand || '##' || p_type, '##') AS g FROM part),
 words AS (SELECT DISTINCT p_partkey AS a, unnest([p_brand, p_type, 'Brand#1', 'red']) AS b FROM part), sold AS (SELECT l_partkey AS a, max((l_quantity > 49)::INT) AS label FROM lineitem GROUP BY 1)
 SELECT label, member, member = label AS agrees, count(*) AS n FROM (SELECT label, list_contains(g, b)::INT AS member FROM words JOIN sold USING (a) JOIN gold USING (a)) GROUP BY ALL""",
     "zipped_lists": "SELECT coalesce(l.key, r.key) AS key, coalesce(l.place, r.place)::INT AS place, n_name, letter FROM (SELECT n_regionkey AS key, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS place, n_name FROM nation) l FULL JOIN (SELECT r_regionkey AS key, generate_subscripts(string_split(r_name, ''), 1) AS place, unnest(string_split(r_name, '')) AS letter FROM region) r ON l.key = r.key AND l.place = r.place",
+    "zipped_slots": """WITH l AS (SELECT raw_no AS key, generate_subscripts(state.slots, 1)::INT AS place, unnest(list_transform(state.slots, lambda x: x.name)) AS slot FROM raw WHERE len(state.slots) > 0),
+k AS (SELECT raw_no, list_sort(json_keys(criteria)) AS c FROM raw WHERE json_type(criteria) = 'OBJECT'), r AS (SELECT raw_no AS key, generate_subscripts(c, 1)::INT AS place, unnest(c) AS criterion FROM k)
+SELECT coalesce(l.key, r.key) AS key, coalesce(l.place, r.place) AS place, slot, criterion FROM l FULL JOIN r ON l.key = r.key AND l.place = r.place""",
     "label_fan_out": "WITH u AS (SELECT user_id, list(DISTINCT event_type) FILTER (value > 40) AS labels FROM events GROUP BY 1), w AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS label_name) SELECT label_name, count(*) FILTER (list_contains(labels, label_name)) AS positive, count(*) AS n FROM u CROSS JOIN w GROUP BY ALL",
     "candidate_groups": "SELECT l_orderkey, count(*) AS candidates, count(*) FILTER (l_returnflag = 'R') AS positives, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1 HAVING candidates = 4 AND positives = 1 AND parts = 4",
     "label_sets": f"SELECT sha256(state.text) AS text_key, type, count(*) AS n, coalesce(string_agg(DISTINCT label, '|' ORDER BY label), '') AS labels, count(DISTINCT label)::INT AS different FROM raw WHERE regexp_matches(state.text, '{_SOLID}') GROUP BY state.text, type HAVING count(*) > 1",
@@ -186,6 +189,7 @@ SELECT label, member, member = label AS agrees, count(*) AS n FROM (SELECT label
     "continued_sessions": f"SELECT event_id, last_value(CASE WHEN event_type <> 'error' THEN event_id END IGNORE NULLS) {_EVENTS} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS continues FROM events",
     "broken_runs": f"SELECT user_id, event_type, sum(c)::BIGINT AS runs FROM (SELECT *, coalesce((lag(event_type) {_EVENTS}) <> event_type)::INT, 1) AS c FROM events) GROUP BY 1, 2 HAVING sum(c) > 1",
     "label_blind_order": """SELECT place::INT AS place, count(*) AS n, sum(l_linenumber)::BIGINT AS numbers FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY sha256('["' || l_partkey || '","' || l_linenumber || '","' || l_suppkey || '"]')) AS place FROM lineitem) GROUP BY 1""",
+    "label_blind_places": """SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY sha256('["' || l_partkey || '","' || l_linenumber || '","' || l_suppkey || '"]'))::INT AS place FROM lineitem""",
     "enumerated_slots": "SELECT raw_no, generate_subscripts(s, 1)::INT AS entry_no, unnest(s) AS slot FROM (SELECT raw_no, list_sort(list_distinct(list_transform(state.slots, lambda x: x.name))) AS s FROM raw WHERE len(state.slots) > 0)",
     "span_checks": "SELECT doc_id, (instr(text, '医生') - 1)::INT AS at, substring(text, instr(text, '医生'), 2) = '医生' AS holds, substring(text, instr(text, '医生') + 1, 2) = '医生' AS shifted FROM documents WHERE contains(text, '医生')",
     "picture_references": "SELECT raw_no FROM raw WHERE regexp_matches(state.text, '如图|下图|见图|化验单|拍片')",
@@ -206,9 +210,21 @@ SELECT label, member, member = label AS agrees, count(*) AS n FROM (SELECT label
 SELECT case_no, reason, len(r)::INT AS n_right, md5(array_to_string(r, ',')) AS right, md5(array_to_string(l, ',')) AS left FROM made""",
     "length_filters": f"WITH {_D}{_LENIENT} SELECT qtype, cap::INT AS cap, count(*) FILTER (len(prompt) + len(body) + 1 <= cap) AS whole, count(*) FILTER (len(prompt) + 1 <= cap) AS prompt FROM (SELECT qtype, prompt, body, unnest([128, 256, 512]) AS cap FROM lenient WHERE reason IS NULL) GROUP BY ALL",
     "padded_batches": f"WITH {_D}{_ITEMS.format(head=120, cap=320)}, own AS (SELECT case_no AS item, len(prefix) + len(body) + 1 AS length, n FROM items WHERE reason IS NULL), {_plan('own', 'item')} SELECT item, batch, max(p.length) OVER (PARTITION BY batch)::INT AS n_ids, max(n) OVER (PARTITION BY batch)::INT AS n_marks, max(p.length) OVER (PARTITION BY batch)::INT AS width FROM plan p JOIN own USING (item)",
+    "padded_sequences": f"""WITH {_D}{_ITEMS.format(head=120, cap=320)}, own AS (SELECT case_no AS item, list_concat(prefix, body[1:room], [2]) AS ids, len(prefix) + len(body) + 1 AS length, n FROM items WHERE reason IS NULL), {_plan('own', 'item')},
+wide AS (SELECT item, ids, n, max(p.length) OVER (PARTITION BY batch) AS width, max(n) OVER (PARTITION BY batch) AS marks FROM plan p JOIN own USING (item))
+SELECT item, md5(array_to_string(list_concat(ids, list_transform(range(width - len(ids)), lambda i: 0)), ',')) AS ids, array_to_string(list_transform(range(marks), lambda i: (i < n)::INT), ',') AS mask FROM wide""",
+    "token_batches": f"""WITH RECURSIVE {_DOCS}, ranked AS (SELECT doc_id, length, row_number() OVER (ORDER BY {_fraction("doc_id::VARCHAR", 5)}, doc_id) - 1 AS rank FROM docs),
+placed AS (SELECT doc_id, length, rank // 1024 AS win, row_number() OVER (PARTITION BY rank // 1024 ORDER BY length, doc_id) AS spot FROM ranked),
+packed AS (SELECT doc_id, length, win, spot, 0::BIGINT AS batch, 0 AS place, length AS width FROM placed WHERE spot = 1
+  UNION ALL
+  SELECT p.doc_id, p.length, p.win, p.spot, CASE WHEN k.width + p.length > 8192 THEN k.batch + 1 ELSE k.batch END, CASE WHEN k.width + p.length > 8192 THEN 0 ELSE k.place + 1 END, CASE WHEN k.width + p.length > 8192 THEN p.length ELSE k.width + p.length END
+  FROM packed k JOIN placed p ON p.win = k.win AND p.spot = k.spot + 1)
+SELECT doc_id, length::BIGINT AS length, win::BIGINT AS window, batch, place::INT AS place FROM packed""",
     "fixed_batches": f"WITH {_DOCS}, {_plan('docs', 'doc_id')} SELECT doc_id, win AS window, batch, place FROM plan",
     "shard_plan": f"WITH {_DOCS}, {_plan('docs', 'doc_id')}, b AS (SELECT DISTINCT batch FROM plan), r AS (SELECT batch, row_number() OVER (ORDER BY {_fraction('batch::VARCHAR', 0)}, batch) - 1 AS rank, count(*) OVER () AS total FROM b) SELECT batch, (rank % 8)::INT AS shard, (rank // 8)::BIGINT AS step, rank // 8 < total // 8 AS even FROM r",
     "seeded_subset": f"SELECT doc_id FROM documents ORDER BY {_fraction('doc_id::VARCHAR', 9)}, doc_id LIMIT 100",
+    "temperature_losses": f"""WITH {_P.format(t='1.0::DOUBLE')}, ts AS (SELECT unnest([0.25, 0.5, 0.8, 1.0, 1.25, 2.0, 4.0, 8.0])::DOUBLE AS temperature)
+SELECT qtype, temperature, round(avg(ln(list_sum(list_transform(logits, lambda x: exp((x - list_max(logits)) / temperature)))) + list_max(logits) / temperature - list_sum(list_transform(logits, lambda x, i: target[i] * x)) / temperature), 8) AS loss FROM scored CROSS JOIN ts GROUP BY ALL""",
     "softmax_scores": f"WITH {_P.format(t=_T)} SELECT vec_id, qtype, round(confidence, 9) AS confidence, correct, round(log_score, 9) AS log_score FROM scored",
     "evaluation": f"WITH {_P.format(t='1.0::DOUBLE')} SELECT coalesce(qtype, 'all') AS qtype, count(*) AS items, round(avg(correct), 8) AS accuracy, round(avg(log_score), 8) AS mean_log_score, round(avg(confidence), 8) AS mean_confidence FROM scored GROUP BY GROUPING SETS ((), (qtype))",
     "calibration_error": f"WITH {_P.format(t='1.0::DOUBLE')}, b AS (SELECT qtype, greatest(1, ceil(confidence * 15)) AS bin, count(*) AS n, avg(confidence) AS c, avg(correct) AS a FROM scored GROUP BY ALL) SELECT qtype, round(sum(n * abs(c - a)) / sum(n), 8) AS ece FROM b GROUP BY qtype",

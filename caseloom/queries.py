@@ -161,11 +161,10 @@ def connected_components(spark, sf_dir):
 
 
 @query
-def order_components(spark, sf_dir):
-    """Suppliers tied by an order to which both sent a large returned lot."""
-    lines = _table(spark, sf_dir, "lineitem")
-    members = lines.where("l_quantity >= 49 and l_returnflag = 'R'").select(F.col("l_suppkey").cast("string").alias("grp"), F.col("l_orderkey").cast("string").alias("anchor"))
-    return G.connected_groups(members, Scratch(spark, "orders")).groupBy("root").agg(F.count(F.lit(1)).alias("suppliers"))
+def record_components(spark, sf_dir):
+    """Raw parents tied by records that were delivered under both, over all deliveries."""
+    members = _table(spark, sf_dir, "raw").select("grp", F.col("id").alias("anchor"))
+    return G.connected_groups(members, Scratch(spark, "records"))
 
 
 @query
@@ -223,10 +222,9 @@ def judged_pairs(spark, sf_dir):
 
 
 @query
-def unsold_parts(spark, sf_dir):
-    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pid"), "p_name")
-    sold = _table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_returnflag = 'A'").select(F.col("l_partkey").alias("pid"))
-    return J.missing_references(parts, sold.distinct(), "pid")
+def ungraded_documents(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "kind")
+    return J.missing_references(documents, _table(spark, sf_dir, "doc_grades").select("doc_id").distinct(), "doc_id")
 
 
 @query
@@ -263,6 +261,16 @@ def zipped_lists(spark, sf_dir):
     return J.zipped_by_place(left, right, "key", "place")
 
 
+@query
+def zipped_slots(spark, sf_dir):
+    """Names of slots and the sorted criteria of their records, by place; either list may be longer."""
+    raw = _table(spark, sf_dir, "raw")
+    names = raw.select(F.col("raw_no").alias("key"), F.posexplode("state.slots.name").alias("at", "slot"))
+    keys = raw.select(F.col("raw_no").alias("key"), F.posexplode(F.array_sort(F.json_object_keys("criteria"))).alias("at", "criterion"))
+    placed = lambda df, c: df.select("key", (F.col("at") + 1).alias("place"), c)
+    return J.zipped_by_place(placed(names, "slot"), placed(keys, "criterion"), "key", "place")
+
+
 @query
 def label_fan_out(spark, sf_dir):
     events = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(F.when(F.col("value") > 40, F.col("event_type"))).alias("labels"))
@@ -324,6 +332,13 @@ def label_blind_order(spark, sf_dir):
     return W.label_blind_order(lines, "l_orderkey", "a", "b", "c").groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("numbers"))
 
 
+@query
+def label_blind_places(spark, sf_dir):
+    """The place of every line, which :func:`label_blind_order` only sums."""
+    lines = _table(spark, sf_dir, "lineitem").withColumns({"a": F.col("l_partkey").cast("string"), "b": F.col("l_linenumber").cast("string"), "c": F.col("l_suppkey").cast("string")})
+    return W.label_blind_order(lines, "l_orderkey", "a", "b", "c").select("l_orderkey", "l_linenumber", "place")
+
+
 @query
 def enumerated_slots(spark, sf_dir):
     raw = _table(spark, sf_dir, "raw").where("size(state.slots) > 0")
@@ -447,8 +462,7 @@ def length_filters(spark, sf_dir):
     return each.groupBy("qtype", "cap").agg(F.count_if(F.col("p") + F.col("s") + 1 <= F.col("cap")).alias("whole"), F.count_if(F.col("p") + 1 <= F.col("cap")).alias("prompt"))
 
 
-@query
-def padded_batches(spark, sf_dir):
+def _padded(spark, sf_dir):
     rows = T.strict_items(_states(spark, sf_dir), T.character_tokens(), 320, 120).where("reason is null").select(F.col("case_no").alias("item"), "ids", "markers", F.size("ids").alias("length"))
     rows = Scratch(spark, "items").keep(rows, "items")
     plan = B.fixed_batches(rows.select("item", "length"), "item", "length", 16, 5)
@@ -457,8 +471,18 @@ def padded_batches(spark, sf_dir):
 
     width = F.max("length").over(Window.partitionBy("batch"))
     wide = joined.withColumns({"width": width, "marks": F.max(F.size("markers")).over(Window.partitionBy("batch"))})
-    out = wide.select("item", "batch", "width", T.padded(F.col("ids"), F.col("width"), 0).alias("ids"), T.marker_mask(F.col("markers"), F.col("marks")).alias("mask"))
-    return out.select("item", "batch", F.size("ids").alias("n_ids"), F.size("mask").alias("n_marks"), "width")
+    return wide.select("item", "batch", "width", T.padded(F.col("ids"), F.col("width"), 0).alias("ids"), T.marker_mask(F.col("markers"), F.col("marks")).alias("mask"))
+
+
+@query
+def padded_batches(spark, sf_dir):
+    return _padded(spark, sf_dir).select("item", "batch", F.size("ids").alias("n_ids"), F.size("mask").alias("n_marks"), "width")
+
+
+@query
+def padded_sequences(spark, sf_dir):
+    """The padded ids and masks themselves, by digest."""
+    return _padded(spark, sf_dir).select("item", _shown(F.col("ids")).alias("ids"), F.array_join(F.col("mask").cast("array<string>"), ",").alias("mask"))
 
 
 @query
@@ -523,6 +547,13 @@ def proper_rewards(spark, sf_dir):
     return rows.select("vec_id", F.round(D.proper_reward(F.col("qtype"), F.col("probabilities"), F.col("target")), 8).alias("reward"), F.round(D.entropy_confidence(F.col("probabilities")), 8).alias("entropy_confidence"))
 
 
+@query
+def temperature_losses(spark, sf_dir):
+    """The loss that :func:`fitted_temperatures` minimizes, at fixed temperatures."""
+    found = S.temperature_losses(_predictions(spark, sf_dir), [0.25, 0.5, 0.8, 1.0, 1.25, 2.0, 4.0, 8.0])
+    return found.withColumn("loss", F.round("loss", 8))
+
+
 @query
 def fitted_temperatures(spark, sf_dir):
     fitted = S.fit_temperatures(_predictions(spark, sf_dir))
