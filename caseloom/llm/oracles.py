@@ -44,7 +44,13 @@ JOIN (
     FROM groups LEFT JOIN (SELECT DISTINCT group_key, component_no FROM named WHERE group_key IS NOT NULL) ON group_key = grp WHERE grp IS NOT NULL)
   WHERE split <> '' GROUP BY component HAVING count(DISTINCT split) > 1) t ON t.component = r.component"""
 
+# A component's place in [0, 1) falls into fixed ranges; the ends are summed as the operator sums them.
+_SPLITS = """SELECT DISTINCT group_key, component_no, CASE WHEN n < 0.8 THEN 'train' WHEN n < 0.9 THEN 'validation' ELSE 'test' END AS split
+FROM (SELECT *, ('0x' || substr(sha256('0:' || component_no), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS n FROM named WHERE group_key IS NOT NULL)"""
+
 SQL = {
+    "p5_splits": _COMPONENTS.format(select=_SPLITS),
+    "p8_placed": "SELECT doc_id, true AS whole, 2048 AS capacity FROM documents WHERE text <> ''",
     "p1_sample_raw": _SAMPLE.format(keep="raw_no, id", id="id", row="raw_no::VARCHAR", table="raw", names="raw_no, id"),
     "p1_sample_cases": _SAMPLE.format(keep="case_no, _meta.group_key AS group_key", id="_meta.group_key", row="case_no::VARCHAR", table="cases", names="case_no, group_key"),
     "p3_components": _COMPONENTS.format(select="SELECT case_no, component_no FROM named"),

@@ -111,3 +111,16 @@ def pack_tokens(documents: DataFrame, scratch: Scratch, capacity: int = 2048, pa
     met = ranked.join(F.broadcast(entries), (F.col("tokens") == F.col("size")) & (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("each") * F.col("count")))
     container = F.col("first") + F.floor((F.col("rank") - F.col("start")) / F.col("each"))
     return met.select("doc_id", "piece", "first_token", "tokens", container.cast("long").alias("container_no"))
+
+
+def placed(documents: DataFrame, scratch: Scratch, capacity: int = 2048, path: str = VOCABULARY) -> DataFrame:
+    """``(doc_id, whole)`` of every packed document: whether its pieces follow each other from its first token to its
+    last, are no more than it needs, and lie in containers that hold no more than the capacity. Ids are unique."""
+    rows = scratch.keep(pack_tokens(documents, scratch, capacity, path), "packed")
+    sizes = scratch.spark.read.parquet(f"{scratch.root}/sizes").select("doc_id", F.col("tokens").alias("size"))
+    loads = rows.groupBy("container_no").agg(F.sum("tokens").alias("load"))
+    told = rows.join(loads, "container_no").groupBy("doc_id").agg(
+        F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.max(F.col("first_token") + F.col("tokens")).alias("end"), F.max("load").alias("load"), F.bool_and(F.col("first_token") == F.col("piece") * capacity).alias("in_turn")
+    )
+    whole = (F.col("tokens") == F.col("size")) & (F.col("end") == F.col("size")) & (F.col("pieces") == F.ceil(F.col("size") / capacity)) & (F.col("load") <= capacity) & F.col("in_turn")
+    return sizes.join(told, "doc_id", "left").select("doc_id", F.coalesce(whole, F.lit(False)).alias("whole"))

@@ -81,6 +81,12 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_tokens(_table(spark, sf_dir, "documents"), Scratch(spark, "p8"))
 
 
+def p8_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for every document with a text: its pieces follow each other from its first token to its last, only
+    one longer than a container is cut, and no container of its holds more than its capacity."""
+    return packing.placed(_table(spark, sf_dir, "documents"), Scratch(spark, "p8")).select("doc_id", "whole", F.lit(2048).alias("capacity"))
+
+
 def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return levels.reading_levels(documents, levels.fit_levels(documents, _table(spark, sf_dir, "doc_grades")))
@@ -93,7 +99,7 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_sample_raw, p1_sample_cases, p2_forms, p2_found, p3_components, p3_found, p4_groups, p4_found, p5_splits, p5_found, p6_records, p6_found, p7_ids, p8_containers, p9_levels, p9_profile)
+    found = (p1_sample_raw, p1_sample_cases, p2_forms, p2_found, p3_components, p3_found, p4_groups, p4_found, p5_splits, p5_found, p6_records, p6_found, p7_ids, p8_containers, p8_placed, p9_levels, p9_profile)
     return {f.__name__: f for f in found}
 
 
