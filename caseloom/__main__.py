@@ -1,4 +1,4 @@
-"""Command line: list-adapters, init, build, verify, stats, tokenize, evaluate."""
+"""Command line: list-adapters, init, build, verify, stats, tokenize, prepare, calibrate, evaluate."""
 
 from __future__ import annotations
 
@@ -15,6 +15,16 @@ def _session(name: str):
     return SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+def _setting(text: str) -> tuple[str, object]:
+    name, found, value = text.partition("=")
+    if not found:
+        raise SystemExit(f"--set {text}: NAME=VALUE is needed")
+    try:
+        return name, json.loads(value)
+    except json.JSONDecodeError:
+        return name, value
+
+
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="caseloom", description=__doc__)
     verbs = parser.add_subparsers(dest="verb", required=True)
@@ -37,6 +47,16 @@ def main(args: list[str] | None = None) -> int:
     evaluate = verbs.add_parser("evaluate")
     evaluate.add_argument("predictions", help="Parquet table with split, qtype, logits and target")
     evaluate.add_argument("--calibrate-on", default="calibration", help="split that the temperatures are fitted on")
+    evaluate.add_argument("--calibration", help="file of a calibrate run, whose temperatures are taken")
+    prepare = verbs.add_parser("prepare")
+    prepare.add_argument("config", help="settings of a run in JSON")
+    prepare.add_argument("output")
+    prepare.add_argument("--set", action="append", default=[], dest="changes", metavar="NAME=VALUE", help="a setting in place of the file's; the value is JSON, or else a text")
+    calibrate = verbs.add_parser("calibrate")
+    calibrate.add_argument("predictions")
+    calibrate.add_argument("output", help="file for the temperatures")
+    calibrate.add_argument("--on", default="calibration")
+    calibrate.add_argument("--most", type=int, default=2_000)
     chosen = parser.parse_args(args)
     if chosen.verb == "list-adapters":
         from .sources.adapters import Registry
@@ -72,10 +92,21 @@ def main(args: list[str] | None = None) -> int:
         spark = _session("caseloom tokenize")
         tok = library_tokens(chosen.tokenizer, *chosen.special) if chosen.tokenizer else character_tokens()
         write_items(read_cases(spark, chosen.folder), tok, chosen.head, chosen.output)
+    elif chosen.verb == "prepare":
+        from .plans.prepare import prepare as run_prepare
+
+        config = json.loads(Path(chosen.config).read_text(encoding="utf-8")) | dict(_setting(x) for x in chosen.changes)
+        print(json.dumps(run_prepare(_session("caseloom prepare"), config, str(Path(chosen.output).resolve())), ensure_ascii=False, indent=2))
+    elif chosen.verb == "calibrate":
+        from .plans.prepare import calibration
+
+        found = calibration(_session("caseloom calibrate").read.parquet(chosen.predictions), chosen.on, chosen.most)
+        Path(chosen.output).write_text(json.dumps(found, ensure_ascii=False, indent=2), encoding="utf-8")
     elif chosen.verb == "evaluate":
         from .plans.prepare import evaluation_report
 
-        print(json.dumps(evaluation_report(_session("caseloom evaluate").read.parquet(chosen.predictions), chosen.calibrate_on), ensure_ascii=False, indent=2))
+        known = json.loads(Path(chosen.calibration).read_text(encoding="utf-8"))["temperatures"] if chosen.calibration else None
+        print(json.dumps(evaluation_report(_session("caseloom evaluate").read.parquet(chosen.predictions), chosen.calibrate_on, known), ensure_ascii=False, indent=2))
     else:
         from .plans.prepare import length_report
 

@@ -110,3 +110,10 @@ def log_sum_exp_loss(logits: Column, target: Column, log_temperature: Column) ->
     top = F.array_max(scaled)
     norm = top + F.log(total(F.transform(scaled, lambda x: F.exp(x - top))))
     return norm * total(target) - total(F.zip_with(target, scaled, lambda t, x: t * x))
+
+
+def two_largest(probabilities: Column) -> Column:
+    """struct(first, second, margin): the two largest probabilities and how far apart they are; null for fewer than two."""
+    order = F.sort_array(probabilities, asc=False)
+    first, second = F.get(order, F.lit(0)), F.get(order, F.lit(1))
+    return F.when(F.size(probabilities) > 1, F.struct(first.alias("first"), second.alias("second"), (first - second).alias("margin")))

@@ -40,6 +40,13 @@ def fixed_batches(items: DataFrame, item: str, length: str, size: int, seed: int
     return placed.select(item, length, "window", batch.cast("long").alias("batch"), (F.col("_place") % size).cast("int").alias("place"))
 
 
+def epoch_order(plan: DataFrame, batch: str, seed: int, epoch: int) -> DataFrame:
+    """Each row of a plan with ``step``, the place of its batch in an epoch: batches are shuffled by the hash of their
+    number with the seed and the epoch, the items in them stay."""
+    numbers = global_rank(plan.select(batch).distinct(), X.hash_fraction(F.concat_ws(":", F.lit(str(epoch)), F.col(batch).cast("string")), seed), batch)
+    return plan.join(numbers.withColumnRenamed("rank", "step"), batch)
+
+
 def token_batches(items: DataFrame, item: str, length: str, cap: int, window: int, seed: int) -> DataFrame:
     """``(item, window, batch, place)`` under a cap of tokens in a batch: within a window of hash order, items sorted
     by length are packed greedily. A running sum that starts again isn't a window function, so each window, of fixed

@@ -221,8 +221,10 @@ packed AS (SELECT doc_id, length, win, spot, 0::BIGINT AS batch, 0 AS place, len
   FROM packed k JOIN placed p ON p.win = k.win AND p.spot = k.spot + 1)
 SELECT doc_id, length::BIGINT AS length, win::BIGINT AS window, batch, place::INT AS place FROM packed""",
     "fixed_batches": f"WITH {_DOCS}, {_plan('docs', 'doc_id')} SELECT doc_id, win AS window, batch, place FROM plan",
+    "epoch_batches": f"WITH {_DOCS}, {_plan('docs', 'doc_id')}, b AS (SELECT DISTINCT batch FROM plan), r AS (SELECT batch, row_number() OVER (ORDER BY {_fraction("'2:' || batch::VARCHAR", 5)}, batch) - 1 AS step FROM b) SELECT doc_id, batch, place, step FROM plan JOIN r USING (batch)",
     "shard_plan": f"WITH {_DOCS}, {_plan('docs', 'doc_id')}, b AS (SELECT DISTINCT batch FROM plan), r AS (SELECT batch, row_number() OVER (ORDER BY {_fraction('batch::VARCHAR', 0)}, batch) - 1 AS rank, count(*) OVER () AS total FROM b) SELECT batch, (rank % 8)::INT AS shard, (rank // 8)::BIGINT AS step, rank // 8 < total // 8 AS even FROM r",
     "seeded_subset": f"SELECT doc_id FROM documents ORDER BY {_fraction('doc_id::VARCHAR', 9)}, doc_id LIMIT 100",
+    "two_largest": f"WITH {_P.format(t='1.0::DOUBLE')}, o AS (SELECT vec_id, list_reverse_sort(p) AS o FROM scored) SELECT vec_id, round(o[1], 8) AS first, round(o[2], 8) AS second, round(o[1] - o[2], 8) AS margin FROM o",
     "temperature_losses": f"""WITH {_P.format(t='1.0::DOUBLE')}, ts AS (SELECT unnest([0.25, 0.5, 0.8, 1.0, 1.25, 2.0, 4.0, 8.0])::DOUBLE AS temperature)
 SELECT qtype, temperature, round(avg(ln(list_sum(list_transform(logits, lambda x: exp((x - list_max(logits)) / temperature)))) + list_max(logits) / temperature - list_sum(list_transform(logits, lambda x, i: target[i] * x)) / temperature), 8) AS loss FROM scored CROSS JOIN ts GROUP BY ALL""",
     "softmax_scores": f"WITH {_P.format(t=_T)} SELECT vec_id, qtype, round(confidence, 9) AS confidence, correct, round(log_score, 9) AS log_score FROM scored",

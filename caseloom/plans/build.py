@@ -108,6 +108,7 @@ def build_release(spark: SparkSession, config: Mapping, base: str, output: str,
     inputs = readers.file_inventory(spark, [f"{base}/{p}" for p in dict.fromkeys(listed)]).collect()
     manifest = {
         "format_version": 1,
+        "files": _split_files(spark, staging),
         "config": dict(config),
         "inputs": sorted(({"file": r.path.rsplit("/", 1)[-1], "bytes": r.bytes, "sha256": r.sha256} for r in inputs), key=lambda x: x["file"]),
         "counts": counters,
@@ -116,9 +117,7 @@ def build_release(spark: SparkSession, config: Mapping, base: str, output: str,
         "source_units": [r.asDict() for r in units.orderBy("source", "stage", "split").collect()],
         "adapter_sha256": {"adapters": hashlib.sha256(Path(__file__).parents[1].joinpath("sources/adapters.py").read_bytes()).hexdigest()},
     }
-    stream = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{staging}/manifest.json"))
-    stream.write(bytearray(json.dumps(manifest, ensure_ascii=False, indent=2).encode()))
-    stream.close()
+    _write_json(spark, f"{staging}/manifest.json", manifest)
     if not fs.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging), fs_path):
         raise OSError(f"{output} can't be made")
     scratch.close()
@@ -169,13 +168,44 @@ def release_problems(cases: DataFrame) -> DataFrame:
     return found.groupBy("problem").agg(one.alias("n"))
 
 
-def verify_release(spark: SparkSession, folder: str) -> dict:
-    """Reads a release again and returns its report; raises where it isn't sound."""
+def _split_files(spark: SparkSession, folder: str) -> list[dict]:
+    """Case files of a folder with their sizes and digests, in order."""
+    files = readers.file_inventory(spark, [f"{folder}/{s}/part-*" for s in M.SPLITS]).collect()
+    return sorted(({"file": "/".join(r.path.rsplit("/", 2)[1:]), "bytes": r.bytes, "sha256": r.sha256} for r in files), key=lambda x: x["file"])
+
+
+def _write_json(spark: SparkSession, path: str, value: Mapping) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    stream.write(bytearray(json.dumps(value, ensure_ascii=False, indent=2).encode()))
+    stream.close()
+
+
+def release_counts(cases: DataFrame) -> dict[str, int]:
+    """Cases by split, and in each by kind, source family and task family, in one pass over grouping sets."""
+    table = C.explode_decisions(cases).select("file_split", "qtype", F.element_at("_meta", F.lit("source_family")).alias("source"), F.element_at("_meta", F.lit("task_family")).alias("task"))
+    names = {"split": [], "type": ["qtype"], "source": ["source"], "task": ["task"]}
+    sets = [[F.col("file_split"), *[F.col(c) for c in more]] for more in names.values()]
+    rows = table.groupingSets(sets, "file_split", "qtype", "source", "task").agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n")).collect()
+    kinds = {7: "split", 3: "type", 5: "source", 6: "task"}  # bits of qtype, source and task that are summed over
+    return dict(sorted((":".join([kinds[r.g], *[x for x in (r.file_split, r.qtype, r.source, r.task) if x is not None]]), r.n) for r in rows))
+
+
+def verify_release(spark: SparkSession, folder: str, write_report: bool = True) -> dict:
+    """Reads a release again and returns its report, which is also written beside it; raises where it isn't sound, or
+    where a file isn't the one that its manifest names."""
     cases = read_cases(spark, folder)
     problems = {r.problem: r.n for r in release_problems(cases).collect()}
     if problems:
         raise ValueError("; ".join(f"{k}: {v}" for k, v in sorted(problems.items())))
-    counts = {f"split:{r.file_split}": r.n for r in cases.groupBy("file_split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    files = _split_files(spark, folder)
+    manifest = json.loads(spark.read.text(f"{folder}/manifest.json", wholetext=True).first()[0])
+    told, there = ({f["file"]: f["sha256"] for f in x} for x in (manifest["files"], files))
+    changed = sorted(k for k in told.keys() | there.keys() if told.get(k) != there.get(k))
+    if changed:
+        raise ValueError(f"files that aren't those of the manifest: {', '.join(changed[:5])}")
     totals = cases.agg(F.count_distinct("id").alias("ids"), F.count_distinct(F.element_at("_meta", F.lit("group_key"))).alias("groups")).first()
-    files = readers.file_inventory(spark, [f"{folder}/{s}/part-*" for s in M.SPLITS]).orderBy("path").collect()
-    return {"format_version": 1, "status": "verified", "counts": counts, "unique_ids": totals.ids, "unique_groups": totals.groups, "files": [{"file": "/".join(r.path.rsplit("/", 2)[1:]), "bytes": r.bytes, "sha256": r.sha256} for r in files]}
+    report = {"format_version": 1, "status": "verified", "counts": release_counts(cases), "unique_ids": totals.ids, "unique_groups": totals.groups, "files": files}
+    if write_report:
+        _write_json(spark, f"{folder}/verification.json", report)
+    return report

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,9 @@ from ..operators import cases as C
 from ..operators import compiling as T
 from ..operators import lengths as L
 from ..operators import scoring as S
-from .build import read_cases
+from .build import _write_json, read_cases
+from .config import check_run, reusable_cache
+from .shared import Scratch
 
 
 def decision_table(cases: DataFrame) -> DataFrame:
@@ -64,10 +67,44 @@ def dataset_descriptor(spark: SparkSession, items: str, config: dict, fingerprin
     return {"items": kinds, "longest_prompt": longest.prompt, "longest_state": longest.state, "tokenizer": fingerprint, "config": filled}
 
 
-def evaluation_report(predictions: DataFrame, calibrate_on: str = "calibration") -> dict:
-    """Temperatures fitted on one split's predictions ``(split, qtype, logits, target)``, and what they give on the
-    others: items, accuracy, mean log score and confidence, calibration error, by split and kind."""
-    temperatures = S.fit_temperatures(predictions.where(F.col("split") == calibrate_on))
+def prepare(spark: SparkSession, config: dict, output: str, tok: T.Tokens | None = None, fingerprint: str = "characters") -> dict:
+    """Items of a run's releases with their manifest and descriptor; an output that was prepared with equal settings is
+    used again, another one is refused.
+
+    ``config`` is a run's (:func:`check_run`): ``dataset`` names folders of releases under ``releases``, and parameters
+    of theirs. ``head_max_len`` counts for the prompts."""
+    check_run(config)
+    if config.get("dataset") is None:
+        raise ValueError("a run is prepared from dataset; dataset_info names one that is")
+    head = config.get("head_max_len") or 192
+    manifest = {"head_max_len": config.get("head_max_len"), "adapter_params": dict(config["dataset"]), "tokenizer": fingerprint}
+    scratch = Scratch(spark, "prepare", output)
+    if scratch.has("manifest.json"):
+        known = json.loads(spark.read.text(f"{output}/manifest.json", wholetext=True).first()[0])
+        if known.get("tokenizer") != fingerprint or not reusable_cache(known, {"head_max_len": config.get("head_max_len"), "adapter_params": config["dataset"]}):
+            raise FileExistsError(f"{output} was prepared with other settings")
+        return json.loads(spark.read.text(f"{output}/dataset.json", wholetext=True).first()[0])
+    releases = config["dataset"]["releases"]
+    cases = reduce(DataFrame.unionByName, [read_cases(spark, r) for r in ([releases] if isinstance(releases, str) else releases)])
+    write_items(cases, tok or T.character_tokens(), head, output)
+    descriptor = dataset_descriptor(spark, output, {"head_max_len": config.get("head_max_len"), "max_len": config.get("max_len")}, fingerprint)
+    _write_json(spark, f"{output}/dataset.json", descriptor)
+    _write_json(spark, f"{output}/manifest.json", manifest)  # last: the output is whole
+    return descriptor
+
+
+def calibration(predictions: DataFrame, calibrate_on: str = "calibration", most: int = 2_000) -> dict:
+    """Temperatures fitted on at most ``most`` predictions of a split, those with the smallest hashes, with how many of
+    each kind there were."""
+    chosen = predictions.where(F.col("split") == calibrate_on).orderBy(F.xxhash64("qtype", "logits", "target")).limit(most)
+    counts = {r.qtype: r.n for r in chosen.groupBy("qtype").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {"split": calibrate_on, "items": counts, "temperatures": S.fit_temperatures(chosen)}
+
+
+def evaluation_report(predictions: DataFrame, calibrate_on: str = "calibration", temperatures: dict[str, float] | None = None) -> dict:
+    """Temperatures given, or fitted on one split's predictions ``(split, qtype, logits, target)``, and what they give on
+    the others: items, accuracy, mean log score and confidence, calibration error, by split and kind."""
+    temperatures = temperatures or S.fit_temperatures(predictions.where(F.col("split") == calibrate_on))
     scored = S.with_temperatures(predictions.where(F.col("split") != calibrate_on), temperatures)
     errors = {(r.split, r.qtype): r.ece for by in ((), ("qtype",)) for r in _with_kind(S.calibration_error(scored, "split", *by)).collect()}
     out: dict = {"temperatures": temperatures, "splits": {}}

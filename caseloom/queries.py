@@ -497,6 +497,13 @@ def token_batches(spark, sf_dir):
     return B.token_batches(documents, "doc_id", "length", 8192, 1024, 5)
 
 
+@query
+def epoch_batches(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("length"))
+    plan = B.fixed_batches(documents, "doc_id", "length", 16, 5)
+    return B.epoch_order(plan, "batch", 5, 2).select("doc_id", "batch", "place", "step")
+
+
 @query
 def shard_plan(spark, sf_dir):
     documents = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("length"))
@@ -547,6 +554,12 @@ def proper_rewards(spark, sf_dir):
     return rows.select("vec_id", F.round(D.proper_reward(F.col("qtype"), F.col("probabilities"), F.col("target")), 8).alias("reward"), F.round(D.entropy_confidence(F.col("probabilities")), 8).alias("entropy_confidence"))
 
 
+@query
+def two_largest(spark, sf_dir):
+    rows = S.scored(_predictions(spark, sf_dir)).select("vec_id", D.two_largest(F.col("probabilities")).alias("t"))
+    return rows.select("vec_id", *[F.round(F.col("t")[c], 8).alias(c) for c in ("first", "second", "margin")])
+
+
 @query
 def temperature_losses(spark, sf_dir):
     """The loss that :func:`fitted_temperatures` minimizes, at fixed temperatures."""

@@ -252,6 +252,17 @@ def read_release(spark: SparkSession, folder: str, split: str) -> DataFrame:
     return read_lines(spark, there)
 
 
+def read_split(spark: SparkSession, root: str, split: str, template: str = "{split}.cases.jsonl.gz", limit: int | None = None) -> DataFrame:
+    """Non-blank lines of the file that a template names for a split, packed or not by its suffix; with ``limit`` the
+    first so many of them. A split without a file stops the read."""
+    path = f"{root}/{template.format(split=split)}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        raise FileNotFoundError(f"split {split}: {path}")
+    lines = read_lines(spark, path)
+    return lines if limit is None else lines.orderBy("line").limit(limit)
+
+
 def file_inventory(spark: SparkSession, paths: Paths) -> DataFrame:
     """``(path, bytes, sha256)`` of every file."""
     files = spark.read.format("binaryFile").load(_list(paths))

@@ -249,8 +249,8 @@ def config(**changes):
 @pytest.mark.parametrize(
     "bad, message",
     [
-        ({"format_version": 2}, "format_version"), ({"sources": []}, "sources"), ({"source": {"task_family": ""}}, "task_family"), ({"hf_token": "x"}, "sensitive field"),
-        ({"source": {"paths": ["/etc/x"]}}, "config directory"), ({"source": {"paths": ["../x"]}}, "config directory"), ({"source": {"paths": ["C:\\x"]}}, "config directory"),
+        ({"format_version": 2}, "format_version"), ({"sources": []}, "sources"), ({"source": {"task_family": ""}}, "task_family"), ({"mirror": {"proxy_password": ""}}, "secret"),
+        *[({"source": {"paths": [p]}}, "leads out") for p in ("/srv/raw.jsonl", "a/../../raw.jsonl", "sub\\..\\raw.jsonl", "D:raw.jsonl", "\\\\host\\raw.jsonl", "", None)],
         ({"source": {"url": "https://u:p@e.org"}}, "credentials"), ({"test_fraction": 1.0}, "fractions"), ({"prepartitioned": True}, "prepartitioned"), ({"source": {"paths": ["a/x.j", "b/x.j"]}}, "one name"),
     ],
 )
@@ -603,3 +603,55 @@ def test_pairs_of_several_relations(spark):
     spans = [{"start": 0, "end": 9, "type": "x"}, {"start": 0, "end": 1, "type": "w"}, {"start": 0, "end": 1, "type": "x"}]
     rows = _rows(spark, "psyqa_strategy", {"question": "q", "description": "d", "answers": [{"has_label": True, "answer_text": "abcd", "labels_sequence": spans}, {"has_label": False, "answer_text": "e"}]}, {"labels": ["x", "y"]})
     assert [r.reason for r in rows] == ["span out of the answer", "unknown strategy", None, "answer without strategies"]
+
+
+def test_verification_holds_files_against_the_manifest(spark, tmp_path):
+    write(tmp_path / "raw.jsonl", "\n".join(json.dumps(RECORD | {"id": f"r{i}", "group": f"g{i}", "state": {"text": f"患者 {i}"}}, ensure_ascii=False) for i in range(12)))
+    out = tmp_path / "release"
+    P.build_release(spark, config(), str(tmp_path), str(out))
+    report = P.verify_release(spark, str(out))
+    assert json.loads((out / "verification.json").read_text()) == report
+    counts = report["counts"]
+    assert sum(n for k, n in counts.items() if k.startswith("split:")) == 12 == sum(n for k, n in counts.items() if k.startswith("type:"))
+    assert {k.split(":")[0] for k in counts} == {"split", "type", "source", "task"} and all(k.endswith((":noul", ":f", ":t")) for k in counts if not k.startswith("split:"))
+    part = next(p for p in (out / "train").glob("part-*") if p.stat().st_size)
+    part.with_name("." + part.name + ".crc").unlink(missing_ok=True)
+    part.write_bytes(part.read_bytes() + b"\n")
+    with pytest.raises(ValueError, match="aren't those of the manifest"):
+        P.verify_release(spark, str(out))
+
+
+def test_prepared_runs(spark, tmp_path):
+    from caseloom.plans.prepare import calibration, evaluation_report, prepare
+
+    write(tmp_path / "raw.jsonl", "\n".join(json.dumps(RECORD | {"id": f"r{i}", "group": f"g{i}", "state": {"text": f"患者 {i}"}}, ensure_ascii=False) for i in range(9)))
+    P.build_release(spark, config(), str(tmp_path), str(tmp_path / "release"))
+    run = {"dataset": {"releases": str(tmp_path / "release")}, "head_max_len": 64}
+    made = prepare(spark, run, str(tmp_path / "items"))
+    assert sum(made["items"].values()) == 9 and made["config"] == {"head_max_len": 64, "max_len": made["config"]["max_len"]} and made["config"]["max_len"] > 0
+    assert prepare(spark, run, str(tmp_path / "items")) == made  # used again
+    with pytest.raises(FileExistsError):
+        prepare(spark, run | {"head_max_len": 80}, str(tmp_path / "items"))
+    rows = [(s, "choice", [3.0 * (i % 2), 1.0], [1.0, 0.0] if i % 3 else [0.0, 1.0]) for i in range(60) for s in ("calibration", "test")]
+    predictions = spark.createDataFrame(rows, "split string, qtype string, logits array<double>, target array<double>")
+    found = calibration(predictions)
+    assert found["items"] == {"choice": 60} and calibration(predictions, most=30)["items"] == {"choice": 30}
+    assert evaluation_report(predictions, temperatures=found["temperatures"])["temperatures"] == found["temperatures"]
+
+
+def test_first_lines_of_a_split(spark, tmp_path):
+    with gzip.open(tmp_path / "train.cases.jsonl.gz", "wt") as f:
+        f.write("a\n\nb\nc\n")
+    assert [r.value for r in R.read_split(spark, str(tmp_path), "train", limit=2).orderBy("line").collect()] == ["a", "b"]
+    write(tmp_path / "train.txt", "x\ny\n")
+    assert R.read_split(spark, str(tmp_path), "train", "{split}.txt").count() == 2
+    with pytest.raises(FileNotFoundError):
+        R.read_split(spark, str(tmp_path), "test")
+
+
+def test_settings_on_the_command_line():
+    from caseloom.__main__ import _setting
+
+    assert [_setting(x) for x in ("a=1", "b=x=y", 'c=["z"]', "d=null")] == [("a", 1), ("b", "x=y"), ("c", ["z"]), ("d", None)]
+    with pytest.raises(SystemExit):
+        _setting("a")
