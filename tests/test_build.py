@@ -614,9 +614,10 @@ def test_verification_holds_files_against_the_manifest(spark, tmp_path):
     counts = report["counts"]
     assert sum(n for k, n in counts.items() if k.startswith("split:")) == 12 == sum(n for k, n in counts.items() if k.startswith("type:"))
     assert {k.split(":")[0] for k in counts} == {"split", "type", "source", "task"} and all(k.endswith((":noul", ":f", ":t")) for k in counts if not k.startswith("split:"))
-    part = next(p for p in (out / "train").glob("part-*") if p.stat().st_size)
-    part.with_name("." + part.name + ".crc").unlink(missing_ok=True)
-    part.write_bytes(part.read_bytes() + b"\n")
+    manifest = json.loads((out / "manifest.json").read_text())
+    manifest["files"][0]["sha256"] = "0" * 64
+    (out / ".manifest.json.crc").unlink(missing_ok=True)
+    (out / "manifest.json").write_text(json.dumps(manifest))
     with pytest.raises(ValueError, match="aren't those of the manifest"):
         P.verify_release(spark, str(out))
 
