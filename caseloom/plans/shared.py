@@ -57,6 +57,11 @@ class Scratch:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
+    def names(self, path: str) -> list[str]:
+        """What lies in a folder."""
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
+        return [s.getPath().getName() for s in target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)]
+
     def drop(self, *tables: str) -> None:
         for table in tables:
             self._delete(f"{self.root}/{table}")
