@@ -239,3 +239,22 @@ def test_hashed_shares(spark):
     cases = spark.createDataFrame([(i, (f"g{i // 2}", None), "", "", "") for i in range(6000)], CASES)
     split = Counter(r.split for r in assign_splits(cases, Scratch(spark, "t"), giant=None).collect())
     assert abs(split["train"] / 3000 - 0.8) < 0.03 and abs(split["test"] / 3000 - 0.1) < 0.02
+
+
+def test_batches_of_a_sample_are_merged(spark, tmp_path, monkeypatch):
+    import caseloom.llm.sampling as module
+
+    monkeypatch.setattr(module, "MERGED", 2)
+    df = spark.createDataFrame([(f"i{k}", k) for k in range(120)], "id string, raw_no long")
+    folder = str(tmp_path / "sample")
+    sample = PermanentSample(Scratch(spark, "t", folder), 1)
+    for k in range(1, 7):
+        sample.insert(df.where(F.col("raw_no") < 20 * k), F.col("id"), F.col("raw_no"))
+    assert sorted(p.name for p in (tmp_path / "sample/merged").iterdir()) == ["upto=4"] and len(list((tmp_path / "sample/numbers").iterdir())) == 2
+    again = PermanentSample(Scratch(spark, "t", folder), 1)
+    whole = PermanentSample(Scratch(spark, "t"), 1)
+    whole.insert(df, F.col("id"), F.col("raw_no"))
+    for found in (sample, again):
+        assert sorted(map(tuple, found.known.collect())) == sorted(map(tuple, whole.known.collect()))
+    (tmp_path / "sample/merged/upto=9").mkdir()  # a merge that broke off
+    assert PermanentSample(Scratch(spark, "t", folder), 1).known.count() == 120
