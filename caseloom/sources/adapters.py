@@ -258,7 +258,7 @@ SHAPES: dict[str, Shape] = {
     "dialmed_recorded": Shape("records", "dialog array<string>, label array<string>", "noul", "whole", "concat('{prompt}', word)", "array_contains(label, word)", group=("dialogue", "whole"), unfold=(("{labels}", "label_no", "word"),), derive=(("whole", "array_join(dialog, '\\n')"),), rules=(("size(array_except(label, {labels})) > 0", "label outside the vocabulary"),), defaults={"prompt": "对话推荐了这种药吗："}),
     "remedi_human": Shape("array", "dialogue string, information array<struct<role string, sentence string, actions array<struct<intent string>>>>", "noul", "turns", "concat('{prompt}', word)", "exists(turn.actions, a -> a.intent = word)", group=("dialogue", "dialogue"), unfold=(("information", "turn_no", "turn"), ("{labels}", "label_no", "word")), derive=(("turns", "array_join(transform(slice(information, 1, turn_no + 1), t -> concat(t.role, '：', t.sentence)), '\\n')"),), defaults={"prompt": "最后一句有这个意图吗："}),
     "psy_insight_cn": Shape("array", "dialog_id string, dialog array<struct<speaker string, content string, strategy array<string>>>", "noul", "turns", "concat('{prompt}', word)", "array_contains(turn.strategy, word)", group=("dialogue", "dialog_id"), unfold=(("dialog", "turn_no", "turn"), ("{labels}", "label_no", "word")), derive=(("turns", "array_join(transform(slice(dialog, 1, turn_no + 1), t -> concat(t.speaker, '：', t.content)), '\\n')"),), rules=(("turn.strategy is null", "unlabelled turn"),), supervision="human_annotation", defaults={"prompt": "最后一句用了这个策略吗："}),
-    "medical_ds_disease": Shape("pickle", "consult_id string, disease_tag string, goal struct<explicit_inform_slots map<string,string>, implicit_inform_slots map<string,string>>", "choice", "record", "'{prompt}'", "array_position({labels}, disease_tag) - 1", "{labels}", group=("medical_text", "record"), derive=(("record", "to_json(map_concat(goal.explicit_inform_slots, goal.implicit_inform_slots))"),), rules=(("exists(map_keys(goal.explicit_inform_slots), k -> goal.implicit_inform_slots[k] <> goal.explicit_inform_slots[k])", "slots contradict"),), defaults={"prompt": "可能是哪种疾病？"}),
+    "medical_ds_disease": Shape("pickle", "consult_id string, disease_tag string, goal struct<explicit_inform_slots map<string,string>, implicit_inform_slots map<string,string>>", "choice", "record", "'{prompt}'", "array_position({labels}, disease_tag) - 1", "{labels}", group=("medical_text", "record"), derive=(("record", "to_json(map_concat(coalesce(goal.explicit_inform_slots, map()), map_filter(coalesce(goal.implicit_inform_slots, map()), (k, v) -> not array_contains(map_keys(coalesce(goal.explicit_inform_slots, map())), k))))"),), rules=(("exists(map_keys(coalesce(goal.explicit_inform_slots, map())), k -> coalesce(goal.implicit_inform_slots[k] <> goal.explicit_inform_slots[k], false))", "slots contradict"),), defaults={"prompt": "可能是哪种疾病？"}),
     "lcmdc_triage": Shape("csv", "", "choice", "concat_ws('\\n', titles, infos)", "'{prompt}'", "try_cast(labels_1 as int)", "{labels}", group=("medical_text", "concat_ws('\\n', titles, infos)"), rules=(("get({labels}, try_cast(labels_1 as int)) <> labels_1_word", "number and word of the label differ"),), defaults={"prompt": "应当去哪个科室？"}),
     "meddg_entity_type": Shape("pickle", "id string, Sentence string, Symptom array<string>, Medicine array<string>, Examination array<string>, Attribute array<string>, Disease array<string>", "choice", "Sentence", "concat('{prompt}', entity.name)", "entity.type_no", "array('症状','药物','检查','属性','疾病')", group=("dialogue", "id"), unfold=(("array_distinct(flatten(transform(array(Symptom, Medicine, Examination, Attribute, Disease), (a, i) -> transform(a, x -> named_struct('name', x, 'type_no', i)))))", "entity_no", "entity"),), rules=(("size(array_distinct(flatten(transform(array(Symptom, Medicine, Examination, Attribute, Disease), (a, i) -> transform(a, x -> named_struct('name', x, 'type_no', i)))))) > size(array_distinct(transform(flatten(transform(array(Symptom, Medicine, Examination, Attribute, Disease), (a, i) -> transform(a, x -> named_struct('name', x, 'type_no', i)))), e -> e.name)))", "entity of two types in the turn"),), defaults={"prompt": "这个词属于哪一类："}),
     # Spans, relations, findings.

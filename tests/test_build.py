@@ -656,3 +656,56 @@ def test_settings_on_the_command_line():
     assert [_setting(x) for x in ("a=1", "b=x=y", 'c=["z"]', "d=null")] == [("a", 1), ("b", "x=y"), ("c", ["z"]), ("d", None)]
     with pytest.raises(SystemExit):
         _setting("a")
+
+
+TWO = {"A": "甲", "B": "乙"}
+#: Shape, parameters, and records with what comes of them: the labels of their rows, or the reason.
+RECORDS = [
+    ("cblue_qqr", {}, [({"query1": "a", "query2": "b", "label": "1"}, ["B"]), ({"query1": "a", "query2": "b", "label": "3"}, ["answer out of range"]), ({"query1": " ", "query2": None, "label": "1"}, ["blank state"])]),
+    ("cblue_ctc", {"labels": ["x", "y"]}, [({"text": "t", "label": "y"}, ["B"]), ({"text": "t", "label": "z"}, ["answer out of range"])]),
+    ("cmid_coarse", {"labels": ["病症", "药物"]}, [({"originalText": "t", "label_4class": ["'药物'"]}, ["B"]), ({"originalText": "t", "label_4class": ["药物", "病症"]}, ["not one label"])]),
+    ("explain_cpe", {}, [({"question": "q", "options": TWO, "answer": "B"}, ["B"]), ({"question": "如图，q", "options": TWO, "answer": "B"}, ["needs a picture"]), ({"question": "q", "options": TWO, "answer": "AB"}, ["no single answer"])]),
+    ("cmb_exam", {}, [({"question": "q", "option": TWO, "answer": "A"}, ["A"]), ({"question": "q", "option": TWO, "answer": "AB"}, ["several answers"])]),
+    ("tcm_sd", {"labels": ["气虚", "血瘀"]}, [({"user_id": "1", "chief_complaint": "c", "description": " ", "norm_syndrome": "血瘀"}, ["B"]), ({"user_id": "1", "chief_complaint": "", "norm_syndrome": "血瘀"}, ["blank state"]), ({"user_id": "", "chief_complaint": "c", "norm_syndrome": "血瘀"}, ["no group"])]),
+    ("dialmed_recorded", {"labels": ["a", "b", "c"]}, [({"dialog": ["问", "答"], "label": ["c", "a"]}, ["true", "false", "true"]), ({"dialog": ["问"], "label": ["z"]}, ["label outside the vocabulary"] * 3)]),
+    ("medical_ds_disease", {"labels": ["感冒", "胃炎"]}, [({"disease_tag": "胃炎", "goal": {"explicit_inform_slots": {"吐": "1"}, "implicit_inform_slots": {"痛": "0"}}}, ["B"]), ({"disease_tag": "胃炎", "goal": {"explicit_inform_slots": {"吐": "1"}, "implicit_inform_slots": {"吐": "1"}}}, ["B"]), ({"disease_tag": "胃炎", "goal": {"explicit_inform_slots": {"吐": "1"}, "implicit_inform_slots": {"吐": "0"}}}, ["slots contradict"]), ({"disease_tag": "x", "goal": {"explicit_inform_slots": {"吐": "1"}, "implicit_inform_slots": {"痛": "0"}}}, ["answer out of range"])]),
+    ("jec_qa", {}, [({"statement": "s", "option_list": TWO, "answer": ["B"]}, ["B"]), ({"statement": "s", "option_list": TWO, "answer": ["A", "B"]}, ["several answers"])]),
+    ("jec_qa_each", {}, [({"statement": "s", "option_list": TWO | {"C": "丙"}, "answer": ["A", "C"]}, ["true", "false", "true"]), ({"statement": "s", "option_list": TWO, "answer": []}, ["no answer"] * 2)]),
+    ("cail2019_scm", {}, [({"A": "a", "B": "b", "C": "c", "label": "C"}, ["B"]), ({"A": "a", "B": "b", "C": "a", "label": "C"}, ["equal texts"]), ({"A": "a", "B": "b", "C": "c", "label": "D"}, ["answer out of range"])]),
+    ("lcr_cn", {"labels": ["x", "y"]}, [({"content": "c", "title": "t", "high_level_laws": ["h"], "conflict_type": "y", "url": "https://Example.org/a?id=3&p=1"}, ["B"]), ({"content": "c", "title": "t", "high_level_laws": [], "conflict_type": "z", "url": "https://example.org/a"}, ["answer out of range"])]),
+    ("dureader_yesno", {}, [({"question": "q", "answer": "a", "yesno_answer": "No"}, ["false"]), ({"question": "q", "answer": "a", "yesno_answer": "Depends"}, ["depends or unlabelled"])]),
+    ("webmedqa_each", {}, [({"query": "q", "answer": "a", "label": "0", "question_id": "1"}, ["false"]), ({"query": "q", "answer": "a", "label": "2", "question_id": "1"}, ["no label"])]),
+    ("remedi_human", {"labels": ["问", "答"]}, [({"dialogue": "1", "information": [{"role": "医", "sentence": "s", "actions": [{"intent": "答"}]}]}, ["false", "true"])]),
+    ("cmb_exam_each", {}, [({"question": "q", "option": TWO, "answer": "x"}, ["no answer letters"] * 2)]),
+]
+READ = [
+    ("c3", "array", [["d1", [{"question": "q", "choice": ["x", "y"], "answer": "y"}, {"question": "q", "choice": ["x", "x"], "answer": "x"}], "1"]], {}, None),
+    ("exam_csv", "csv", "question,A,B,C,D,answer\nq,1,2,3,4,C\nq,1,2,3,4,E\n", {}, ["C", "no single answer"]),
+    ("cmexam", "csv", 'question,options,answer\nq,"A 甲\nB 乙",B\nq,"A 甲\nB 乙",AB\n', {}, ["B", "no single answer"]),
+    ("lcmdc_triage", "csv", "titles,infos,labels_1,labels_1_word\nt,i,1,骨科\nt,i,0,骨科\nt,i,9,骨科\n", {"labels": ["内科", "骨科"]}, ["B", "number and word of the label differ", "number and word of the label differ"]),
+    ("chnsenticorp_htl", "csv", "label,review\n1,好\n2,差\n", {}, ["true", "no label"]),
+    ("finfe", "array", [["好", "2"], ["差", "true"]], {}, ["C", "answer out of range"]),
+    ("finnsp", "array", [["1", "t", "c", "e", "1"], ["id", "title", "content", "entity", "negative"]], {}, ["true", "header within the data"]),
+    ("dureader_three_way", "jsonl", '{"question": "q", "answer": "a", "yesno_answer": "Depends"}\n', {}, ["C"]),
+]
+
+
+@pytest.mark.parametrize("name, params, records", RECORDS, ids=[r[0] for r in RECORDS])
+def test_records_of_every_shape(spark, name, params, records):
+    for record, expected in records:
+        assert [r.reason or _label(r) for r in _rows(spark, name, record, dict(params))] == expected, record
+
+
+@pytest.mark.parametrize("name, kind, content, params, expected", READ, ids=[r[0] for r in READ])
+def test_files_of_every_shape(spark, tmp_path, name, kind, content, params, expected):
+    if name == "c3":
+        content = [[["文", "章"], content[0][1], "1"]]
+        expected = ["B", "answer isn't one option"]
+    text = content if isinstance(content, str) else json.dumps(content, ensure_ascii=False)
+    rows = Registry().convert(spark, name, write(tmp_path / f"f.{kind}", text), params).collect()
+    assert [r.reason or _label(r) for r in sorted(rows, key=lambda r: (r.place.line, list(r.place.at)))] == expected
+
+
+def test_every_adapter_has_records():
+    here = open(__file__, encoding="utf-8").read()
+    assert [n for n in Registry().names() if f'"{n}"' not in here.replace('"c3": "parts', "")] == []
