@@ -61,6 +61,7 @@ CLASS_OF = _classes()
 RADICAL_OF = {pair[0]: pair[1] for pair in RADICALS.split()}
 
 
+@cache
 def script(ch: str) -> str:
     """The script that counts for consistency: the first word of the character's name."""
     name = unicodedata.name(unicodedata.normalize("NFD", ch)[0], "")
@@ -302,7 +303,7 @@ class LookForm:
             states: dict[tuple[str, str], tuple] = {}
             links: dict = {}
             for rank, option in enumerate(options):
-                shown = unicodedata.normalize("NFC", option + marks)
+                shown = unicodedata.normalize("NFC", option + marks) if marks else option
                 own = "" if unicodedata.combining(shown[0]) else script(option)
                 for key, (changes, cost, ranks) in previous.items():
                     now = own or key[1]

@@ -288,10 +288,9 @@ def candidate_pairs(classes: DataFrame, signed: DataFrame, texts: int, p: NearDu
     return found
 
 
-def _at_both_ends(pairs: DataFrame, table: DataFrame, value: Column) -> DataFrame:
-    """``pairs`` with ``a`` and ``b``, the value of ``table(id, ...)`` at either end; an id with very many pairs is
-    spread, and only what the table has for it is repeated."""
-    hot = {end: hot_keys(pairs, f"id_{end}") for end in "ab"}
+def _at_both_ends(pairs: DataFrame, table: DataFrame, value: Column, hot: dict[str, list]) -> DataFrame:
+    """``pairs`` with ``a`` and ``b``, the value of ``table(id, ...)`` at either end; ids with very many pairs, ``hot`` by
+    end, are spread, and only what the table has for them is repeated."""
     for end, other in ("ab", "ba"):
         own = table.select(F.col("id").alias(f"id_{end}"), value.alias(end))
         pairs = salted_lookup(pairs, own, f"id_{end}", hot[end], F.xxhash64(f"id_{other}"))
@@ -373,14 +372,15 @@ def similar_classes(raw: DataFrame, scratch: Scratch, p: NearDuplicates = NearDu
     left = candidate_pairs(classes, signed, seen["texts"], p, scratch).withColumn("equal", F.lit(0))
     sigs = signed.where("id is not null")
     # The first batches decide about most candidates, so only those are carried to all of them.
+    hot = {end: hot_keys(left, f"id_{end}") for end in "ab"}  # of all candidates, so of those left as well
     cuts, before = [0, min(2 * p.batch, p.kept), p.kept], "candidates"
     for past, until in zip(cuts, cuts[1:]):
         if past < until:
-            left = scratch.keep(prune(_at_both_ends(left, sigs, F.substring("signature", past + 1, until - past)), p, past, until), f"pruned{until}")
+            left = scratch.keep(prune(_at_both_ends(left, sigs, F.substring("signature", past + 1, until - past), hot), p, past, until), f"pruned{until}")
             scratch.drop(before)
             before = f"pruned{until}"
     scratch.drop("signed")
-    scored = _at_both_ends(left, classes, F.col("content")).select("id_a", "id_b", exact_similarity(p.piece)("a", "b").alias("similarity"))
+    scored = _at_both_ends(left, classes, F.col("content"), hot).select("id_a", "id_b", exact_similarity(p.piece)("a", "b").alias("similarity"))
     links = scratch.keep(scored.where(F.col("similarity") >= p.threshold), "links")
     scratch.drop("classes")
     return members, links
