@@ -59,8 +59,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(0xBF58476D1CE4E5B9)
 #: Code points that are hashed at once; one hash of them all stays in a core's own cache.
 _AT_ONCE = 60_000
-#: Band keys of which a task keeps a count, and the count from which it tells of one. A key that no task tells of has
-#: less than 1 / COUNTED of each task's rows, or TOLD of them.
+#: Band keys of which a task keeps a count, and how often a batch of texts must hold one. A key that no task tells of is
+#: in fewer than TOLD texts of every batch, so in less than one in a thousand of all with batches of 10,000.
 COUNTED, TOLD = 1 << 16, 8
 #: Pairs of one Arrow batch.
 _PAIRS = 1 << 18
@@ -123,19 +123,20 @@ def band_keys(sig: np.ndarray, p: NearDuplicates) -> np.ndarray:
 
 
 class _Frequent:
-    """Counts of the most frequent keys of a stream in bounded memory: each is short by at most 1 / COUNTED of the rows."""
+    """Counts of keys that a batch holds ``least`` times or more, of at most COUNTED keys."""
 
-    def __init__(self):
-        self.keys, self.counts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    def __init__(self, least: int):
+        self.least, self.counts = least, {}
 
     def add(self, keys: np.ndarray) -> None:
-        keys, counts = np.unique(keys, return_counts=True)
-        both, at = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
-        total = np.zeros(len(both), dtype=np.int64)
-        np.add.at(total, at, np.concatenate([self.counts, counts]))
-        if len(both) > COUNTED:
-            total -= np.partition(total, len(both) - COUNTED - 1)[len(both) - COUNTED - 1]
-        self.keys, self.counts = both[total > 0], total[total > 0]
+        keys = np.sort(keys)
+        last = keys[self.least - 1 :]
+        often = np.unique(last[last == keys[: len(last)]])
+        found = np.searchsorted(keys, often, "right") - np.searchsorted(keys, often)
+        for key, n in zip(often.tolist(), found.tolist()):
+            self.counts[key] = self.counts.get(key, 0) + n
+        if len(self.counts) > COUNTED:
+            self.counts = dict(sorted(self.counts.items(), key=lambda x: -x[1])[: COUNTED // 2])
 
 
 def sign_texts(classes: DataFrame, p: NearDuplicates) -> DataFrame:
@@ -143,7 +144,7 @@ def sign_texts(classes: DataFrame, p: NearDuplicates) -> DataFrame:
     in rows of their own, without id, the band keys that a task saw often, with how often."""
 
     def run(batches):
-        seen = _Frequent()
+        seen = _Frequent(TOLD)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -152,9 +153,8 @@ def sign_texts(classes: DataFrame, p: NearDuplicates) -> DataFrame:
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(p.kept), len(sig), [None, pa.py_buffer((sig[:, : p.kept] & 0xFF).astype(np.uint8).tobytes())])
             none = pa.nulls(len(sig), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), raw.cast(pa.binary()), none, none], ["id", "signature", "key", "n"])
-        often = seen.counts >= TOLD
-        keys = pa.array(seen.keys[often])
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.binary()), keys, pa.array(seen.counts[often])], ["id", "signature", "key", "n"])
+        keys, counts = (pa.array(list(x), pa.int64()) for x in (seen.counts.keys(), seen.counts.values()))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.binary()), keys, counts], ["id", "signature", "key", "n"])
 
     return classes.where(F.length("content") >= p.piece).select("id", "content").mapInArrow(run, "id long, signature binary, key long, n long")
 

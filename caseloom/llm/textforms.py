@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,12 +26,12 @@ def corpus_bigrams(df: DataFrame, columns: Sequence[Column]) -> dict[str, int]:
     names = [f"_t{i}" for i in range(len(columns))]
 
     def count(batches):
-        for pdf in batches:
-            found = bigram_counts(t for name in names for t in pdf[name])
-            yield pd.DataFrame({"pair": list(found.keys()), "n": list(found.values())})
+        for batch in batches:
+            found = bigram_counts(t for column in batch.columns for t in column.to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.string()), pa.array(list(found.values()), pa.int64())], ["pair", "n"])
 
     texts = df.select(*[c.cast("string").alias(n) for c, n in zip(columns, names)])
-    rows = texts.mapInPandas(count, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    rows = texts.mapInArrow(count, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     return {r.pair: int(r.n) for r in rows}
 
 
